@@ -6,7 +6,7 @@ import importlib
 
 from lapforge.plans.registry import QUERIES, SQL, Query
 
-_MODULES = ["laps"]
+_MODULES = ["laps", "marts", "history"]
 
 
 def _load() -> None:
