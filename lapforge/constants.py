@@ -285,3 +285,24 @@ RACES_COMPLETED_PATTERNS = [
     r"after\s*(\d+)\s*rounds?",
     r"round\s*(\d+)",
 ]
+
+# Words a text must contain for the patterns that start with free text. Checked first,
+# because those patterns are slow on texts where they cannot match.
+PATTERN_NEEDS = {
+    INCIDENT_PATTERNS[1]: r"(?:received|given|penalized).*?penalty",
+    WINNER_PATTERNS[2]: r"won.*?race",
+    POLE_PATTERNS[1]: r"took\s+pole.*?time\s+of",
+    POLE_PATTERNS[2]: r"secured\s+pole",
+    POLE_SHORT_PATTERNS[0]: r"pole position",
+    SPECIALIST_PATTERNS[2]: r"(?:specialist|expert)",
+}
+
+
+def practice_section_patterns(number: int) -> list[str]:
+    """Section patterns of one practice session."""
+    n = number
+    return [
+        rf"(?:FP{n}|Free Practice {n}|Practice {n}).*?(?:Results|times?):(.*?)(?:\n\n|\n[A-Z]|FP|Practice|\d+\.)",
+        rf"(?:Session.*?FP{n}|{n}\..*?FP{n}):(.*?)(?:\n\n|\n[A-Z]|FP)",
+        rf"{n}\.\s*FP{n}.*?Results(.*?)(?:\n\n|\n[A-Z]|FP)",
+    ]

@@ -184,34 +184,50 @@ def with_running_sum(
 
 
 def with_rank(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, step: float = 1.0
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str,
+    descending: bool = False,
+    tiebreak: str | None = None,
+    parts: int = 1024,
 ) -> DataFrame:
-    """Add the ascending rank of `value` in its group (ties share); null values get no rank.
+    """Add the rank of `value` in its group; null values get no rank.
 
-    Equal values are counted first, so copies collapse before any sort. The distinct
-    values are ranked inside stretches of `step`, offset by the rows in lower ones.
+    Ties share a rank unless `tiebreak` orders them. Equal values are counted first, so
+    copies collapse before any sort. The distinct values are ranked inside `parts`
+    equal stretches between the group's least and greatest, offset by the rows in
+    earlier ones.
     """
+    keys = list(keys)
+    prior = Window.unboundedPreceding
+    signed = -F.col(value) if descending else F.col(value)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__step", F.floor(F.col(value) / F.lit(step)))
+        .withColumn("__v", signed)
     )
-    outer = Window.partitionBy(*keys).orderBy("__step")
-    inner = Window.partitionBy(*keys, "__step").orderBy(value)
-    prior = Window.unboundedPreceding
+    bounds = counts.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    place = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    cut = counts.join(bounds, keys).withColumn(
+        "__part", F.coalesce(F.floor(place * parts), F.lit(0))
+    )
+    outer = Window.partitionBy(*keys).orderBy("__part").rowsBetween(prior, -1)
+    inner = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(prior, -1)
     lower = (
-        counts.groupBy(*keys, "__step")
+        cut.groupBy(*keys, "__part")
         .agg(F.sum("__n").alias("__sum"))
-        .withColumn("__offset", F.coalesce(F.sum("__sum").over(outer.rowsBetween(prior, -1)), F.lit(0)))
+        .withColumn("__offset", F.coalesce(F.sum("__sum").over(outer), F.lit(0)))
         .drop("__sum")
     )
-    ranks = (
-        counts.withColumn("__below", F.coalesce(F.sum("__n").over(inner.rowsBetween(prior, -1)), F.lit(0)))
-        .join(lower, [*keys, "__step"])
-        .select(*keys, value, (F.col("__below") + F.col("__offset") + 1).cast("int").alias(name))
-    )
-    return df.join(ranks, [*keys, value], "left")
+    rank = F.col("__offset") + F.coalesce(F.sum("__n").over(inner), F.lit(0)) + 1
+    ranks = cut.join(lower, [*keys, "__part"]).select(*keys, value, rank.cast("int").alias(name))
+    ranked = df.join(ranks, [*keys, value], "left")
+    if tiebreak is None:
+        return ranked
+    tied = F.row_number().over(Window.partitionBy(*keys, value).orderBy(tiebreak))
+    return ranked.withColumn(name, F.col(name) + tied - 1)
 
 
 def top_n(
@@ -229,15 +245,13 @@ def top_n(
 
 
 def grams(text: Column, longest: int = 3) -> Column:
-    """Distinct substrings of length 1..`longest` of a text, whole text included."""
-    pieces = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(k - 1), F.lit(1))),
-            lambda i, k=k: F.substring(text, i, F.lit(k)),
-        )
-        for k in range(1, longest + 1)
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    """Distinct substrings of length 1..`longest` of a text."""
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(*[pieces(size) for size in range(1, longest + 1)]))
 
 
 def contains_join(

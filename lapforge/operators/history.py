@@ -71,7 +71,10 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def with_circuit(df: DataFrame, dim: DataFrame, key: str = "circuit_name") -> DataFrame:
-    """Add circuit attributes, with defaults where the dimension has none."""
+    """Add circuit attributes, with defaults where the dimension has none.
+
+    `configured_importance` is the importance as configured, NULL if it is not.
+    """
     attributes = dim.select(
         key,
         F.col("qualifying_importance").alias("__q"),
@@ -80,6 +83,7 @@ def with_circuit(df: DataFrame, dim: DataFrame, key: str = "circuit_name") -> Da
         F.col("weather_sensitivity").alias("__w"),
     )
     defaults = {
+        "configured_importance": F.col("__q"),
         "qualifying_importance": F.coalesce("__q", F.lit(0.7)),
         "overtaking_difficulty": F.coalesce("__d", F.lit("medium")),
         "circuit_type": F.coalesce("__t", F.lit("mixed")),
@@ -99,7 +103,7 @@ def qualifying_impact(results: DataFrame, dim: DataFrame) -> DataFrame:
     history = (F.col("pole_to_win_rate") + F.col("front_row_advantage")) / 2
     score = (F.col("qualifying_importance") + history) / 2
     out = with_circuit(stats, dim).withColumn("qualifying_importance_score", score)
-    return out.drop("overtaking_difficulty", "circuit_type", "weather_sensitivity", "qualifying_importance")
+    return out.select(*stats.columns, "qualifying_importance_score")
 
 
 def races(results: DataFrame) -> DataFrame:

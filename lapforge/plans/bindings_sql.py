@@ -94,7 +94,7 @@ weather_records AS (
  SELECT CAST(year(o_orderdate) AS INTEGER) AS season_year,
   CAST((o_custkey // 1500) * 4 + quarter(o_orderdate) AS INTEGER) AS round_number,
   'Circuit ' || CAST((o_custkey // 1500) * 4 + quarter(o_orderdate) AS VARCHAR) AS circuit_name,
-  'RACE' AS session_type, o_totalprice % 43 AS air_temp, o_totalprice % 51 AS track_temp,
+  'RACE' AS session_type, o_totalprice % 43 + (quarter(o_orderdate) - 2) * 9 AS air_temp, o_totalprice % 51 AS track_temp,
   o_totalprice % 101 AS humidity, 1000 + o_totalprice % 29 AS pressure, o_totalprice % 13 AS wind_speed,
   o_totalprice > 499500 AS rainfall
  FROM orders)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators are written for. Shuffle partitions are left to
@@ -26,17 +29,42 @@ def build_session(app_name: str = "lapforge", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize `df` in the cluster's checkpoint folder so lost executors do not recompute it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from `spark.checkpoint.dir`.
 
-    The folder comes from `spark.checkpoint.dir`; without one this raises, since a
-    machine-local folder would not survive the loss of its machine.
+    Only a local session without one gets a temporary folder of its own; on a cluster a
+    machine-local folder would not survive the loss of its machine, so this raises.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="lapforge-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialize `df` in the shared folder so lost executors do not recompute its past."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_staged: dict[tuple[str, str], str] = {}
+
+
+def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per application to the shared folder and read from there.
+
+    For tables that several stages or queries build on: it is computed once, keeps
+    pushdown and column pruning, and survives lost executors.
+    """
+    app = spark.sparkContext.applicationId
+    if (app, name) not in _staged:
+        path = f"{shared_folder(spark)}/lapforge/{app}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _staged[app, name] = path
+    return spark.read.parquet(_staged[app, name])
