@@ -37,7 +37,7 @@ def find_rows(text: Column, pattern: str, flags: str = "im") -> Column:
     n = _groups(pattern)
     columns = [F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(i)) for i in range(1, n + 1)]
     zipped = F.arrays_zip(*[c.alias(f"g{i}") for i, c in enumerate(columns)])
-    return F.transform(zipped, lambda m: F.array(*[m.getField(str(i)) for i in range(n)]))
+    return F.transform(zipped, lambda m: F.array(*[m.getField(f"g{i}") for i in range(n)]))
 
 
 def first_match(text: Column, patterns: Sequence[str], group: int = 1, flags: str = "i") -> Column:
@@ -68,7 +68,7 @@ def html_cells(pages: DataFrame, row_tag: str = "tr", cell_tags: str = "td|th",
 
 def extract_html_rows(pages: DataFrame, key: str = "page_id", html: str = "html", min_cells: int = 7) -> DataFrame:
     """Typed result rows of a page's table: header skipped, enough cells, numeric position."""
-    cell = lambda i: F.element_at("cells", i)
+    cell = lambda i: F.try_element_at("cells", F.lit(i))
     rows = html_cells(pages, key=key, html=html).filter((F.col("row") > 0) & (F.size("cells") >= min_cells))
     rows = rows.filter(cell(1).rlike(r"^\d+$") & (cell(3) != ""))
     rows = rows.select(

@@ -6,7 +6,7 @@ import importlib
 
 from lapforge.plans.registry import QUERIES, SQL, Query
 
-_MODULES = ["laps", "marts", "history", "scoring"]
+_MODULES = ["laps", "marts", "history", "scoring", "text", "io"]
 
 
 def _load() -> None:
