@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def duration_seconds(col: Column) -> Column:
-    """Seconds of a day-time interval or number, to the millisecond."""
-    return F.round(F.extract(F.lit("SECOND"), col).cast("double")
-                   + F.extract(F.lit("MINUTE"), col) * 60
-                   + F.extract(F.lit("HOUR"), col) * 3600
-                   + F.extract(F.lit("DAY"), col) * 86400, 3)
+    """Seconds of a day-time interval, to the millisecond."""
+    part = lambda unit: F.extract(F.lit(unit), col).cast("decimal(18,6)")
+    # Summed as decimals, so that rounding sees the exact microseconds.
+    total = part("SECOND") + part("MINUTE") * 60 + part("HOUR") * 3600 + part("DAY") * 86400
+    return F.round(total, 3).cast("double")
 
 
 def format_lap_time(seconds: Column) -> Column:

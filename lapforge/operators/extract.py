@@ -6,7 +6,7 @@ Patterns ignore case; letters and digits are ASCII. Texts are always read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +33,12 @@ def find_all(text: Column, pattern: str, flags: str = "i") -> Column:
 
 
 def find_rows(text: Column, pattern: str, flags: str = "im") -> Column:
-    """All matches as arrays of their groups."""
-    n = _groups(pattern)
-    columns = [F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(i)) for i in range(1, n + 1)]
-    zipped = F.arrays_zip(*[c.alias(f"g{i}") for i, c in enumerate(columns)])
-    return F.transform(zipped, lambda m: F.array(*[m.getField(f"g{i}") for i in range(n)]))
+    """All matches as arrays of their groups: one pass over the text, then each match alone."""
+    whole = f"(?{flags}){pattern}"
+    found = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    return F.transform(
+        found, lambda m: F.array(*[F.regexp_extract(m, whole, i) for i in range(1, _groups(pattern) + 1)])
+    )
 
 
 def first_match(text: Column, patterns: Sequence[str], group: int = 1, flags: str = "i") -> Column:
@@ -115,12 +116,20 @@ def grid_slots(rows: DataFrame, key: str = "page_id") -> DataFrame:
     return coded.groupBy(key, "driver_code").agg(F.max("position").alias("grid_position"))
 
 
-def _until(rows: list[Column], enough: int) -> Column:
-    """Rows of each pattern in turn until `enough` have come together."""
-    out = rows[0]
-    for more in rows[1:]:
-        out = F.when(F.size(out) >= enough, out).otherwise(F.concat(out, more))
-    return out
+def _cascade(steps: Sequence[Callable[[Column], Column]], enough: int, row_type: str) -> Column:
+    """Rows of each step in turn until `enough` have come together.
+
+    A step gets the rows so far. Later steps are only evaluated on texts that need them.
+    """
+
+    def merge(rows: Column, i: Column) -> Column:
+        more = F.when(i == 0, steps[0](rows))
+        for number, step in enumerate(steps[1:], 1):
+            more = more.when(i == number, step(rows))
+        return F.when(F.size(rows) >= enough, rows).otherwise(F.concat(rows, more))
+
+    turns = F.sequence(F.lit(0), F.lit(len(steps) - 1))
+    return F.aggregate(turns, F.array().cast(f"array<struct<{row_type}>>"), merge)
 
 
 def _digits(c: Column) -> Column:
@@ -150,11 +159,12 @@ def driver_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
 
     body = F.col(text)
     per_pattern = [
-        F.filter(F.transform(F.slice(find_rows(body, p), 1, limit), parsed), valid)
+        lambda _, p=p: F.filter(F.transform(F.slice(find_rows(body, p), 1, limit), parsed), valid)
         for p in k.DRIVER_STANDING_PATTERNS
     ]
+    kind = "position:int,name:string,code:string,points:int,team:string"
     long_enough = docs.filter(F.length(text) >= 50)
-    found = long_enough.select(key, _until(per_pattern, min_matches).alias("__rows"))
+    found = long_enough.select(key, _cascade(per_pattern, min_matches, kind).alias("__rows"))
     return found.select(key, (F.size("__rows") >= min_matches).alias("complete"), F.inline("__rows"))
 
 
@@ -171,21 +181,20 @@ def team_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     def valid(r: Column) -> Column:
         return r["position"].between(1, 10) & (r["points"] >= 0)
 
-    body = F.col(text)
-    placed = [
-        F.filter(F.transform(F.slice(find_rows(body, p), 1, limit), lambda m: row(m[0], m[1], m[2])), valid)
-        for p in k.TEAM_STANDING_PATTERNS[:2]
-    ]
-    before = _until(placed, min_matches)
-    # Lines without a position are numbered on from the rows already found.
-    listed = F.transform(
-        F.slice(find_rows(body, k.TEAM_STANDING_PATTERNS[2]), 1, limit),
-        lambda m, i: row((F.size(before) + i + 1).cast("string"), m[0], m[1]),
-    )
-    found = docs.filter(F.length(text) >= 50).select(
-        key, _until([before, F.filter(listed, valid)], min_matches).alias("__rows")
-    )
-    return found.select(key, F.inline("__rows"))
+    def placed(pattern: str) -> Column:
+        found = F.slice(find_rows(F.col(text), pattern), 1, limit)
+        return F.filter(F.transform(found, lambda m: row(m[0], m[1], m[2])), valid)
+
+    def listed(rows: Column) -> Column:
+        # Lines without a position are numbered on from the rows already found.
+        found = F.slice(find_rows(F.col(text), k.TEAM_STANDING_PATTERNS[2]), 1, limit)
+        numbered = lambda m, i: row((F.size(rows) + i + 1).cast("string"), m[0], m[1])
+        return F.filter(F.transform(found, numbered), valid)
+
+    steps = [lambda _: placed(k.TEAM_STANDING_PATTERNS[0]), lambda _: placed(k.TEAM_STANDING_PATTERNS[1]), listed]
+    rows = _cascade(steps, min_matches, "position:int,team:string,points:int")
+    long_enough = docs.filter(F.length(text) >= 50)
+    return long_enough.select(key, F.inline(rows))
 
 
 def session_rows(docs: DataFrame, sections: Sequence[str], key: str = "doc_id", text: str = "text", limit: int = 10) -> DataFrame:
@@ -199,13 +208,21 @@ def session_rows(docs: DataFrame, sections: Sequence[str], key: str = "doc_id",
         )
 
     valid = lambda r: r["position"].between(1, 20) & (r["driver"] != "")
-    choices = []
-    for s in sections:
-        section = F.regexp_extract(text, f"(?is){s}", 1)
-        for p in k.SESSION_ROW_PATTERNS:
-            rows = F.filter(F.transform(F.slice(find_rows(section, p), 1, limit), parsed), valid)
-            choices.append(F.when(F.size(rows) > 0, rows))
-    return docs.select(key, F.inline(F.coalesce(*choices)))
+    def in_section(section: str) -> Callable[[Column], Column]:
+        body = F.regexp_extract(text, f"(?is){section}", 1)
+
+        def rows_of(part: Column) -> Column:
+            def by(pattern: str) -> Callable[[Column], Column]:
+                return lambda _: F.filter(F.transform(F.slice(find_rows(part, pattern), 1, limit), parsed), valid)
+
+            return _cascade([by(p) for p in k.SESSION_ROW_PATTERNS], 1, kind)
+
+        # The section is found once and then tried with every row pattern.
+        return lambda _: F.flatten(F.transform(F.array(body), rows_of))
+
+    kind = "position:int,driver:string,time:string"
+    rows = _cascade([in_section(s) for s in sections], 1, kind)
+    return docs.select(key, F.inline(rows))
 
 
 def extract_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

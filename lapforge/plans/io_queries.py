@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapforge.operators import cleaning as c
 from lapforge.operators import laps as l
@@ -43,10 +44,10 @@ def _(spark, d):
 
 @query("S02_read_warehouse", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return c_count(rd.read_warehouse(spark, f"{d}/lineitem.parquet", "parquet"), "l_returnflag")
+    return counted(rd.read_warehouse(spark, f"{d}/lineitem.parquet", "parquet"), "l_returnflag")
 
 
-def c_count(df, *keys):
+def counted(df, *keys):
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -63,7 +64,7 @@ def raw_timing(spark, d):
     )
 
 
-MS = "round(CAST(CAST({0} AS DECIMAL(18,6)) AS DOUBLE), 3) AS {0}"
+MS = "CAST(round(CAST({0} AS DECIMAL(18,6)), 3) AS DOUBLE) AS {0}"
 
 
 @query("S03_ingest_laps", LAPS + f"""SELECT season_year AS year, round_number AS round, circuit_name, session_type, driver_code, lap_number,
@@ -91,10 +92,11 @@ def _(spark, d):
         F.array("p_name").alias("official_names"), F.when(F.col("p_size") > 20, F.col("p_size") / 100.0).alias("qualifying_importance"),
         F.split("p_name", " ").alias("key_factors"))
     key = F.concat(F.lit("circuit_"), F.col("p_partkey").cast("string"))
-    # One object per brand and size, so that no file has to hold the whole dimension.
-    objects = b.table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.map_from_entries(F.collect_list(F.struct(key, body))).alias("m"))
-    objects.select(F.to_json("m").alias("value")).withColumn("part", F.monotonically_increasing_id() % 4).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
-    dim = rd.read_dimension_json(spark, f"{path}/*", "circuit_key")
+    # A file per hundred parts: a dimension file is one object and read whole.
+    hundred = F.floor(F.col("p_partkey") / 100)
+    objects = b.table(spark, d, "part").groupBy(hundred).agg(F.map_from_entries(F.collect_list(F.struct(key, body))).alias("m"))
+    objects.select(F.to_json("m").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    dim = rd.read_dimension_json(spark, path, "circuit_key")
     return dim.select("circuit_key", F.element_at("official_names", 1).alias("name"), "qualifying_importance", F.element_at("key_factors", 1).alias("factor"))
 
 
@@ -140,10 +142,13 @@ def race_documents(spark, d):
         F.lit(None).cast("string").alias("session_type"), "driver_code", "lap_number", "lap_time_seconds", "sector1_seconds", "sector2_seconds", "sector3_seconds",
         "compound", "tyre_life", "stint", F.lit(None).cast("int").alias("position"), F.lit(None).cast("boolean").alias("is_personal_best"))
     sessions = b.laps(spark, d).groupBy(*race, "session_type").agg(F.collect_list(lap).alias("raw_laps"))
-    by_name = sessions.groupBy(*race).agg(F.collect_list(F.struct("session_type", F.struct("raw_laps", F.lit(None).cast(RACE_DOCUMENT["sessions"].dataType.valueType["raw_qualifying"].dataType).alias("raw_qualifying")))).alias("packed"))
+    kinds = RACE_DOCUMENT["sessions"].dataType.valueType
+    pairs = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", kinds)]))
+    session = F.struct("raw_laps", F.lit(None).cast(kinds["raw_qualifying"].dataType).alias("raw_qualifying"))
+    by_name = sessions.groupBy(*race).agg(F.collect_list(F.struct("session_type", session)).cast(pairs).alias("packed"))
     sky = b.weather_records(spark, d).groupBy("season_year", "round_number").agg(F.avg("air_temp").alias("air_temp_avg"), F.bool_or("rainfall").alias("rainfall"))
     none = F.lit(None).cast("double")
-    quali = F.array(F.struct(F.lit("Qualifying"), F.struct(F.lit(None).cast(RACE_DOCUMENT["sessions"].dataType.valueType["raw_laps"].dataType).alias("raw_laps"), "raw_qualifying")))
+    quali = F.array(F.struct(F.lit("Qualifying"), F.struct(F.lit(None).cast(kinds["raw_laps"].dataType).alias("raw_laps"), "raw_qualifying"))).cast(pairs)
     return drivers.join(by_name, race, "left").join(sky, ["season_year", "round_number"], "left").select(
         F.col("season_year").alias("year"), F.col("round_number").alias("round"), "circuit_name", "race_winner", "drivers",
         F.map_from_entries(F.concat(F.col("packed"), quali)).alias("sessions"),
@@ -350,7 +355,7 @@ def _(spark, d):
 @query("R05_drain", V(s.RACE_LAPS) + "SELECT season_year AS year, count(*) AS n FROM race_laps GROUP BY 1")
 def _(spark, d):
     stream = st.decode(st.read_lap_stream(spark, "text", path=messages(spark, d), maxFilesPerTrigger="2"))
-    return c_count(spark.read.parquet(flushed(spark, stream, "live")), "year")
+    return counted(spark.read.parquet(flushed(spark, stream, "live")), "year")
 
 
 @query("R06_reconcile", V(s.RACE_LAPS) + """SELECT season_year AS year, round_number AS round, count(*) AS loaded_rows, count(*) AS expected_rows, count(DISTINCT lap_number) AS laps, count(DISTINCT driver_code) AS drivers, true AS complete FROM race_laps GROUP BY ALL""")

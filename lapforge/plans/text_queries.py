@@ -203,7 +203,7 @@ MILLIS = "CAST(round(lap_time_seconds * 1000) AS BIGINT)"
 TEXT_TIME = f"printf('%d:%02d.%03d', {MILLIS} // 60000, ({MILLIS} % 60000) // 1000, {MILLIS} % 1000)"
 
 
-@query("F01_duration_seconds", V(s.TIMED_LAPS) + f"SELECT {KEY}, round(CAST(CAST(lap_time_seconds AS DECIMAL(18,6)) AS DOUBLE), 3) AS seconds FROM timed_laps")
+@query("F01_duration_seconds", V(s.TIMED_LAPS) + f"SELECT {KEY}, CAST(round(CAST(lap_time_seconds AS DECIMAL(18,6)), 3) AS DOUBLE) AS seconds FROM timed_laps")
 def _(spark, d):
     laps = b.timed_laps(spark, d)
     span = F.make_dt_interval(secs=F.col("lap_time_seconds").cast("decimal(18,6)"))
@@ -403,7 +403,7 @@ def weekend(spark, d):
     docs = docs.join(first, "doc_id")
     return docs.withColumn("text", F.concat(
         "text", F.lit("\n\n"), "__name", F.lit(" secured pole position with a time of "), "__time",
-        F.lit(".\nFP1 times:\n1. "), "__name", F.lit(" - "), "__time", F.lit("\n\nThe weather conditions were dry and warm.\nA penalty for "), "__name",
+        F.lit(".\n1. FP1 Results\n1. "), "__name", F.lit(" - "), "__time", F.lit("\n\nThe weather conditions were dry and warm.\nA penalty for "), "__name",
         F.lit(".\nA warning to Ann Zzz.\nThe race has finished. Race winner: "), "__name", F.lit(".\nAfter "), F.col("round_number").cast("string"), F.lit(" rounds"),
     )).select("doc_id", "text")
 

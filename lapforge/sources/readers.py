@@ -97,7 +97,9 @@ def summarize_files(spark: SparkSession, path: str) -> DataFrame:
         F.slice(results, 1, 3),
         lambda r: F.concat_ws(" - ", F.coalesce(r["driver"], F.lit("Unknown")), F.coalesce(r["time"], F.lit("No time"))),
     )
+    partitions = [c for c in files.columns if c not in ("value", "__d")]
     return files.select(
+        *partitions,
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
         F.coalesce("__d.available", "__d.session_available").alias("available"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +35,31 @@ def stamp_published(df: DataFrame, at: Column | None = None) -> DataFrame:
 def replay(
     df: DataFrame, path: str, order: Sequence[str] = ("lap_number", "driver_code"), slices: int = 8
 ) -> DataFrame:
-    """Write history as ordered slices and return a stream that reads one slice per trigger.
+    """Publish history slice by slice and return a stream that reads a file per trigger.
 
-    Slices are ranges of `order`, sorted inside, so a reader meets laps in replay order;
-    the pace is the reader's trigger interval.
+    Slices are ranges of `order`, sorted inside. They are cut in one job next to `path`
+    and then published one after the other, since file streams go by modification time.
+    The pace is the reader's trigger interval.
     """
+    spark = df.sparkSession
     ordered = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
-    ordered.write.mode("overwrite").parquet(path)
-    reader = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(path)
+    cut = f"{path}-slices"
+    ordered.withColumn("__slice", F.spark_partition_id()).write.partitionBy("__slice").parquet(cut)
+    for i in range(slices):
+        one = spark.read.schema(df.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        name = f"{cut}/__slice={i}"
+        if _exists(spark, name):
+            one.parquet(name).sortWithinPartitions(*order).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists; a slice nobody falls into is not written."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
