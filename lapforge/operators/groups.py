@@ -24,14 +24,14 @@ LAP_BLOCK = 4096
 BLOCK = "__block"
 
 
-def blocked(df: DataFrame, order: str = "lap_number", size: int = LAP_BLOCK) -> DataFrame:
+def blocked(df: DataFrame, order: str = "lap_number", size: int | None = None) -> DataFrame:
     """Add the block column: which stretch of `order` a row lies in."""
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(size)).cast("long"))
+    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(size or LAP_BLOCK)).cast("long"))
 
 
-def spans_blocks(df: DataFrame, order: str = "lap_number", size: int = LAP_BLOCK) -> bool:
+def spans_blocks(df: DataFrame, order: str = "lap_number", size: int | None = None) -> bool:
     """Whether any row lies beyond the first block: one filtered look, pushed to the scan."""
-    return not df.filter(F.col(order) >= size).select(F.lit(1)).isEmpty()
+    return not df.filter(F.col(order) >= (size or LAP_BLOCK)).select(F.lit(1)).isEmpty()
 
 
 def filled(df: DataFrame, column: str, name: str = "__stint", value: int = -1) -> DataFrame:
@@ -190,44 +190,46 @@ def with_rank(
     name: str,
     descending: bool = False,
     tiebreak: str | None = None,
+    step: float | None = None,
     parts: int = 1024,
 ) -> DataFrame:
     """Add the rank of `value` in its group; null values get no rank.
 
-    Ties share a rank unless `tiebreak` orders them. Equal values are counted first, so
-    copies collapse before any sort. The distinct values are ranked inside `parts`
-    equal stretches between the group's least and greatest, offset by the rows in
-    earlier ones.
+    Ties share a rank unless `tiebreak` orders them. A group is cut into stretches of
+    `step`, or into `parts` equal ones between its least and greatest value; rows are
+    ranked inside stretches, and only row counts per stretch cross their borders.
     """
-    keys = list(keys)
-    prior = Window.unboundedPreceding
+    keys, columns = list(keys), df.columns
     signed = -F.col(value) if descending else F.col(value)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+    df = df.withColumn("__v", signed)
+    if step is None:
+        bounds = df.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        df = df.join(bounds, keys)
+        span = F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+        part = F.coalesce(F.floor((F.col("__v") - F.col("__low")) / span * parts), F.lit(0))
+    else:
+        part = F.floor(F.col("__v") / F.lit(step))
+    # Rows without a value need no order; they are only kept apart and spread out.
+    aside = F.lit(-(2**40)) - F.pmod(F.xxhash64(*columns), F.lit(64))
+    known = F.col("__v").isNotNull()
+    df = df.withColumn("__part", F.when(known, part).otherwise(aside))
+    outer = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lower = (
+        df.filter(known)
+        .groupBy(*keys, "__part")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__v", signed)
-    )
-    bounds = counts.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    place = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
-    cut = counts.join(bounds, keys).withColumn(
-        "__part", F.coalesce(F.floor(place * parts), F.lit(0))
+        .withColumn("__offset", F.coalesce(F.sum("__n").over(outer), F.lit(0)))
+        .drop("__n")
     )
-    outer = Window.partitionBy(*keys).orderBy("__part").rowsBetween(prior, -1)
-    inner = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(prior, -1)
-    lower = (
-        cut.groupBy(*keys, "__part")
-        .agg(F.sum("__n").alias("__sum"))
-        .withColumn("__offset", F.coalesce(F.sum("__sum").over(outer), F.lit(0)))
-        .drop("__sum")
+    inner = Window.partitionBy(*keys, "__part").orderBy("__v", *([tiebreak] if tiebreak else []))
+    local = F.row_number().over(inner) if tiebreak else F.rank().over(inner)
+    rank = F.when(known, F.col("__local") + F.col("__offset")).cast("int")
+    return (
+        df.withColumn("__local", local)
+        .join(lower, [*keys, "__part"], "left")
+        .withColumn(name, rank)
+        .drop("__v", "__low", "__high", "__part", "__local", "__offset")
     )
-    rank = F.col("__offset") + F.coalesce(F.sum("__n").over(inner), F.lit(0)) + 1
-    ranks = cut.join(lower, [*keys, "__part"]).select(*keys, value, rank.cast("int").alias(name))
-    ranked = df.join(ranks, [*keys, value], "left")
-    if tiebreak is None:
-        return ranked
-    tied = F.row_number().over(Window.partitionBy(*keys, value).orderBy(tiebreak))
-    return ranked.withColumn(name, F.col(name) + tied - 1)
 
 
 def top_n(

@@ -196,7 +196,7 @@ def _sector_deltas(df: DataFrame, keys: Sequence[str], block: str | None) -> Dat
 
 def lap_rank(df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME) -> DataFrame:
     """Add `lap_rank`, the rank of the time among all drivers on that lap."""
-    return with_rank(df, keys, col, "lap_rank")
+    return with_rank(df, keys, col, "lap_rank", step=0.5)
 
 
 def driver_race_features(df: DataFrame) -> DataFrame:

@@ -79,6 +79,11 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_laps(dedup_latest(items, keys, [F.col(c).desc() for c in order]))
 
 
+def staged_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same laps as a written table, for queries that read them more than once."""
+    return staged_as(spark, sf_dir, "laps", lambda: laps(spark, sf_dir))
+
+
 def race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laps(spark, sf_dir).filter(F.col("session_type") == "RACE")
 
@@ -87,10 +92,14 @@ def timed_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laps(spark, sf_dir).filter(F.col("lap_time_seconds").isNotNull())
 
 
+def staged_timed_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged_laps(spark, sf_dir).filter(F.col("lap_time_seconds").isNotNull())
+
+
 def placed_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed laps with the running position; a lap has at most one series of drivers."""
     order = Window.partitionBy(*LAP).orderBy("lap_time_seconds", "driver_code")
-    return timed_laps(spark, sf_dir).withColumn("position", F.row_number().over(order))
+    return staged_timed_laps(spark, sf_dir).withColumn("position", F.row_number().over(order))
 
 
 def staged_as(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -50,7 +50,7 @@ def _(spark, d):
 
 @query("P05_filter_vs_best", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, lap_time_seconds FROM timed_laps QUALIFY lap_time_seconds <= min(lap_time_seconds) OVER (PARTITION BY {DRIVER_RACE}) * CAST(1.1 AS DOUBLE)")
 def _(spark, d):
-    return keyed(l.filter_vs_best(b.laps(spark, d)), T)
+    return keyed(l.filter_vs_best(b.staged_laps(spark, d)), T)
 
 
 @query("P06_clean_compound", s.with_views(s.LAPS) + f"SELECT {KEY}, compound, CASE WHEN upper(compound) IN ('NAN','NONE','UNKNOWN','') THEN NULL ELSE compound END AS clean_compound FROM laps")
@@ -98,7 +98,7 @@ def _(spark, d):
 
 @query("W05_pace_delta", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, lap_time_seconds - min(lap_time_seconds) OVER (PARTITION BY {LAP}) AS pace_delta_to_leader FROM timed_laps")
 def _(spark, d):
-    return keyed(l.pace_delta(b.timed_laps(spark, d)), "pace_delta_to_leader")
+    return keyed(l.pace_delta(b.staged_timed_laps(spark, d)), "pace_delta_to_leader")
 
 
 @query("W06_rolling_consistency", s.with_views(s.TIMED_LAPS) + f"""
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("W08_lap_rank", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, CAST(rank() OVER (PARTITION BY {LAP} ORDER BY lap_time_seconds) AS INTEGER) AS lap_rank FROM timed_laps")
 def _(spark, d):
-    return keyed(l.lap_rank(b.timed_laps(spark, d)), "lap_rank")
+    return keyed(l.lap_rank(b.staged_timed_laps(spark, d)), "lap_rank")
 
 
 FEATURED = KEPT + f""",
@@ -145,12 +145,12 @@ FROM featured GROUP BY season_year, round_number, circuit_name, driver_code"""
 
 @query("W09_race_feature_set", s.with_views(s.RACE_LAPS.replace("race_laps AS (SELECT", "unused AS (SELECT") + FEATURED.replace("FROM laps WHERE", "FROM laps WHERE session_type = 'RACE' AND")) + FEATURE_SET)
 def _(spark, d):
-    return l.race_feature_set(b.race_laps(spark, d))
+    return l.race_feature_set(b.staged_laps(spark, d).filter(F.col("session_type") == "RACE"))
 
 
 @query("A01_driver_race_features", s.with_views(s.LAPS + FEATURED) + FEATURE_SET)
 def _(spark, d):
-    return l.driver_race_features(l.lap_features(b.laps(spark, d)))
+    return l.driver_race_features(l.lap_features(b.staged_laps(spark, d)))
 
 
 NEAR = f""",
@@ -162,7 +162,7 @@ cons AS (SELECT {DRIVER_RACE}, count(*) AS valid_laps, CASE WHEN count(*) <= 1 T
 
 @query("A30_lap_consistency", s.with_views(s.TIMED_LAPS + NEAR) + f"SELECT {DRIVER_RACE}, valid_laps, CAST(round(consistency, 6) AS DOUBLE) AS consistency FROM cons")
 def _(spark, d):
-    return l.lap_consistency(b.laps(spark, d)).withColumn("consistency", F.round("consistency", 6))
+    return l.lap_consistency(b.staged_laps(spark, d)).withColumn("consistency", F.round("consistency", 6))
 
 
 @query("A29_session_summary", s.with_views(s.PLACED_LAPS + """,
@@ -173,7 +173,7 @@ SELECT season_year, round_number, session_type, driver_code, count(*) AS total_l
  array_to_string(list_sort(list_distinct(list(position))), ',') AS positions
 FROM pos JOIN cons USING ({DRIVER_RACE}) GROUP BY ALL""")
 def _(spark, d):
-    laps = b.laps(spark, d)
+    laps = b.staged_laps(spark, d)
     placed = b.placed_laps(spark, d).select(*b.LAP_KEY, "position")
     out = l.session_summary(laps.join(placed, b.LAP_KEY, "left"))
     return out.select(
@@ -186,7 +186,7 @@ def _(spark, d):
 SELECT {KEY}, round(rt - min(rt) OVER (PARTITION BY {LAP}), 4) + 0 AS gap_to_leader
 FROM (SELECT *, sum(lap_time_seconds) OVER (PARTITION BY {DRIVER_RACE} ORDER BY lap_number ROWS UNBOUNDED PRECEDING) AS rt FROM timed_laps)""")
 def _(spark, d):
-    return keyed(l.gap_to_leader(b.timed_laps(spark, d)), rounded("gap_to_leader", 4))
+    return keyed(l.gap_to_leader(b.staged_timed_laps(spark, d)), rounded("gap_to_leader", 4))
 
 
 @query("W18_order_fraction", s.with_views(s.PLACED_LAPS) + f"SELECT {KEY}, round((position - 1) / greatest(count(*) OVER (PARTITION BY {LAP}) - 1, 1), 6) AS order_fraction FROM placed_laps")

@@ -68,3 +68,8 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
         build().write.mode("overwrite").parquet(path)
         _staged[app, name] = path
     return spark.read.parquet(_staged[app, name])
+
+
+def forget_staged() -> None:
+    """Make the next use of every staged table write it anew."""
+    _staged.clear()
