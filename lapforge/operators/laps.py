@@ -200,32 +200,54 @@ def lap_rank(df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME) -> DataF
 
 
 def driver_race_features(df: DataFrame) -> DataFrame:
-    """Aggregate featured laps to one row per driver and race."""
+    """Aggregate featured laps to one row per driver and race.
+
+    Laps are first summed per stint and compound, which hashes numbers only and
+    combines on the map side; distinct counts and the first compound then work on
+    those few rows. On equal lap numbers the first compound goes by name.
+    """
     keys = ["season_year", "round_number", "circuit_name", "driver_code"]
-    df = clean_compound(df)
-    missing = F.col("clean_compound").isNull()
-    order = F.when(missing, F.lit(99999)).otherwise(F.col("lap_number"))
+    means = {
+        "avg_lap_time": (TIME, 3),
+        "avg_consistency": ("consistency_score", 3),
+        "avg_pace_delta": ("pace_delta_to_leader", 3),
+        "avg_degradation_per_lap": ("lap_delta", 4),
+        "avg_smoothed_degradation": ("rolling_delta_3", 4),
+        "avg_s1_delta": ("s1_delta", 3),
+        "avg_s2_delta": ("s2_delta", 3),
+        "avg_s3_delta": ("s3_delta", 3),
+    }
+    n, squares = F.col("__n"), F.col("__n") * F.col("__mean") * F.col("__mean")
+    parts = clean_compound(df).groupBy(*keys, "stint", "clean_compound").agg(
+        F.count(F.lit(1)).alias("__laps"),
+        F.count(TIME).alias("__n"),
+        F.avg(TIME).alias("__mean"),
+        F.var_pop(TIME).alias("__var"),
+        F.min(TIME).alias("__min"),
+        F.max(TIME).alias("__max"),
+        F.min("lap_number").alias("__first"),
+        *[F.sum(c).alias(f"__sum_{c}") for c, _ in means.values()],
+        *[F.count(c).alias(f"__count_{c}") for c, _ in means.values()],
+    )
 
     def mean(col: str, places: int) -> Column:
         # Adding zero turns a negative zero into zero.
-        return F.round(F.avg(col), places) + F.lit(0.0)
-
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_laps"),
-        mean(TIME, 3).alias("avg_lap_time"),
-        F.round(F.min(TIME), 3).alias("fastest_lap"),
-        F.round(F.max(TIME), 3).alias("slowest_lap"),
-        F.round(F.stddev_samp(TIME), 3).alias("lap_time_stddev"),
-        mean("consistency_score", 3).alias("avg_consistency"),
-        mean("pace_delta_to_leader", 3).alias("avg_pace_delta"),
-        mean("lap_delta", 4).alias("avg_degradation_per_lap"),
-        mean("rolling_delta_3", 4).alias("avg_smoothed_degradation"),
+        known = F.nullif(F.sum(f"__count_{col}"), F.lit(0))
+        return F.round(F.sum(f"__sum_{col}") / known, places) + F.lit(0.0)
+
+    total, average = F.sum(n), F.sum(n * F.col("__mean")) / F.nullif(F.sum(n), F.lit(0))
+    scatter = F.sum(n * F.col("__var")) + F.sum(squares) - total * average * average
+    variance = F.when(total > 1, F.greatest(scatter, F.lit(0.0)) / F.nullif(total - 1, F.lit(0)))
+    known = F.when(F.col("clean_compound").isNotNull(), F.struct("__first", "clean_compound"))
+    return parts.groupBy(*keys).agg(
+        F.sum("__laps").alias("total_laps"),
+        F.round(F.min("__min"), 3).alias("fastest_lap"),
+        F.round(F.max("__max"), 3).alias("slowest_lap"),
+        F.round(F.sqrt(variance), 3).alias("lap_time_stddev"),
         F.count_distinct("stint").alias("num_stints"),
         F.count_distinct("clean_compound").alias("num_compounds"),
-        F.min_by("clean_compound", F.struct(order, "session_type")).alias("starting_compound"),
-        mean("s1_delta", 3).alias("avg_s1_delta"),
-        mean("s2_delta", 3).alias("avg_s2_delta"),
-        mean("s3_delta", 3).alias("avg_s3_delta"),
+        F.min(known)["clean_compound"].alias("starting_compound"),
+        *[mean(c, places).alias(name) for name, (c, places) in means.items()],
     )
 
 

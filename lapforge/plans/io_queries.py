@@ -12,7 +12,7 @@ from lapforge.operators import laps as l
 from lapforge.plans import bindings as b
 from lapforge.plans import bindings_sql as s
 from lapforge.plans.history_queries import WEATHER
-from lapforge.plans.registry import query, rounded, rounded_sql
+from lapforge.plans.registry import SQL, query, rounded, rounded_sql
 from lapforge.plans.text_queries import KEY
 from lapforge.schemas import RACE_DOCUMENT, schema
 from lapforge.session import shared_folder
@@ -199,12 +199,13 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("K03_replace_events", LAPS + f"SELECT {KEY}, CASE WHEN season_year = 1999 AND round_number % 4 = 1 THEN NULL ELSE compound END AS compound FROM laps WHERE NOT (season_year = 1999 AND round_number % 4 = 1) OR stint = 1")
+@query("K03_replace_events", LAPS + f"SELECT {KEY}, CASE WHEN season_year = 1999 THEN 'RELOADED' ELSE compound END AS compound FROM laps")
 def _(spark, d):
     path = scratch(spark, "events")
-    laps = b.laps(spark, d).select(*b.LAP_KEY, "compound", "stint")
+    laps = b.laps(spark, d).select(*b.LAP_KEY, "compound")
     wr.replace_events(laps, path)
-    again = laps.filter("season_year = 1999 AND round_number % 4 = 1 AND stint = 1").withColumn("compound", F.lit(None).cast("string"))
+    # A whole season is delivered again, twice.
+    again = c.select_seasons(laps, 1999).withColumn("compound", F.lit("RELOADED"))
     wr.replace_events(again, path)
     wr.replace_events(again, path)
     return spark.read.parquet(path).select(*b.LAP_KEY, "compound")
@@ -379,7 +380,7 @@ def _(spark, d):
     return c.dedup_latest(rows, keys, [F.col("lap_time_seconds").desc()]).select(*LIVE)
 
 
-@query("A01_streamed_features", None)
+@query("A01_streamed_features", SQL["W09_race_feature_set"])
 def _(spark, d):
     """Features over laps that came through the stream; equal to those of the batch."""
     path = flushed(spark, st.replay(b.race_laps(spark, d), scratch(spark, "replay")), "live")

@@ -138,7 +138,7 @@ SELECT season_year, round_number, circuit_name, driver_code, count(*) AS total_l
  round(avg(consistency_score), 3) + 0 AS avg_consistency, round(avg(pace_delta_to_leader), 3) + 0 AS avg_pace_delta,
  round(avg(lap_delta), 4) + 0 AS avg_degradation_per_lap, round(avg(rolling_delta_3), 4) + 0 AS avg_smoothed_degradation,
  count(DISTINCT stint) AS num_stints, count(DISTINCT clean_compound) AS num_compounds,
- arg_min(clean_compound, lap_number * 10 + CASE WHEN session_type = 'RACE' THEN 1 ELSE 0 END) FILTER (clean_compound IS NOT NULL) AS starting_compound,
+ first(clean_compound ORDER BY lap_number, clean_compound) FILTER (clean_compound IS NOT NULL) AS starting_compound,
  round(avg(s1_delta), 3) + 0 AS avg_s1_delta, round(avg(s2_delta), 3) + 0 AS avg_s2_delta, round(avg(s3_delta), 3) + 0 AS avg_s3_delta
 FROM featured GROUP BY season_year, round_number, circuit_name, driver_code"""
 

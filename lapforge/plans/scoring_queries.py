@@ -57,10 +57,10 @@ RACE_KEY = "season_year, round_number, driver_code"
 
 @query("J11_scaffold", rounded_sql(V(s.RESULTS + HIST, s.ROSTER), """
 SELECT a.driver_code, coalesce(avg(finish_position), 12) AS historical_avg_position, count(h.driver_code) AS circuit_race_count
-FROM active a LEFT JOIN (SELECT * FROM history WHERE circuit_name = 'Circuit 2' AND season_year < 1997) h ON a.driver_code = h.driver_code GROUP BY 1""", "historical_avg_position"))
+FROM active a LEFT JOIN (SELECT * FROM history WHERE finish_position = 1) h ON a.driver_code = h.driver_code GROUP BY 1""", "historical_avg_position"))
 def _(spark, d):
-    past = history(spark, d).filter("circuit_name = 'Circuit 2' AND season_year < 1997")
-    facts = h.historical_features(past).select("driver_code", "historical_avg_position", "circuit_race_count")
+    # Records of winners only, so that the others get the defaults.
+    facts = h.historical_features(h.winners(history(spark, d))).select("driver_code", "historical_avg_position", "circuit_race_count")
     out = j.scaffold(b.active(spark, d), facts, {"historical_avg_position": 12.0, "circuit_race_count": 0})
     return rounded(out.select("driver_code", "historical_avg_position", "circuit_race_count"))
 
@@ -103,10 +103,10 @@ SELECT driver_code, coalesce(a, least(position + 2, 20)) AS historical_avg_posit
  points AS historical_total_points, coalesce(n, 0) AS season_races
 FROM standings LEFT JOIN (SELECT driver_code, avg(finish_position) AS a, min(finish_position) AS m, {CONS.format('finish_position')} AS c, count(finish_position) AS n,
   {N} (finish_position <= 3) / nullif(count(finish_position), 0) AS p3, {N} (finish_position <= 10) / nullif(count(finish_position), 0) AS p10
- FROM season WHERE grid_position <= 20 GROUP BY 1) USING (driver_code)""",
+ FROM season GROUP BY 1) USING (driver_code)""",
     "historical_avg_position historical_best_position historical_consistency historical_podium_rate historical_points_rate historical_quali_avg historical_total_points"))
 def _(spark, d):
-    out = sc.rookie_features(season(spark, d).filter("grid_position <= 20"), b.standings(spark, d))
+    out = sc.rookie_features(season(spark, d), b.standings(spark, d))
     keep = ["driver_code", "historical_avg_position", "historical_best_position", "historical_consistency",
             "historical_podium_rate", "historical_points_rate", "historical_quali_avg", "historical_total_points", "season_races"]
     return rounded(out.select(*keep))
@@ -138,23 +138,21 @@ def _(spark, d):
 
 
 MATES = """,
-m1 AS (SELECT a.driver_code, min(b.driver_code) AS t1 FROM (SELECT * FROM standings WHERE points > 30) a
-  JOIN (SELECT * FROM standings WHERE points > 30) b ON a.team = b.team AND a.driver_code <> b.driver_code GROUP BY 1),
+m1 AS (SELECT a.driver_code, min(b.driver_code) AS t1 FROM (SELECT * FROM standings WHERE points > 0) a
+  JOIN (SELECT * FROM standings WHERE points > 0) b ON a.team = b.team AND a.driver_code <> b.driver_code GROUP BY 1),
 m2 AS (SELECT a.driver_code, arg_max(t, a.season_year * 1000000 + a.round_number) AS t2 FROM (
   SELECT a.driver_code, a.season_year, a.round_number, min(b.driver_code) AS t FROM history a JOIN history b
-   ON a.season_year = b.season_year AND a.round_number = b.round_number AND a.team = b.team AND a.driver_code <> b.driver_code
-   WHERE a.season_year < 1996 AND b.season_year < 1996 AND a.points > 5 AND b.points > 5 GROUP BY ALL) a GROUP BY 1),
+   ON a.season_year = b.season_year AND a.round_number = b.round_number AND a.team = b.team AND a.driver_code <> b.driver_code GROUP BY ALL) a GROUP BY 1),
 m3 AS (SELECT a.driver_code, min(b.driver_code) AS t3 FROM active a JOIN active b ON a.team = b.team AND a.driver_code <> b.driver_code GROUP BY 1),
 mates AS (SELECT driver_code, coalesce(t1, t2, t3) AS teammate, CASE WHEN t1 IS NOT NULL THEN 'standings' WHEN t2 IS NOT NULL THEN 'results' WHEN t3 IS NOT NULL THEN 'roster' END AS teammate_source
  FROM active LEFT JOIN m1 USING (driver_code) LEFT JOIN m2 USING (driver_code) LEFT JOIN m3 USING (driver_code))"""
 
 
 def mates(spark, d):
-    """Standings and results are thinned so that all three sources get used."""
-    table = b.standings(spark, d).filter("points > 30")
-    raced = history(spark, d).filter("season_year < 1996 AND points > 5")
+    """The standings list drivers with points; the others have raced before."""
+    table = b.standings(spark, d).filter("points > 0")
     roster = b.active(spark, d)
-    return j.teammate(roster, table, raced, roster)
+    return j.teammate(roster, table, history(spark, d), roster)
 
 
 @query("J05_teammate", V(s.RESULTS + HIST, s.STANDINGS, s.ROSTER + MATES) + "SELECT * FROM mates")
@@ -164,10 +162,10 @@ def _(spark, d):
 
 @query("J09_with_grid", V(s.RESULTS, s.ROSTER) + """
 SELECT a.season_year, a.round_number, a.driver_code, a.team, b.grid_position FROM results a LEFT JOIN
- (SELECT season_year, round_number, driver_code, grid_position FROM results WHERE grid_position <= 20) b USING (season_year, round_number, driver_code)""")
+ (SELECT season_year, round_number, driver_code, grid_position FROM results WHERE finish_position IS NOT NULL) b USING (season_year, round_number, driver_code)""")
 def _(spark, d):
     res = b.results(spark, d)
-    slots = res.filter("grid_position <= 20").select(
+    slots = res.filter("finish_position IS NOT NULL").select(
         *j.RACE, F.lower("driver_code").alias("driver"), F.col("grid_position").alias("position"))
     out = j.with_grid(res.drop("grid_position"), slots)
     return out.select(*j.RACE, "driver_code", "team", "grid_position")
@@ -212,7 +210,7 @@ def entries(spark, d):
 
 def lazy_entries(spark, d):
     res = season(spark, d)
-    grid = res.filter("grid_position <= 40").select(*j.RACE, "driver_code", "grid_position")
+    grid = res.filter("finish_position IS NOT NULL").select(*j.RACE, "driver_code", "grid_position")
     rounds = h.with_circuit(res.select(*j.RACE, "circuit_name", "series").distinct(), b.circuit_dim(spark, d))
     sky = h.session_weather(b.weather_records(spark, d)).select(
         *j.RACE, F.col("air_temp_avg").alias("temperature"), (F.col("humidity_avg") % 70).alias("rain_probability"))
@@ -248,7 +246,7 @@ q2000 AS (SELECT driver_code, avg(grid_position) AS avg_quali FROM history WHERE
 ent AS (SELECT x.season_year, x.round_number, x.circuit_name, st.*, {NAME_LIST}[CAST(substring(st.driver_code, 2) AS BIGINT) % {len(NAMES)} + 1] AS tname, mates.teammate,
   raw_qi, coalesce(raw_qi, 0.7) AS qi, coalesce(raw_od, 'medium') AS od, g.grid_position AS grid, w.air_temp_avg AS temp, w.humidity_avg % 70 AS rain, q2000.avg_quali
  FROM rounds x JOIN st USING (series) JOIN mates USING (driver_code)
- LEFT JOIN (SELECT * FROM season WHERE grid_position <= 40) g ON g.season_year = x.season_year AND g.round_number = x.round_number AND g.driver_code = st.driver_code
+ LEFT JOIN (SELECT * FROM season WHERE finish_position IS NOT NULL) g ON g.season_year = x.season_year AND g.round_number = x.round_number AND g.driver_code = st.driver_code
  LEFT JOIN session_weather w ON w.season_year = x.season_year AND w.round_number = x.round_number LEFT JOIN q2000 ON q2000.driver_code = st.driver_code),
 past AS (SELECT circuit_name, driver_code, coalesce(avg(finish_position), 12) AS ap, coalesce({CONS.format('finish_position')}, 0.5) AS co, count(*) AS n, least(count(*) / 5.0, 1.0) AS ex
  FROM history GROUP BY ALL),

@@ -22,18 +22,18 @@ def append_table(
 ) -> None:
     """Append, partitioned on disk and clustered inside files for min/max skipping.
 
-    Rows meet by partition and cluster columns, so a large season spreads over its
-    circuits; adaptive execution sizes the files.
+    Rows are rebalanced by partition and cluster columns: adaptive execution splits what
+    is too large for one task and joins what is too small for a file.
     """
     keys = [*partition, *cluster]
-    placed = df.repartition(*keys).sortWithinPartitions(*keys)
+    placed = df.hint("rebalance", *[F.col(c) for c in keys]).sortWithinPartitions(*keys)
     placed.write.mode("append").partitionBy(*partition).parquet(path)
 
 
 def replace_events(df: DataFrame, path: str, keys: Sequence[str] = tuple(EVENT_PARTITION)) -> None:
     """Reload whole events: partitions present in `df` are replaced, all others kept."""
     (
-        df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        df.hint("rebalance", *[F.col(c) for c in keys])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
