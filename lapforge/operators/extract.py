@@ -119,14 +119,16 @@ def grid_slots(rows: DataFrame, key: str = "page_id") -> DataFrame:
 def _cascade(steps: Sequence[Callable[[Column], Column]], enough: int, row_type: str) -> Column:
     """Rows of each step in turn until `enough` have come together.
 
-    A step gets the rows so far. Later steps are only evaluated on texts that need them.
+    A step gets the rows so far and adds positions not found yet. Later steps are only
+    evaluated on texts that need them.
     """
 
     def merge(rows: Column, i: Column) -> Column:
         more = F.when(i == 0, steps[0](rows))
         for number, step in enumerate(steps[1:], 1):
             more = more.when(i == number, step(rows))
-        return F.when(F.size(rows) >= enough, rows).otherwise(F.concat(rows, more))
+        new = F.filter(more, lambda r: ~F.exists(rows, lambda old: old["position"] == r["position"]))
+        return F.when(F.size(rows) >= enough, rows).otherwise(F.concat(rows, new))
 
     turns = F.sequence(F.lit(0), F.lit(len(steps) - 1))
     return F.aggregate(turns, F.array().cast(f"array<struct<{row_type}>>"), merge)

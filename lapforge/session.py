@@ -29,6 +29,9 @@ def build_session(app_name: str = "lapforge", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from `spark.checkpoint.dir`.
 
@@ -40,9 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="lapforge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="lapforge-")
+    return _local_folders[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
