@@ -44,7 +44,7 @@ def attach(
     keys: Sequence[str],
     stats: Mapping[str, Column],
     block: str | None = None,
-    how: str = "inner",
+    how: str = "left",
 ) -> DataFrame:
     """Add group aggregates to every row: aggregate with map-side combine, then join back.
 

@@ -297,11 +297,11 @@ MODEL_SQL = V(s.RESULTS.replace("ranked AS", "places AS").replace("FROM ranked)"
 
 
 def model_query(name, columns, doubles, view, build):
-    sql = rounded_sql(MODEL_SQL, f"SELECT {RACE_KEY}, {', '.join(columns)} FROM {view}", doubles)
+    sql = rounded_sql(MODEL_SQL, f"SELECT {RACE_KEY}, {', '.join(columns)} FROM {view}", doubles, 9)
 
     @query(name, sql)
     def _(spark, d):
-        return rounded(build(spark, d).select(*j.RACE, "driver_code", *columns))
+        return rounded(build(spark, d).select(*j.RACE, "driver_code", *columns), 9)
 
 
 M03 = ["grid_position", "qualifying_advantage", "pole_position_bonus", "front_row_bonus", "top_5_bonus", "avg_quali_position"]
