@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, token_counts
+from lapforge.llm import bpe_codec, chat, fingerprints, pii, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,70 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, budget: int = 2048) -> Da
         (F.col("n_tokens") > budget).alias("over_limit"),
         F.col(f"words_in_{budget}").alias("words_in_limit"),
     )
+
+
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, one record per turn, and conversation -1, one record of another layout."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", "text").alias("record"))
+    extra = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.to_json(F.struct(F.lit(CONTROL_TURN).alias("prompt"), F.lit(CONTROL_TURN).alias("response"))).alias("record"),
+    )
+    turns = chat.canonical_turns(rows, "record").select("conv_id", "turn", F.explode("turns").alias("t"))
+    more = chat.canonical_turns(extra, "record").select("conv_id", F.posexplode("turns").alias("turn", "t"))
+    said = turns.unionByName(more.withColumn("turn", F.col("turn").cast("long"))).select("conv_id", "turn", "t.role", "t.text")
+    return chat.digests(chat.formatted(said))
+
+
+ESCAPE_SQL = r"regexp_replace({0}, '([<\[])(\\*)(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')"
+SQL["op10_chat_format"] = f"""
+WITH rows AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TURN}'), (-1, 1, 'assistant', '{CONTROL_TURN}')),
+kept AS (SELECT *, length({ESCAPE_SQL.format("text")}) + length({ESCAPE_SQL.format("role")}) + 24 AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM kept GROUP BY conv_id"""
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document and all spans, the learnt ones included."""
+    found = pii.personal_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[pii.counted(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = fingerprints.fingerprinted(docs, docs, keep=["doc_id", "text"])
+    chained = fingerprints.with_next(marked, "doc_id", ["text", "marks"])
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    whole = chained.select(
+        "doc_id", n.cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited")
+    )
+    again = fingerprints.fingerprinted(whole, docs, text="edited", marks="edited_marks")
+    return again.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.written("marks").alias("fingerprint"),
+        fingerprints.written("edited_marks").alias("edited_fingerprint"),
+        fingerprints.likeness("marks", "edited_marks").alias("near_edited"),
+        fingerprints.likeness("marks", "next_marks").alias("near_next"),
+    )
