@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, chat, decontam, fingerprints, pii, token_counts
+from lapforge.llm import bpe_codec, chat, decontam, fingerprints, jaccard_join, pii, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -155,3 +155,9 @@ found AS (SELECT r, count(DISTINCT item_id) AS n_items,
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles are nine tenths alike."""
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), size=3, percent=90)

@@ -124,11 +124,13 @@ def shingles(words: np.ndarray, rows: np.ndarray, size: int):
     out = np.zeros(len(row), np.uint64)
     whole = counts[row] >= size
     out[whole] = rolled[at[whole]]
-    for i in np.flatnonzero(~whole):
-        h = np.uint64(counts[row[i]])
-        for w in words[rows[row[i]] : rows[row[i] + 1]]:
-            h = mix(np.array([h * _SHINGLE_BASE + w], np.uint64))[0]
-        out[i] = h
+    short = at[~whole]
+    left = counts[row[~whole]]
+    h = left.astype(np.uint64)
+    for k in range(size - 1):
+        more = k < left
+        h[more] = mix(h[more] * _SHINGLE_BASE + words[short[more] + k])
+    out[~whole] = h
     return out, out_rows
 
 
