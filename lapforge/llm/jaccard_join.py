@@ -6,15 +6,15 @@ shingles (the l-prefix) share at least l. A longer prefix costs more postings bu
 shared shingles of a candidate: each text takes the l of least estimated cost, and a pair must
 share the smaller l of its two. Nothing that links is missed, whatever the estimates.
 
-1. Shingle counts go into a sketch of fixed size (2^20 cells); cells that stand out of the
-   noise rank their shingles as frequent. The ranks, 1 MB, are sent to all tasks.
+1. Shingle counts go into a sketch of fixed size (2^22 cells); cells that stand out of the
+   noise rank their shingles as frequent. The ranks, 4 MB, are sent to all tasks.
 2. Texts with equal sets are one class from here on.
 3. Each prefix shingle first links all that hold it to one of them, its hub: as many
    candidates as postings, however large a group of near copies is. Candidates are verified on
    their full sets and connected.
 4. Only postings of different components under one shingle are then paired, filtered by
-   length and number of shared shingles, verified, and connected with the rest. A group of
-   near copies is one component by then and yields no pairs.
+   length, place in the prefix and number of shared shingles, verified, and connected with the
+   rest. Near copies that link are one component by then and yield no pairs.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; a
 text of fewer words than a shingle has its whole sequence as one; rows that share an id share
@@ -35,7 +35,7 @@ from lapforge.llm.arrow import with_columns
 from lapforge.llm.words import SPACED, mix, pieces, row_sums, shingles, text_bytes, word_hashes
 from lapforge.session import cut_lineage
 
-CELL_BITS, CHUNK = 20, 4096
+CELL_BITS, CHUNK = 22, 4096
 MOST_MATCHES = 4  # longest prefix extension that is considered
 NOISE = 4.0  # standard deviations from which a cell counts as frequent
 BROADCAST_ROWS = 500_000  # ids of texts to verify up to which they are sent to all tasks
@@ -59,10 +59,10 @@ def cell_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.int32)
         for batch in batches:
             for piece in pieces(batch, text):
-                counts += np.bincount(_cells(_shingled(piece, text, size)[0]), minlength=len(counts))
+                np.add.at(counts, _cells(_shingled(piece, text, size)[0]), 1)
         chunks = counts.reshape(-1, CHUNK)
         yield sent({int(i): chunks[i] for i in np.flatnonzero(chunks.any(1))})
 
@@ -70,7 +70,7 @@ def cell_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int64)
+                totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
         yield sent(totals)
 
     summed = docs.select(text).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
@@ -196,8 +196,18 @@ def full_sets(docs: DataFrame, order, size: int, text: str) -> DataFrame:
     return with_columns(docs, text, fields, prepare, keep=[])
 
 
-def _long_enough(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _near_enough(x: str, y: str, percent: int) -> Column:
+    """Whether a shared shingle of postings `x` and `y` (struct or alias) counts for the pair.
+
+    The lengths must allow a link. A pair that links shares at least `both` = ceil(t / (1 + t)
+    (n + n')) shingles, so of the m that it must share in its prefixes, each lies among the
+    first n - both + m of either text.
+    """
+    n, other = F.col(f"{x}.n"), F.col(f"{y}.n")
+    both = F.ceil((n + other) * percent / (100 + percent))
+    m = F.least(f"{x}.matches", f"{y}.matches")
+    long_enough = F.least(n, other) * 100 >= F.greatest(n, other) * percent
+    return long_enough & (F.col(f"{x}.pos") < n - both + m) & (F.col(f"{y}.pos") < other - both + m)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,16 +278,17 @@ def similarity_classes(
         .withColumn("sid", F.monotonically_increasing_id())
     )
     sets = cut_lineage(sets)
-    postings = sets.select("sid", F.col("n_shingles").alias("n"), "matches", F.explode("prefix").alias("key"))
+    postings = sets.select("sid", F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "key"))
     hubs = (
         postings.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "sid", "matches")).alias("hub"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "sid", "matches", "pos")).alias("hub"))
         .filter("c > 1")
         .drop("c")
     )
     shared = cut_lineage(postings.join(hubs, "key"))
     starred = cut_lineage(
-        shared.filter((F.col("sid") != F.col("hub.sid")) & _long_enough(F.col("n"), F.col("hub.n"), percent))
+        shared.withColumn("own", F.struct("n", "matches", "pos"))
+        .filter((F.col("sid") != F.col("hub.sid")) & _near_enough("own", "hub", percent))
         .groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("matches", "hub.matches")).alias("m"))
         .filter("c >= m")
@@ -286,7 +297,7 @@ def similarity_classes(
     links = cut_lineage(_verified(starred, sets, docs, order, size, percent, text, id_))
     joined = components(links)
     parted = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "key", "sid", "n", "matches", F.coalesce("comp", "sid").alias("comp")
+        "key", "sid", "n", "matches", "pos", F.coalesce("comp", "sid").alias("comp")
     )
     mixed = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut_lineage(parted.join(mixed, "key"))
@@ -297,7 +308,7 @@ def similarity_classes(
             (F.col("l.key") == F.col("r.key"))
             & (F.col("l.sid") < F.col("r.sid"))
             & (F.col("l.comp") != F.col("r.comp"))
-            & _long_enough(F.col("l.n"), F.col("r.n"), percent),
+            & _near_enough("l", "r", percent),
         )
         .groupBy(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("l.matches", "r.matches")).alias("m"))
