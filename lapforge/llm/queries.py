@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, chat, decontam, fingerprints, jaccard_join, pii, token_counts
+from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,10 @@ FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 3-word shingles are nine tenths alike."""
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_blocks.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", "n_chars")
