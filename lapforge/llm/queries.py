@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, token_counts
+from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,15 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_blocks.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labelled ones that are not held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scores = quality.scored(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("quality"), ~held_out
+    )
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
