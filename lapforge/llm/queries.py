@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, quality, token_counts
+from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +180,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is more likely graded than not."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(docs, model, keep=["doc_id"])
+    return scores.select("doc_id", "severity", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
