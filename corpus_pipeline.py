@@ -1,23 +1,85 @@
-"""Documents made ready for training, stage by stage; each stage's rows are written and read by the next."""
+"""Documents made ready for training, stage by stage.
+
+Every stage takes the documents that the one before kept and returns documents, the last one
+their token ids. Between stages the rows are written to the folder that all executors share,
+so a lost executor costs one stage's task and never the whole chain.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
 import public_tokenizers
-from lapforge.llm import bpe_codec
-from lapforge.session import shared_folder
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lapforge.llm import bpe_codec, decontam, jaccard_join, pii, toxicity
+from lapforge.session import cut_lineage, shared_folder
+
+SENT_IDS = 500_000  # removed ids up to which they are sent to all tasks
+
+
+def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """`docs` without the ids of `removed`. Rows that share an id share its fate."""
+    removed = cut_lineage(removed.select("doc_id").distinct())
+    if removed.count() <= SENT_IDS:
+        removed = F.broadcast(removed)
+    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low expected severity; the labels' marks teach what is severe."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    scored = toxicity.scored(docs.select(*[F.col(c).alias(n) for c, n in names.items()]), model, names["text"])
+    kept = scored.filter(F.col("severity") < toxicity.REJECT)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (four fifths of 5-word shingles shared) the one of least id."""
+    classes = jaccard_join.similarity_classes(docs, size=5, percent=80)
+    return without(docs, classes.filter("component_id <> doc_id"))
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten consecutive words of a benchmark item."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return without(docs, found.filter("n_hit > 0"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked, and `n_chars` counted anew where it was."""
+    masked = pii.masked(pii.personal_spans(docs))
+    changed = F.size("spans") > 0
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents as token ids, with what the ids spell."""
+    """Token ids of the documents, and the text that the ids spell."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_codec.encode(docs, path, decoded="decoded", keep=["doc_id", "lang", "source"])
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [
+    ("toxicity", harmless),
+    ("ngram_jaccard_join", distinct),
+    ("decontamination", unseen),
+    ("personal_data", private),
+    ("bpe", encoded),
+]
+# Severity, the learnt patterns and merges by rank are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """All stages over `documents`; every stage's rows are written, then read by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
