@@ -74,7 +74,7 @@ def cell_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
         yield sent(totals)
 
     summed = docs.select(text).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    out = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    out = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.float32).reshape(-1, CHUNK)
     for row in summed.toLocalIterator():
         out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
     return out.ravel()
@@ -87,9 +87,11 @@ class Order:
         # A few frequent shingles do not move the median; noise is that of a random dealing.
         usual = float(np.median(counts))
         self.noise = max(usual, 1.0) ** 0.5
-        above = np.maximum(counts - usual, 0)
-        frequent = above > NOISE * self.noise
-        self.rank = np.where(frequent, 1 + np.log2(np.maximum(above, 1)).astype(int), 0).astype(np.uint8)
+        self.rank = np.zeros(len(counts), np.uint8)
+        for start in range(0, len(counts), 16 * CHUNK):  # in parts, to spare the driver's memory
+            above = np.maximum(counts[start : start + 16 * CHUNK] - usual, 0)
+            rank = 1 + np.log2(np.maximum(above, 1)).astype(np.uint8)
+            self.rank[start : start + 16 * CHUNK] = np.where(above > NOISE * self.noise, rank, 0)
         self.documents = max(documents, 1)
 
     def keys(self, values: np.ndarray) -> np.ndarray:
@@ -279,15 +281,12 @@ def similarity_classes(
     )
     sets = cut_lineage(sets)
     postings = sets.select("sid", F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "key"))
-    hubs = (
-        postings.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "sid", "matches", "pos")).alias("hub"))
-        .filter("c > 1")
-        .drop("c")
-    )
-    shared = cut_lineage(postings.join(hubs, "key"))
+    repeated = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    shared = cut_lineage(postings.join(repeated, "key"))
+    hubs = shared.groupBy("key").agg(F.min(F.struct("n", "sid", "matches", "pos")).alias("hub"))
     starred = cut_lineage(
-        shared.withColumn("own", F.struct("n", "matches", "pos"))
+        shared.join(hubs, "key")
+        .withColumn("own", F.struct("n", "matches", "pos"))
         .filter((F.col("sid") != F.col("hub.sid")) & _near_enough("own", "hub", percent))
         .groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("matches", "hub.matches")).alias("m"))
