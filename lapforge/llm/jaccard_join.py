@@ -10,8 +10,9 @@ share the smaller l of its two. Nothing that links is missed, whatever the estim
    noise rank their shingles as frequent. The ranks, 4 MB, are sent to all tasks.
 2. Texts with equal sets are one class from here on.
 3. Each prefix shingle first links all that hold it to one of them, its hub: as many
-   candidates as postings, however large a group of near copies is. Candidates are verified on
-   their full sets and connected.
+   candidates as postings, however large a group of near copies is. The hub is the text in
+   which the shingle comes first: rarer ones before it are mostly edits, so it is the least
+   edited. Candidates are verified on their full sets and connected.
 4. Only postings of different components under one shingle are then paired, filtered by
    length, place in the prefix and number of shared shingles, verified, and connected with the
    rest. Near copies that link are one component by then and yield no pairs.
@@ -283,7 +284,7 @@ def similarity_classes(
     postings = sets.select("sid", F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "key"))
     repeated = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     shared = cut_lineage(postings.join(repeated, "key"))
-    hubs = shared.groupBy("key").agg(F.min(F.struct("n", "sid", "matches", "pos")).alias("hub"))
+    hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "sid", "matches")).alias("hub"))
     starred = cut_lineage(
         shared.join(hubs, "key")
         .withColumn("own", F.struct("n", "matches", "pos"))
