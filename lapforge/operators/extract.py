@@ -20,16 +20,17 @@ def _groups(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
-def _guard(text: Column, pattern: str, found: Column, empty: Column) -> Column:
+def _guard(text: Column, pattern: str, flags: str, found: Column, empty: Column) -> Column:
+    """`found` where the text holds what the pattern needs, looked for with the same flags."""
     need = k.PATTERN_NEEDS.get(pattern)
-    return found if need is None else F.when(text.rlike("(?i)" + need), found).otherwise(empty)
+    return found if need is None else F.when(text.rlike(f"(?{flags}){need}"), found).otherwise(empty)
 
 
 def find_all(text: Column, pattern: str, flags: str = "i") -> Column:
     """All matches: the first group, or the whole match for a pattern without groups."""
     group = min(_groups(pattern), 1)
     found = F.regexp_extract_all(text, F.lit(f"(?{flags}){pattern}"), F.lit(group))
-    return _guard(text, pattern, found, F.array().cast("array<string>"))
+    return _guard(text, pattern, flags, found, F.array().cast("array<string>"))
 
 
 def find_rows(text: Column, pattern: str, flags: str = "im") -> Column:
@@ -46,7 +47,7 @@ def first_match(text: Column, patterns: Sequence[str], group: int = 1, flags: st
     hits = []
     for p in patterns:
         hit = F.nullif(F.regexp_extract(text, f"(?{flags}){p}", min(group, _groups(p))), F.lit(""))
-        hits.append(_guard(text, p, hit, F.lit(None).cast("string")))
+        hits.append(_guard(text, p, flags, hit, F.lit(None).cast("string")))
     return F.coalesce(*hits)
 
 
@@ -134,12 +135,28 @@ def _cascade(steps: Sequence[Callable[[Column], Column]], enough: int, row_type:
     return F.aggregate(turns, F.array().cast(f"array<struct<{row_type}>>"), merge)
 
 
+def _placed(position: Column, places: int | None) -> Column:
+    """Whether a position counts: from 1, up to `places` where that is given."""
+    return position >= 1 if places is None else position.between(1, places)
+
+
+def _top(rows: Column, limit: int | None) -> Column:
+    """The first `limit` rows, all without one."""
+    return rows if limit is None else F.slice(rows, 1, limit)
+
+
 def _digits(c: Column) -> Column:
     return c.rlike(r"^\d+$")
 
 
-def driver_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_matches: int = 10, limit: int = 20) -> DataFrame:
-    """Driver standings lines: patterns in turn until ten valid rows, twenty matches each."""
+def driver_standings(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_matches: int = 10, limit: int | None = None, places: int | None = None
+) -> DataFrame:
+    """Driver standings lines: patterns in turn until ten valid rows have come together.
+
+    `places` is the last position that counts and `limit` the most valid rows a pattern may
+    give; by default there is neither, and texts of any length are read.
+    """
 
     def parsed(m: Column) -> Column:
         rest = F.slice(m, 3, F.size(m) - 2)
@@ -157,21 +174,23 @@ def driver_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         )
 
     def valid(r: Column) -> Column:
-        return r["position"].between(1, 25) & (r["points"] >= 0) & (r["name"] != "Unknown")
+        return _placed(r["position"], places) & (r["points"] >= 0) & (r["name"] != "Unknown")
 
     body = F.col(text)
     per_pattern = [
-        lambda _, p=p: F.filter(F.transform(F.slice(find_rows(body, p), 1, limit), parsed), valid)
+        lambda _, p=p: _top(F.filter(F.transform(find_rows(body, p), parsed), valid), limit)
         for p in k.DRIVER_STANDING_PATTERNS
     ]
     kind = "position:int,name:string,code:string,points:int,team:string"
-    long_enough = docs.filter(F.length(text) >= 50)
-    found = long_enough.select(key, _cascade(per_pattern, min_matches, kind).alias("__rows"))
+    found = docs.select(key, _cascade(per_pattern, min_matches, kind).alias("__rows"))
     return found.select(key, (F.size("__rows") >= min_matches).alias("complete"), F.inline("__rows"))
 
 
-def team_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_matches: int = 5, limit: int = 10) -> DataFrame:
-    """Constructor standings lines: patterns in turn until five valid rows, ten matches each."""
+def team_standings(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_matches: int = 5, limit: int | None = None, places: int | None = None
+) -> DataFrame:
+    """Constructor standings lines: patterns in turn until five valid rows have come together;
+    `limit` and `places` as for drivers."""
 
     def row(position: Column, team: Column, points: Column) -> Column:
         return F.struct(
@@ -181,25 +200,29 @@ def team_standings(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         )
 
     def valid(r: Column) -> Column:
-        return r["position"].between(1, 10) & (r["points"] >= 0)
+        return _placed(r["position"], places) & (r["points"] >= 0)
 
     def placed(pattern: str) -> Column:
-        found = F.slice(find_rows(F.col(text), pattern), 1, limit)
-        return F.filter(F.transform(found, lambda m: row(m[0], m[1], m[2])), valid)
+        found = find_rows(F.col(text), pattern)
+        return _top(F.filter(F.transform(found, lambda m: row(m[0], m[1], m[2])), valid), limit)
 
     def listed(rows: Column) -> Column:
         # Lines without a position are numbered on from the rows already found.
-        found = F.slice(find_rows(F.col(text), k.TEAM_STANDING_PATTERNS[2]), 1, limit)
+        found = find_rows(F.col(text), k.TEAM_STANDING_PATTERNS[2])
         numbered = lambda m, i: row((F.size(rows) + i + 1).cast("string"), m[0], m[1])
-        return F.filter(F.transform(found, numbered), valid)
+        return _top(F.filter(F.transform(found, numbered), valid), limit)
 
     steps = [lambda _: placed(k.TEAM_STANDING_PATTERNS[0]), lambda _: placed(k.TEAM_STANDING_PATTERNS[1]), listed]
     rows = _cascade(steps, min_matches, "position:int,team:string,points:int")
-    long_enough = docs.filter(F.length(text) >= 50)
-    return long_enough.select(key, F.inline(rows))
+    return docs.select(key, F.inline(rows))
+
+
+def _with(columns: Callable[[Column], list[Column]], **fixed: str) -> Callable[[Column], Column]:
+    """A function from an array's element to a struct of its columns and fixed values."""
+    return lambda element: F.struct(*columns(element), *[F.lit(v).alias(n) for n, v in fixed.items()])
 
 
-def session_rows(docs: DataFrame, sections: Sequence[str], key: str = "doc_id", text: str = "text", limit: int = 10) -> DataFrame:
+def _session_rows(text: str, sections: Sequence[str], limit: int | None, places: int | None) -> Column:
     """Rows of the first section and row pattern that give any: position, driver, time."""
 
     def parsed(m: Column) -> Column:
@@ -209,33 +232,45 @@ def session_rows(docs: DataFrame, sections: Sequence[str], key: str = "doc_id",
             F.element_at(m, -1).alias("time"),
         )
 
-    valid = lambda r: r["position"].between(1, 20) & (r["driver"] != "")
+    valid = lambda r: _placed(r["position"], places) & (r["driver"] != "")
+    kind = "position:int,driver:string,time:string"
+
     def in_section(section: str) -> Callable[[Column], Column]:
         body = F.regexp_extract(text, f"(?is){section}", 1)
 
         def rows_of(part: Column) -> Column:
             def by(pattern: str) -> Callable[[Column], Column]:
-                return lambda _: F.filter(F.transform(F.slice(find_rows(part, pattern), 1, limit), parsed), valid)
+                return lambda _: _top(F.filter(F.transform(find_rows(part, pattern), parsed), valid), limit)
 
             return _cascade([by(p) for p in k.SESSION_ROW_PATTERNS], 1, kind)
 
         # The section is found once and then tried with every row pattern.
         return lambda _: F.flatten(F.transform(F.array(body), rows_of))
 
-    kind = "position:int,driver:string,time:string"
-    rows = _cascade([in_section(s) for s in sections], 1, kind)
-    return docs.select(key, F.inline(rows))
+    return _cascade([in_section(s) for s in sections], 1, kind)
+
+
+def session_rows(
+    docs: DataFrame, sections: Sequence[str], key: str = "doc_id", text: str = "text", limit: int | None = None, places: int | None = None
+) -> DataFrame:
+    """Rows of the first section and row pattern that give any: position, driver, time."""
+    return docs.select(key, F.inline(_session_rows(text, sections, limit, places)))
 
 
-def extract_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of every session found in a weekend report."""
+def extract_sections(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, places: int | None = None
+) -> DataFrame:
+    """Rows of every session found in a weekend report, in one scan of the texts."""
     named = {"Qualifying": k.GRID_SECTION_PATTERNS}
     named |= {f"FP{n}": k.practice_section_patterns(n) for n in (1, 2, 3)}
-    parts = [session_rows(docs, p, key, text).withColumn("session", F.lit(s)) for s, p in named.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    fields = ("position", "driver", "time")
+    tagged = [
+        F.transform(
+            _session_rows(text, sections, limit, places), _with(lambda r: [r[f].alias(f) for f in fields], session=name)
+        )
+        for name, sections in named.items()
+    ]
+    return docs.select(key, F.inline(F.concat(*tagged)))
 
 
 def extract_pole(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: Sequence[str] = k.POLE_PATTERNS) -> DataFrame:
@@ -286,31 +321,38 @@ def race_reports(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     ).filter(F.col("weather").isNotNull() | F.col("winner").isNotNull())
 
 
+def _codes(text: str, patterns: Sequence[str], distinct: bool) -> Column:
+    codes = F.filter(F.transform(_mentions(F.col(text), patterns), F.upper), lambda x: F.length(x) == 3)
+    return F.array_distinct(codes) if distinct else codes
+
+
 def code_mentions(docs: DataFrame, patterns: Sequence[str], key: str = "doc_id", text: str = "text", distinct: bool = True) -> DataFrame:
     """Three-letter codes named by any pattern, each once per document unless told otherwise."""
-    codes = F.filter(F.transform(_mentions(F.col(text), patterns), F.upper), lambda x: F.length(x) == 3)
-    return docs.select(key, F.explode(F.array_distinct(codes) if distinct else codes).alias("code"))
+    return docs.select(key, F.explode(_codes(text, patterns, distinct)).alias("code"))
 
 
 def form_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Drivers in form, struggling, and circuit specialists named in a document."""
+    """Drivers in form, struggling, and circuit specialists named in a document, in one scan."""
     kinds = {
         "in_form": (k.IN_FORM_PATTERNS, True),
         "struggling": (k.STRUGGLING_PATTERNS, True),
         "specialist": (k.SPECIALIST_PATTERNS, False),
     }
-    parts = [code_mentions(docs, p, key, text, once).withColumn("kind", F.lit(kind)) for kind, (p, once) in kinds.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tagged = [
+        F.transform(_codes(text, p, once), _with(lambda c: [c.alias("code")], kind=kind))
+        for kind, (p, once) in kinds.items()
+    ]
+    return docs.select(key, F.inline(F.concat(*tagged)))
 
 
 def update_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Driver changes and technical updates with their fixed impact."""
+    """Driver changes and technical updates with their fixed impact, in one scan."""
     kinds = {"driver_change": (k.DRIVER_CHANGE_PATTERNS, "medium"), "technical_update": (k.TECH_UPDATE_PATTERNS, "positive")}
-    parts = [
-        docs.select(key, F.explode(_mentions(F.col(text), p)).alias("description"), F.lit(kind).alias("kind"), F.lit(impact).alias("impact"))
+    tagged = [
+        F.transform(_mentions(F.col(text), p), _with(lambda x: [x.alias("description")], kind=kind, impact=impact))
         for kind, (p, impact) in kinds.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return docs.select(key, F.inline(F.concat(*tagged)))
 
 
 def extract_int(docs: DataFrame, patterns: Sequence[str] = k.RACES_COMPLETED_PATTERNS, key: str = "doc_id", text: str = "text", name: str = "races_completed") -> DataFrame:

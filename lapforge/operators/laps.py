@@ -64,7 +64,7 @@ def _filter_outliers(
 ) -> DataFrame:
     # Null times neither move the median nor pass the filter.
     timed = df.filter(F.col(col).isNotNull())
-    kept = with_group_stats(timed, keys, {"__median": F.percentile_approx(col, 0.5)}, block)
+    kept = with_group_stats(timed, keys, {"__median": F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}`)")}, block)
     value = F.col(col)
     return kept.filter((value > 0) & (value <= F.col("__median") * factor)).drop("__median")
 

@@ -246,7 +246,7 @@ def _(spark, d):
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
-LOG_SQL = """WITH log AS (SELECT DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) AS day, text AS question, left(repeat(text, 3), 2000) AS response, role <> 'system' AS success,
+LOG_SQL = """WITH log AS (SELECT DATE '2024-01-01' + CAST(conv_id % 7 AS INTEGER) AS day, text AS question, repeat(text, 3) AS response, role <> 'system' AS success,
  CASE WHEN role = 'system' THEN 'refused' ELSE '' END AS error, CAST(length(text) AS DOUBLE) AS latency_ms, role AS model_used, conv_id * 10 + turn AS estimated_bytes FROM conversations) """
 
 

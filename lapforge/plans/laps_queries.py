@@ -45,7 +45,7 @@ def _(spark, d):
 def _(spark, d):
     timed = b.timed_laps(spark, d)
     keys = [*l.DRIVER_RACE, "stint"]
-    return timed.groupBy(*keys).agg(F.percentile_approx(T, 0.5).alias("median_lap"))
+    return timed.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {T})").alias("median_lap"))
 
 
 @query("P05_filter_vs_best", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, lap_time_seconds FROM timed_laps QUALIFY lap_time_seconds <= min(lap_time_seconds) OVER (PARTITION BY {DRIVER_RACE}) * CAST(1.1 AS DOUBLE)")

@@ -374,21 +374,21 @@ def place(rows):
 
 
 @query("X05_driver_standings", NAMED + f"""
-SELECT doc_id, count(*) OVER (PARTITION BY doc_id) >= 10 AS complete, finish_position AS position, name, code, pts AS points, CASE WHEN {HINTED} THEN {STANDARD} END ELSE 'Unknown' END AS team FROM named WHERE finish_position <= 20""")
+SELECT doc_id, count(*) OVER (PARTITION BY doc_id) >= 10 AS complete, finish_position AS position, name, code, pts AS points, CASE WHEN {HINTED} THEN {STANDARD} END ELSE 'Unknown' END AS team FROM named""")
 def _(spark, d):
     rows = texted(spark, d)
     line = F.concat(place(rows), F.lit(". "), "name", F.lit(" ("), "code", F.lit(") - "), "team", F.lit(" - "), "pts", F.lit(" points"))
     return x.driver_standings(documents_of(rows, line, "Championship table\n", "\nend"))
 
 
-@query("X06_valid_positions", NAMED + "SELECT doc_id, finish_position AS position, name, pts AS points FROM named WHERE finish_position <= 20")
+@query("X06_valid_positions", NAMED + "SELECT doc_id, finish_position AS position, name, pts AS points FROM named")
 def _(spark, d):
     rows = texted(spark, d)
     line = F.concat(F.lit("P"), place(rows), F.lit(": "), "name", F.lit(" ("), "team", F.lit(") - "), "pts", F.lit(" pts"))
     return x.driver_standings(documents_of(rows, line, "Championship table\n")).select("doc_id", "position", "name", "points")
 
 
-@query("X05_team_standings", NAMED + f"SELECT doc_id, finish_position AS position, {STANDARD} ELSE tname END AS team, pts AS points FROM named WHERE finish_position <= 10")
+@query("X05_team_standings", NAMED + f"SELECT doc_id, finish_position AS position, {STANDARD} ELSE tname END AS team, pts AS points FROM named")
 def _(spark, d):
     rows = texted(spark, d)
     line = F.concat(place(rows), F.lit(". "), "team", F.lit(" - "), "pts", F.lit(" points"))

@@ -130,3 +130,25 @@ def test_weather_rules(spark):
     assert cls(31.0, 0.0, 0.5) == "normal_conditions" and cls(10.0, 0.0, 0.5) == "cold_conditions"
     assert value(spark, w.strategy_notes(F.lit(31.0), F.lit(21.0))) == k.NOTES_DAMP + k.NOTES_HOT
     assert value(spark, w.strategy_notes(F.lit(20.0), F.lit(0.0))) == []
+
+
+def test_guards_follow_their_pattern(spark):
+    """A guard never loses a match, line breaks included."""
+    texts = [
+        "Ann Lee took pole\nwith a time of 1:15.372", "Ann Lee secured\npole position", "Ann Lee won\nthe race",
+        "Ann received a\n5-second penalty", "Ann, the rain\nspecialist", "pole position: Ann\n1:15.372", "nothing",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    for pattern in k.PATTERN_NEEDS:
+        for flags in ("i", "is", "im"):
+            bare = F.nullif(F.regexp_extract("text", f"(?{flags}){pattern}", 1), F.lit(""))
+            both = docs.select(bare.alias("bare"), x.first_match(F.col("text"), [pattern], 1, flags).alias("guarded"))
+            assert both.filter("NOT (bare <=> guarded)").isEmpty()
+
+
+def test_standings_are_checked_before_any_cut(spark):
+    bad = "\n".join(f"{i}. Ann Lee (LEE) - Ferrari - {i} points" for i in range(900, 920))
+    good = "\n".join(f"{i}. Ann Lee (LEE) - Ferrari - {i} points" for i in range(1, 26))
+    docs = spark.createDataFrame([(1, bad + "\n" + good)], "doc_id int, text string")
+    assert x.driver_standings(docs, places=25).count() == 25
+    assert x.driver_standings(docs, places=25, limit=20).count() == 20
