@@ -33,15 +33,17 @@ def stamp_published(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 
 def replay(
-    df: DataFrame, path: str, order: Sequence[str] = ("lap_number", "driver_code"), slices: int = 8
+    df: DataFrame, path: str, rows_per_slice: int, order: Sequence[str] = ("lap_number", "driver_code")
 ) -> DataFrame:
     """Publish history slice by slice and return a stream that reads a file per trigger.
 
-    Slices are ranges of `order`, sorted inside. They are cut in one job next to `path`
-    and then published one after the other, since file streams go by modification time.
-    The pace is the reader's trigger interval.
+    Slices are ranges of `order` of about `rows_per_slice` rows, each one sorted file, so
+    order holds within slices too. They are cut in one job next to `path` and then published
+    one after the other, since file streams go by modification time. The pace is the reader's
+    trigger interval.
     """
     spark = df.sparkSession
+    slices = max(1, -(-df.count() // rows_per_slice))
     ordered = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
     cut = f"{path}-slices"
     ordered.withColumn("__slice", F.spark_partition_id()).write.partitionBy("__slice").parquet(cut)
@@ -49,7 +51,7 @@ def replay(
         one = spark.read.schema(df.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
         name = f"{cut}/__slice={i}"
         if _exists(spark, name):
-            one.parquet(name).sortWithinPartitions(*order).write.mode("append").parquet(path)
+            one.parquet(name).coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -68,9 +70,9 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def append_live(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Append one micro-batch; a repeated batch overwrites its own folder instead of doubling."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_live(batch: DataFrame, path: str, batch_id: int, run: str) -> None:
+    """Append one micro-batch of a run; a repeated batch overwrites its own folder instead of doubling."""
+    batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
 def microbatch(
@@ -83,11 +85,13 @@ def microbatch(
     """Flush the stream into `path` every `seconds`, or everything there is and stop for None.
 
     The number of rows per flush is limited at the source (`maxFilesPerTrigger`,
-    `maxOffsetsPerTrigger`).
+    `maxOffsetsPerTrigger`). Batches go into a folder of their checkpoint's query id: a stream
+    that goes on appends to it, one with a new checkpoint never replaces what others wrote.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        append_live(transform(batch) if transform else batch, path, batch_id)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_live(transform(batch) if transform else batch, path, batch_id, run)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(flush)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")

@@ -85,12 +85,21 @@ def test_stream_equals_batch_and_repeats_are_dropped(spark, rows, tmp_path):
 
 def test_replay_comes_in_order(spark, tmp_path):
     df = spark.createDataFrame([(n, d) for n in range(1, 31) for d in "ab"], "lap_number int, driver_code string")
-    stream = st.replay(df, str(tmp_path / "replay"), slices=5)
+    stream = st.replay(df, str(tmp_path / "replay"), rows_per_slice=12)
     assert st.drain(st.microbatch(stream, str(tmp_path / "out"), str(tmp_path / "state"), seconds=None), 60)
     spans = spark.read.parquet(str(tmp_path / "out")).groupBy("batch_id").agg(F.min("lap_number").alias("lo"), F.max("lap_number").alias("hi")).orderBy("batch_id").collect()
     assert len(spans) > 1 and all(a.hi <= b.lo for a, b in zip(spans, spans[1:]))
 
 
+def test_a_second_run_appends(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for run, rows in enumerate((5, 3)):
+        (tmp_path / "in" / f"{run}.json").write_text("\n".join(json.dumps({"year": 2024, "round": run, "driver_code": "VER", "lap_number": n}) for n in range(rows)))
+        stream = st.decode(st.read_lap_stream(spark, "text", path=str(tmp_path / "in"), pathGlobFilter=f"{run}.json"), LIVE_LAPS)
+        assert st.drain(st.microbatch(stream, str(tmp_path / "out"), str(tmp_path / f"state{run}"), seconds=None), 60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
 def test_race_replay_nested(spark):
     laps = spark.createDataFrame(
         [(2023, "C", "RACE", n, p, d, 80.0 + p) for n in range(1, 22) for p, d in ((2, "B"), (1, "A"))] + [(2024, "C", "RACE", 1, 1, "A", 81.0)],
@@ -103,7 +112,8 @@ def test_race_replay_nested(spark):
 
 def test_query_log(spark):
     log = spark.createDataFrame([("x" * 3000, None), (None, "e")], "response string, error string")
-    out = wr.log_rows(log).collect()
+    assert len(wr.log_rows(log).collect()[0].response) == 3000
+    out = wr.log_rows(log, response_chars=2000).collect()
     assert (len(out[0].response), out[0].error, out[1].response) == (2000, "", "")
 
 
