@@ -1,9 +1,8 @@
 """Per-group work that stays distributed when one group is huge.
 
 A plain window puts every row of its partition key into one task. That is the best
-plan while groups are small, which for laps is provable: staging leaves one row per
-driver, race and lap number, so a group whose lap numbers stay below `LAP_BLOCK` has
-fewer than `LAP_BLOCK` rows. `spans_blocks` checks this before a plan is chosen.
+plan while groups are small, which callers must know: staging leaves one row per driver,
+race and lap number, and a race has a bounded number of laps.
 
 Otherwise (`block` given) a group is cut into *blocks* along its own order, work
 happens inside blocks, and only a few values per block cross block borders.
@@ -29,11 +28,6 @@ def blocked(df: DataFrame, order: str = "lap_number", size: int | None = None) -
     return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(size or LAP_BLOCK)).cast("long"))
 
 
-def spans_blocks(df: DataFrame, order: str = "lap_number", size: int | None = None) -> bool:
-    """Whether any row lies beyond the first block: one filtered look, pushed to the scan."""
-    return not df.filter(F.col(order) >= (size or LAP_BLOCK)).select(F.lit(1)).isEmpty()
-
-
 def filled(df: DataFrame, column: str, name: str = "__stint", value: int = -1) -> DataFrame:
     """Add `name`, a copy of a nullable key column with nulls replaced by `value`."""
     return df.withColumn(name, F.coalesce(F.col(column), F.lit(value)))

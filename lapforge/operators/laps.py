@@ -14,7 +14,6 @@ from lapforge.operators.groups import (
     attach,
     blocked,
     filled,
-    spans_blocks,
     with_group_stats,
     with_neighbours,
     with_rank,
@@ -29,12 +28,10 @@ LAP = [*RACE, "lap_number"]
 TIME = "lap_time_seconds"
 
 
-def _prepared(df: DataFrame, spans: bool | None) -> tuple[DataFrame, str | None]:
-    """Add the non-null stint key, and blocks if some group may be too big for one task."""
+def _prepared(df: DataFrame, spans: bool) -> tuple[DataFrame, str | None]:
+    """Add the non-null stint key, and blocks unless the caller knows all groups to be small."""
     if "stint" in df.columns:
         df = filled(df, "stint")
-    if spans is None:
-        spans = spans_blocks(df)
     return (blocked(df), BLOCK) if spans else (df, None)
 
 
@@ -47,13 +44,14 @@ def filter_outliers(
     keys: Sequence[str] = STINT,
     col: str = TIME,
     factor: float = 1.10,
-    spans: bool | None = None,
+    spans: bool = True,
 ) -> DataFrame:
     """Keep positive times up to `factor` times the group's median.
 
     The median is taken over all rows of the group before any filter and is an actual
     element (the lower one of two); the limit is inclusive. Here and below, `spans`
-    says whether groups can be too big for one task; by default the data is asked.
+    says whether groups can be too big for one task; False is for callers who know they
+    cannot, as after staging, which leaves one row per driver, race and lap number.
     """
     df, block = _prepared(df, spans)
     return _bare(_filter_outliers(df, keys, col, factor, block))
@@ -98,7 +96,7 @@ def _deviation(*values: Column) -> Column:
 
 
 def lap_delta(
-    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool = True
 ) -> DataFrame:
     """Add `lap_delta`, the change from the previous lap of the stint."""
     df, block = _prepared(df, spans)
@@ -108,7 +106,7 @@ def lap_delta(
 
 
 def stint_features(
-    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool = True
 ) -> DataFrame:
     """Add `lap_delta`, `rolling_delta_3` and `stint_lap_index` in one pass over the stint."""
     df, block = _prepared(df, spans)
@@ -135,14 +133,14 @@ def _stint_features(df: DataFrame, keys: Sequence[str], col: str, block: str | N
 
 
 def rolling_delta(
-    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = STINT, col: str = TIME, spans: bool = True
 ) -> DataFrame:
     """Add `rolling_delta_3`, the lap delta averaged over the lap and its two neighbours."""
     return stint_features(df, keys, col, spans).drop("lap_delta", "stint_lap_index")
 
 
 def stint_index(
-    df: DataFrame, keys: Sequence[str] = STINT, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = STINT, spans: bool = True
 ) -> DataFrame:
     """Add `stint_lap_index`, the 1-based position of the lap in its stint."""
     df, block = _prepared(df, spans)
@@ -157,7 +155,7 @@ def pace_delta(df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME) -> Dat
 
 
 def rolling_consistency(
-    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME, spans: bool = True
 ) -> DataFrame:
     """Add `rolling_stddev_5` over five centred laps and `consistency_score` from it."""
     df, block = _prepared(df, spans)
@@ -180,7 +178,7 @@ def _rolling_consistency(
 
 
 def sector_deltas(
-    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, spans: bool = True
 ) -> DataFrame:
     """Add `s1_delta..s3_delta`, each sector time against its mean for the driver's race."""
     df, block = _prepared(df, spans)
@@ -251,7 +249,7 @@ def driver_race_features(df: DataFrame) -> DataFrame:
     )
 
 
-def lap_features(df: DataFrame, spans: bool | None = None) -> DataFrame:
+def lap_features(df: DataFrame, spans: bool = True) -> DataFrame:
     """Filter outliers and add every lap-level feature.
 
     One shuffle by driver and race serves the stint windows and the race windows; the
@@ -271,9 +269,9 @@ def lap_features(df: DataFrame, spans: bool | None = None) -> DataFrame:
     return pace_delta(_bare(out))
 
 
-def race_feature_set(df: DataFrame) -> DataFrame:
-    """Laps in, one feature row per driver and race out; nothing runs until an action."""
-    return driver_race_features(lap_features(df))
+def race_feature_set(df: DataFrame, spans: bool = True) -> DataFrame:
+    """Laps in, one feature row per driver and race out; without `spans` nothing runs until an action."""
+    return driver_race_features(lap_features(df, spans))
 
 
 def lap_consistency(df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME) -> DataFrame:
@@ -308,7 +306,7 @@ def session_summary(df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str =
 
 
 def gap_to_leader(
-    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME, spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME, spans: bool = True
 ) -> DataFrame:
     """Add `gap_to_leader`: race time so far against the least race time on that lap."""
     df, block = _prepared(df, spans)
@@ -327,7 +325,7 @@ def order_fraction(df: DataFrame, keys: Sequence[str] = LAP, col: str = "positio
 
 
 def wear_fraction(
-    df: DataFrame, keys: Sequence[str] = STINT, col: str = "tyre_life", spans: bool | None = None
+    df: DataFrame, keys: Sequence[str] = STINT, col: str = "tyre_life", spans: bool = True
 ) -> DataFrame:
     """Add `wear_fraction`: tyre age against the oldest age in the stint."""
     df, block = _prepared(df, spans)

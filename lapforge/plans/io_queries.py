@@ -387,4 +387,4 @@ def _(spark, d):
 def _(spark, d):
     """Features over laps that came through the stream; equal to those of the batch."""
     path = flushed(spark, st.replay(b.race_laps(spark, d), scratch(spark, "replay"), SLICE), "live")
-    return l.race_feature_set(spark.read.parquet(path).drop("batch_id"))
+    return l.race_feature_set(spark.read.parquet(path).drop("batch_id", "run"), spans=False)

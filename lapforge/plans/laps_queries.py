@@ -36,9 +36,23 @@ def _(spark, d):
     return keyed(c.valid_laps(b.laps(spark, d)), T)
 
 
+@query("P04_filter_outliers_long", """
+WITH t AS (SELECT *, quantile_disc(l_extendedprice, 0.5) OVER (PARTITION BY year(l_shipdate)) AS mid FROM lineitem)
+SELECT CAST(year(l_shipdate) AS INTEGER) AS season_year, l_orderkey * 8 + l_linenumber AS lap_number, l_extendedprice AS lap_time_seconds
+FROM t WHERE l_extendedprice > 0 AND l_extendedprice <= mid * 1.1""")
+def _(spark, d):
+    """Groups of thousands of laps and distinct times, cut into blocks."""
+    lines = b.table(spark, d, "lineitem").select(
+        F.year("l_shipdate").alias("season_year"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("lap_number"),
+        F.col("l_extendedprice").alias("lap_time_seconds"),
+    )
+    return l.filter_outliers(lines, ["season_year"])
+
+
 @query("P04_filter_outliers", s.with_views(s.LAPS + KEPT) + f"SELECT {KEY}, lap_time_seconds FROM kept")
 def _(spark, d):
-    return keyed(l.filter_outliers(b.laps(spark, d)), T)
+    return keyed(l.filter_outliers(b.laps(spark, d), spans=False), T)
 
 
 @query("W01_stint_median", s.with_views(s.LAPS) + f"SELECT {STINT}, quantile_disc(lap_time_seconds, 0.5) AS median_lap FROM laps WHERE lap_time_seconds IS NOT NULL GROUP BY ALL")
@@ -81,7 +95,7 @@ def _(spark, d):
 
 @query("W02_lap_delta", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, round(lap_time_seconds - lag(lap_time_seconds) OVER (PARTITION BY {STINT} ORDER BY lap_number), 6) + 0 AS lap_delta FROM timed_laps")
 def _(spark, d):
-    return keyed(l.lap_delta(b.timed_laps(spark, d)), rounded("lap_delta"))
+    return keyed(l.lap_delta(b.timed_laps(spark, d), spans=False), rounded("lap_delta"))
 
 
 @query("W03_rolling_delta", s.with_views(s.TIMED_LAPS) + f"""
@@ -93,7 +107,7 @@ def _(spark, d):
 
 @query("W04_stint_index", s.with_views(s.LAPS) + f"SELECT {KEY}, CAST(row_number() OVER (PARTITION BY {STINT} ORDER BY lap_number) AS INTEGER) AS stint_lap_index FROM laps")
 def _(spark, d):
-    return keyed(l.stint_index(b.laps(spark, d)), "stint_lap_index")
+    return keyed(l.stint_index(b.laps(spark, d), spans=False), "stint_lap_index")
 
 
 @query("W05_pace_delta", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, lap_time_seconds - min(lap_time_seconds) OVER (PARTITION BY {LAP}) AS pace_delta_to_leader FROM timed_laps")
@@ -105,13 +119,13 @@ def _(spark, d):
 SELECT {KEY}, round(sd, 6) AS rolling_stddev_5, round(1.0 / (1.0 + coalesce(sd, 0)), 6) AS consistency_score
 FROM (SELECT *, stddev_samp(lap_time_seconds) OVER (PARTITION BY {DRIVER_RACE} ORDER BY lap_number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sd FROM timed_laps)""")
 def _(spark, d):
-    return keyed(l.rolling_consistency(b.timed_laps(spark, d)), rounded("rolling_stddev_5"), rounded("consistency_score"))
+    return keyed(l.rolling_consistency(b.timed_laps(spark, d), spans=False), rounded("rolling_stddev_5"), rounded("consistency_score"))
 
 
 @query("W07_sector_deltas", s.with_views(s.LAPS) + f"""
 SELECT {KEY}, {", ".join(f"round(sector{i}_seconds - avg(sector{i}_seconds) OVER (PARTITION BY {DRIVER_RACE}), 6) + 0 AS s{i}_delta" for i in (1, 2, 3))} FROM laps""")
 def _(spark, d):
-    return keyed(l.sector_deltas(b.laps(spark, d)), *[rounded(f"s{i}_delta") for i in (1, 2, 3)])
+    return keyed(l.sector_deltas(b.laps(spark, d), spans=False), *[rounded(f"s{i}_delta") for i in (1, 2, 3)])
 
 
 @query("W08_lap_rank", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, CAST(rank() OVER (PARTITION BY {LAP} ORDER BY lap_time_seconds) AS INTEGER) AS lap_rank FROM timed_laps")
@@ -145,12 +159,12 @@ FROM featured GROUP BY season_year, round_number, circuit_name, driver_code"""
 
 @query("W09_race_feature_set", s.with_views(s.RACE_LAPS.replace("race_laps AS (SELECT", "unused AS (SELECT") + FEATURED.replace("FROM laps WHERE", "FROM laps WHERE session_type = 'RACE' AND")) + FEATURE_SET)
 def _(spark, d):
-    return l.race_feature_set(b.staged_laps(spark, d).filter(F.col("session_type") == "RACE"))
+    return l.race_feature_set(b.staged_laps(spark, d).filter(F.col("session_type") == "RACE"), spans=False)
 
 
 @query("A01_driver_race_features", s.with_views(s.LAPS + FEATURED) + FEATURE_SET)
 def _(spark, d):
-    return l.driver_race_features(l.lap_features(b.staged_laps(spark, d)))
+    return l.driver_race_features(l.lap_features(b.staged_laps(spark, d), spans=False))
 
 
 NEAR = f""",
@@ -186,7 +200,7 @@ def _(spark, d):
 SELECT {KEY}, round(rt - min(rt) OVER (PARTITION BY {LAP}), 4) + 0 AS gap_to_leader
 FROM (SELECT *, sum(lap_time_seconds) OVER (PARTITION BY {DRIVER_RACE} ORDER BY lap_number ROWS UNBOUNDED PRECEDING) AS rt FROM timed_laps)""")
 def _(spark, d):
-    return keyed(l.gap_to_leader(b.staged_timed_laps(spark, d)), rounded("gap_to_leader", 4))
+    return keyed(l.gap_to_leader(b.staged_timed_laps(spark, d), spans=False), rounded("gap_to_leader", 4))
 
 
 @query("W18_order_fraction", s.with_views(s.PLACED_LAPS) + f"SELECT {KEY}, round((position - 1) / greatest(count(*) OVER (PARTITION BY {LAP}) - 1, 1), 6) AS order_fraction FROM placed_laps")
@@ -196,7 +210,7 @@ def _(spark, d):
 
 @query("W20_wear_fraction", s.with_views(s.LAPS) + f"SELECT {KEY}, round(tyre_life / max(tyre_life) OVER (PARTITION BY {STINT}), 6) AS wear_fraction FROM laps")
 def _(spark, d):
-    return keyed(l.wear_fraction(b.laps(spark, d)), rounded("wear_fraction"))
+    return keyed(l.wear_fraction(b.laps(spark, d), spans=False), rounded("wear_fraction"))
 
 
 @query("W10_dedup_latest", s.with_views(s.LAPS) + f"SELECT {KEY}, lap_time_seconds, load_id FROM laps")

@@ -63,10 +63,12 @@ def test_blocked_equals_plain(spark, rows, small_blocks, operator, column):
     same(operator(laps, spans=True), operator(laps, spans=False), rows, *KEY, column)
 
 
-def test_blocks_are_chosen_by_the_data(spark, small_blocks):
-    laps = make_laps(spark)
-    assert g.spans_blocks(laps)
-    assert not g.spans_blocks(laps.filter("lap_number < 7"))
+def test_median_is_exact_in_a_large_group(spark):
+    """More distinct times than a sketch holds, in one stint."""
+    times = spark.range(30_001).selectExpr("2024 AS season_year", "id AS lap_number", "100 + id * 0.001 AS lap_time_seconds")
+    for spans in (True, False):
+        kept = l.filter_outliers(times, ["season_year"], factor=1.0, spans=spans)
+        assert kept.count() == 15_001
 
 
 def test_feature_set_is_the_same_in_blocks(spark, rows, small_blocks):
@@ -137,7 +139,7 @@ def test_contains_join_matches_brute_force(spark, rows):
 
 def test_plans_have_no_python_and_limit_before_the_shuffle(spark):
     laps = make_laps(spark)
-    plan = l.race_feature_set(laps)._jdf.queryExecution().executedPlan().toString()
+    plan = l.race_feature_set(laps, spans=False)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     newest = g.top_n(laps, KEY, [F.col("stint").desc()], 1)
     assert "WindowGroupLimit" in newest._jdf.queryExecution().executedPlan().toString()
