@@ -240,14 +240,32 @@ def top_n(
     return kept if rank else kept.drop(name)
 
 
-def grams(text: Column, longest: int = 3) -> Column:
-    """Distinct substrings of length 1..`longest` of a text."""
+def grams(text: Column, size: int = 3) -> Column:
+    """Distinct substrings of `size` letters; a shorter text is its only one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(size - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
 
-    def pieces(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(size - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
-    return F.array_distinct(F.concat(*[pieces(size) for size in range(1, longest + 1)]))
+def _holders(outer: DataFrame, inner: DataFrame, outer_text: str, inner_text: str, keys: list[str], size: int) -> DataFrame:
+    """Pairs whose `outer` text may contain the `inner` one of at least `size` letters, or equals one of fewer.
+
+    Whatever contains a text contains each of its grams, so the rarest one will do: counted
+    over the distinct outer texts, chosen once per distinct inner text.
+    """
+    counts = outer.select(outer_text).distinct().select(F.explode(grams(F.col(outer_text), size)).alias("__gram"))
+    counts = counts.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = (
+        inner.select(F.col(inner_text).alias("__inner"))
+        .distinct()
+        .withColumn("__gram", F.explode(grams(F.col("__inner"), size)))
+        .join(counts, "__gram", "left")
+        .groupBy("__inner")
+        .agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("__least"))
+        .filter("__least.n > 0")
+        .select("__inner", F.col("__least.__gram").alias("__gram"))
+    )
+    keyed = inner.join(rarest, inner[inner_text] == rarest["__inner"]).drop("__inner")
+    return outer.withColumn("__gram", F.explode(grams(F.col(outer_text), size))).join(keyed, [*keys, "__gram"])
 
 
 def contains_join(
@@ -258,24 +276,19 @@ def contains_join(
     keys: Sequence[str] = (),
     longest: int = 3,
 ) -> DataFrame:
-    """Pairs where one text contains the other, found through an equi-join.
+    """Pairs where one text contains the other, found through an equi-join; no cross join.
 
-    Any text that contains `x` contains the first letters of `x`, so each side is
-    matched on the leading gram of the shorter one and then checked. No cross join.
+    Texts of `longest` letters or more meet the ones that contain them at their rarest gram of
+    that size, shorter ones (a bounded number of different texts) at a gram of their own size.
     """
-    lead = lambda c: F.substring(c, 1, longest)
-    keys = list(keys)
-    in_left = (
-        left.withColumn("__gram", F.explode(grams(F.col(left_text), longest)))
-        .join(right.withColumn("__gram", lead(F.col(right_text))), [*keys, "__gram"])
-        .filter(F.contains(left_text, right_text))
-    )
-    in_right = (
-        left.withColumn("__gram", lead(F.col(left_text)))
-        .join(
-            right.withColumn("__gram", F.explode(grams(F.col(right_text), longest))),
-            [*keys, "__gram"],
-        )
-        .filter(F.contains(right_text, left_text) & (F.col(left_text) != F.col(right_text)))
-    )
-    return in_left.unionByName(in_right).drop("__gram")
+    keys, parts = list(keys), []
+    for size in range(1, longest + 1):
+        of_size = (lambda c: F.length(c) >= size) if size == longest else (lambda c: F.length(c) == size)  # noqa: B023
+        in_left = _holders(left, right.filter(of_size(right_text)), left_text, right_text, keys, size)
+        in_right = _holders(right, left.filter(of_size(left_text)), right_text, left_text, keys, size)
+        parts.append(in_left.filter(F.contains(left_text, right_text)))
+        parts.append(in_right.filter(F.contains(right_text, left_text) & (F.col(left_text) != F.col(right_text))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.drop("__gram")
