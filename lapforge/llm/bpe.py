@@ -187,7 +187,7 @@ class WordIds:
     A special string is asked for as a one-tuple, so that it is no ordinary word.
     """
 
-    def __init__(self, merges: Merges, most: int = 400_000):
+    def __init__(self, merges: Merges, most: int = 250_000):
         self.merges, self.most = merges, most
         self._clear()
 

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lapforge.llm.bpe import Merges
+from lapforge.llm.bpe import Merges, WordIds
 from lapforge.llm.bpe_codec import decode, encode
 from lapforge.llm.token_counts import PrefixCounts, token_counts
 
@@ -80,3 +80,12 @@ def test_empty_tables_and_clashing_columns(spark, run):
     assert run(empty).count() == 0
     clash = spark.createDataFrame([(1, "a b", "old")], "doc_id long, text string, n_tokens string")
     assert run(clash).select("n_tokens").dtypes == [("n_tokens", "bigint")]
+
+
+def test_forgetting_words_changes_nothing():
+    merges = Merges(BYTES)
+    small, large = WordIds(merges, most=5), WordIds(merges)
+    for words in (["the", " cat"], [" sat", ("<|endoftext|>",), "the"], [f" w{i}" for i in range(9)], ["the", " cat", "the"]):
+        assert small.flat(small.lookup(words)).tolist() == large.flat(large.lookup(words)).tolist()
+        assert small.sizes(words).tolist() == large.sizes(words).tolist()
+    assert len(small.index) < len(large.index)
