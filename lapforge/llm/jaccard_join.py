@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lapforge.llm.arrow import with_columns
 from lapforge.llm.words import SPACED, mix, pieces, row_sums, shingles, text_bytes, word_hashes
@@ -204,13 +205,16 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
 
     The lengths must allow a link. A pair that links shares at least `both` = ceil(t / (1 + t)
     (n + n')) shingles, so of the m that it must share in its prefixes, each lies among the
-    first n - both + m of either text.
+    first n - both + m of either text. What comes before a shared shingle in one text and is in
+    the other is in the other's prefix too: `lone` shingles before it, in no other prefix, are
+    not shared, and n - lone must still reach `both`.
     """
     n, other = F.col(f"{x}.n"), F.col(f"{y}.n")
     both = F.ceil((n + other) * percent / (100 + percent))
     m = F.least(f"{x}.matches", f"{y}.matches")
     long_enough = F.least(n, other) * 100 >= F.greatest(n, other) * percent
-    return long_enough & (F.col(f"{x}.pos") < n - both + m) & (F.col(f"{y}.pos") < other - both + m)
+    near = (F.col(f"{x}.pos") < n - both + m) & (F.col(f"{y}.pos") < other - both + m)
+    return long_enough & near & (n - F.col(f"{x}.lone") >= both) & (other - F.col(f"{y}.lone") >= both)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,11 +287,13 @@ def similarity_classes(
     sets = cut_lineage(sets)
     postings = sets.select("sid", F.col("n_shingles").alias("n"), "matches", F.posexplode("prefix").alias("pos", "key"))
     repeated = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    shared = cut_lineage(postings.join(repeated, "key"))
-    hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "sid", "matches")).alias("hub"))
+    place = Window.partitionBy("sid").orderBy("pos")  # at most a prefix
+    shared = postings.join(repeated, "key").withColumn("lone", F.col("pos") + 1 - F.row_number().over(place))
+    shared = cut_lineage(shared)
+    hubs = shared.groupBy("key").agg(F.min(F.struct("pos", "n", "sid", "matches", "lone")).alias("hub"))
     starred = cut_lineage(
         shared.join(hubs, "key")
-        .withColumn("own", F.struct("n", "matches", "pos"))
+        .withColumn("own", F.struct("n", "matches", "pos", "lone"))
         .filter((F.col("sid") != F.col("hub.sid")) & _near_enough("own", "hub", percent))
         .groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.least("matches", "hub.matches")).alias("m"))
@@ -297,7 +303,7 @@ def similarity_classes(
     links = cut_lineage(_verified(starred, sets, docs, order, size, percent, text, id_))
     joined = components(links)
     parted = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "key", "sid", "n", "matches", "pos", F.coalesce("comp", "sid").alias("comp")
+        "key", "sid", "n", "matches", "pos", "lone", F.coalesce("comp", "sid").alias("comp")
     )
     mixed = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut_lineage(parted.join(mixed, "key"))
