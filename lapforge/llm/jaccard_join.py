@@ -206,15 +206,17 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
     The lengths must allow a link. A pair that links shares at least `both` = ceil(t / (1 + t)
     (n + n')) shingles, so of the m that it must share in its prefixes, each lies among the
     first n - both + m of either text. What comes before a shared shingle in one text and is in
-    the other is in the other's prefix too: `lone` shingles before it, in no other prefix, are
-    not shared, and n - lone must still reach `both`.
+    the other is in the other's prefix too, so the `lone` shingles before it, in no other prefix,
+    are not shared: what else comes before it in both, and what comes after, must reach `both`.
     """
     n, other = F.col(f"{x}.n"), F.col(f"{y}.n")
     both = F.ceil((n + other) * percent / (100 + percent))
     m = F.least(f"{x}.matches", f"{y}.matches")
     long_enough = F.least(n, other) * 100 >= F.greatest(n, other) * percent
     near = (F.col(f"{x}.pos") < n - both + m) & (F.col(f"{y}.pos") < other - both + m)
-    return long_enough & near & (n - F.col(f"{x}.lone") >= both) & (other - F.col(f"{y}.lone") >= both)
+    before = F.least(*[F.col(f"{side}.pos") - F.col(f"{side}.lone") for side in (x, y)])
+    after = F.least(n - F.col(f"{x}.pos"), other - F.col(f"{y}.pos"))
+    return long_enough & near & (before + after >= both)
 
 
 def components(edges: DataFrame) -> DataFrame:
