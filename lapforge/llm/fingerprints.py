@@ -32,7 +32,7 @@ BLOCK = 512  # consecutive ids ordered together
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased runs of letters and digits, sorted."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def lexicon(corpus: DataFrame, text: str = "text", low: float = 1.5, high: float = 6.5) -> DataFrame:
