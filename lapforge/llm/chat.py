@@ -21,6 +21,7 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 # Template and control strings: fixed values. A text that holds one of them, or one with
 # backslashes after its first character, gets one backslash more there.
@@ -37,6 +38,8 @@ RECORD = (
     "messages array<struct<role string, content string>>, "
     "conversations array<struct<`from` string, value string>>"
 )
+# Spark's JSON reader gives up strings above 20 million characters unless told otherwise.
+WHOLE = {"maxStringLen": str(2**31 - 1)}
 # Speakers of the layout that names them differently: fixed values.
 SPEAKERS = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "system": "system"}
 
@@ -111,6 +114,29 @@ def _paths(record: str) -> Column:
     return F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {filled(p)} THEN '{p}' END" for p in every) + "))")
 
 
+def _of_type(value: Column, kind: DataType, wanted: DataType) -> Column:
+    """The value as the wanted part of RECORD: strings as they are, anything else as its JSON reads."""
+    if kind == wanted or kind.typeName() in ("char", "varchar", "void"):
+        return value.cast(wanted)
+    if wanted.typeName() == "array" and kind.typeName() == "array" and kind.elementType.typeName() == "struct":
+        return F.transform(value, lambda m: _filled(m, kind.elementType, wanted.elementType))
+    read = F.from_json(F.to_json(F.struct(value.alias("v"))), f"v {wanted.simpleString()}", WHOLE)
+    return read["v"]
+
+
+def _filled(record: Column, kind: StructType, wanted: StructType) -> Column:
+    """The struct with the wanted fields, null where it has none of the name."""
+    return F.struct(*[
+        (_of_type(record[f.name], kind[f.name].dataType, f.dataType) if f.name in kind.names else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in wanted.fields
+    ])
+
+
+def _record(record: str, kind: StructType) -> Column:
+    """A struct column as one of type RECORD."""
+    return _filled(F.col(record), kind, StructType.fromDDL(RECORD))
+
+
 def canonical_turns(df: DataFrame, record: str) -> DataFrame:
     """Turns of the records in the JSON string or struct column `record`.
 
@@ -119,12 +145,8 @@ def canonical_turns(df: DataFrame, record: str) -> DataFrame:
     struct, a record that fills nothing is a blank turn; of a JSON string, it has no layout.
     """
     kind = df.schema[record].dataType
-    if kind.typeName() == "struct":
-        known = {f.split(" ")[0] for f in RECORD.split(", ")} & set(kind.names)
-        fields = F.to_json(F.struct(*[F.col(record)[f] for f in sorted(known)])) if known else F.lit("{}")
-    else:
-        fields = F.col(record)
-    df = df.withColumn("__r", F.from_json(fields, RECORD))
+    fields = _record(record, kind) if kind.typeName() == "struct" else F.from_json(record, RECORD, WHOLE)
+    df = df.withColumn("__r", fields)
     df = df.withColumn("fingerprint", F.sha2(F.array_join(_paths("__r"), "\n"), 256))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     codes: dict[str, list[str]] = {}

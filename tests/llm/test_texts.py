@@ -61,6 +61,31 @@ def test_chat_layouts(spark):
     assert [got[i] for i in (6, 7, 8)] == [(None, [])] * 3
 
 
+def test_chat_texts_of_any_length(spark):
+    long = 20_000_001
+    said = spark.range(1).select(F.repeat(F.col("id").cast("string"), long).alias("said"))
+    structs = said.select(F.struct(F.lit("user").alias("role"), F.col("said").alias("text")).alias("record"))
+    lists = said.select(F.struct(F.array(F.struct(F.col("said").alias("content"), F.lit("user").alias("role"))).alias("messages")).alias("record"))
+    for df, layout in ((structs, "turn"), (lists, "messages")):
+        for records in (df, df.select(F.to_json("record").alias("record"))):
+            got = chat.canonical_turns(records, "record").select("layout", F.explode("turns").alias("t")).select("layout", "t.role", F.length("t.text"))
+            assert [tuple(r) for r in got.collect()] == [(layout, "user", long)]
+
+
+def test_chat_structs_of_other_types(spark):
+    df = spark.sql(
+        "SELECT named_struct('prompt', 5, 'response', named_struct('a', 1), 'system', CAST(NULL AS STRING), 'zzz', 1) AS a,"
+        " named_struct('conversations', array(named_struct('value', 1.5D, 'from', 'gpt'), NULL)) AS b, CAST(NULL AS STRUCT<text: STRING>) AS c,"
+        " named_struct('messages', 'x', 'text', DATE'2024-01-02') AS d, named_struct('zzz', 1) AS e"
+    )
+    got = {c: chat.canonical_turns(df, c).first() for c in df.columns}
+    read = {c: (r.layout, [tuple(t) for t in r.turns]) for c, r in got.items()}
+    assert read == {
+        "a": ("prompt", [("user", "5"), ("assistant", '{"a":1}')]), "b": ("conversations", [("assistant", "1.5"), ("", "")]),
+        "c": ("blank turn", [("", "")]), "d": ("text", [("", "2024-01-02")]), "e": ("blank turn", [("", "")]),
+    }
+
+
 def test_chat_format_reads_back(spark):
     rng = random.Random(8)
     parts = ["<|turn|>", "<|end|>\n", "<", "\\", "|", "[INST]", "[/INST]", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "<\\|", "é😀", "\n", "x", "[\\/INST]"]
