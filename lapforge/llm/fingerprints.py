@@ -5,9 +5,11 @@ in the lexicon are sorted; the whole of them and those in several random subsets
 lexicon are hashed. Subsets of one draw are nested and shrink fourfold, so that texts of any
 length have subsets in which they hold only a few terms: these survive an edit elsewhere.
 
-Document frequencies are counted over all documents per hashed term, in 2^LEXICON_BITS cells
-with map-side combine. The lexicon is a bitmap of that fixed size (32 kB), broadcast as one
-row whatever the corpus; texts are then fingerprinted where they are, without a shuffle.
+Document frequencies are counted over all documents per term (its 64-bit hash) with map-side
+combine, and the band is applied to terms. The lexicon is the exact list of those inside,
+broadcast as one row; texts are then fingerprinted where they are, without a shuffle. The list
+is bounded whatever the corpus: a term of idf <= high is in e^-high of the documents or more, so
+there are at most e^high (665 by default) times the mean number of distinct terms of a text.
 
 Defined results: a null or empty text has no terms, all its subsets are empty; a text none of
 whose terms is in the lexicon is taken by all its terms; equal texts have equal fingerprints;
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEXICON_BITS = 18
+BUCKET_BITS = 13  # the lexicon is a list of 2^13 lists of hashes, by their last bits
 # Draw d looks at the bits of a term's hash from 16 + 4 d on; its subset of level l holds the
 # terms whose next l bits are zero.
 DRAWS, LEVELS = 10, (1, 3, 5, 7, 9)
@@ -36,23 +38,24 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(corpus: DataFrame, text: str = "text", low: float = 1.5, high: float = 6.5) -> DataFrame:
-    """One row with `bits`, the bitmap of the hashed terms whose idf = ln(documents / document
-    frequency) lies in [low, high]."""
-    size = 1 << LEXICON_BITS
-    cells = F.array_distinct(F.transform(terms(F.coalesce(text, F.lit(""))), lambda h: h.bitwiseAND(F.lit(size - 1))))
-    counts = corpus.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    """One row with `lexicon`, the hashes of the terms whose idf = ln(documents / document
+    frequency) lies in [low, high], in 2^BUCKET_BITS buckets by their last bits."""
+    size = 1 << BUCKET_BITS
+    found = corpus.select(F.explode(terms(F.coalesce(text, F.lit("")))).alias("term"))
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = corpus.agg(F.count(F.lit(1)).alias("total"))
     idf = F.log(F.col("total") / F.col("n"))
-    words = (
+    buckets = (
         counts.join(F.broadcast(total))
         .filter(idf.between(low, high))
-        .groupBy(F.shiftright("cell", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(cell & 63 AS INT)))").alias("bits"))
+        .groupBy(F.col("term").bitwiseAND(F.lit(size - 1)).alias("bucket"))
+        .agg(F.collect_list("term").alias("inside"))
     )
-    every = corpus.sparkSession.range(size // 64).select(F.col("id").alias("word"))
-    filled = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
-    return filled.agg(F.transform(ordered, lambda w: w["bits"]).alias("bits"))
+    every = corpus.sparkSession.range(size).select(F.col("id").alias("bucket"))
+    none = F.array().cast("array<long>")
+    filled = every.join(buckets, "bucket", "left").select("bucket", F.coalesce("inside", none).alias("inside"))
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "inside")))
+    return filled.agg(F.transform(ordered, lambda w: w["inside"]).alias("lexicon"))
 
 
 def fingerprinted(
@@ -66,10 +69,9 @@ def fingerprinted(
     names = {c: f"__c{i}" for i, c in enumerate(kept)}
     whole = df.select(
         *[F.col(c).alias(n) for c, n in names.items()], terms(F.coalesce(text, F.lit(""))).alias("__terms")
-    ).join(F.broadcast(lexicon(corpus, **band)))
-    cell = F"(h & {(1 << LEXICON_BITS) - 1})"
-    inside = F.expr(f"filter(__terms, h -> (get(bits, CAST(shiftright({cell}, 6) AS INT)) & shiftleft(1L, CAST({cell} & 63 AS INT))) != 0)")
-    chosen = whole.withColumn("__in", inside).drop("bits")
+    ).join(F.broadcast(lexicon(corpus, **band).withColumnRenamed("lexicon", "__lexicon")))
+    inside = F.expr(f"filter(__terms, h -> array_contains(get(__lexicon, CAST(h & {(1 << BUCKET_BITS) - 1} AS INT)), h))")
+    chosen = whole.withColumn("__in", inside).drop("__lexicon")
     chosen = chosen.withColumn("__kept", F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__terms"))).drop("__in", "__terms")
     draws = [
         F.expr(

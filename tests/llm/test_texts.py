@@ -43,6 +43,19 @@ def test_fingerprints_follow_the_terms(spark):
     assert fingerprints.fingerprinted(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_the_band_holds_for_terms_whose_hashes_end_alike(spark):
+    words = spark.range(3000).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
+    ends = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << 18) - 1))).agg(F.sort_array(F.collect_list("w")).alias("w"))
+    usual, rare = ends.filter(F.size("w") > 1).orderBy("w").first().w[:2]
+    # The two share the last 18 bits; one is in a tenth of the documents, the other in one of them.
+    rows = [(i, f"{usual} t{i}" if i % 10 == 0 else f"t{i}") for i in range(998)] + [(998, usual), (999, f"{usual} {rare}")]
+    df = spark.createDataFrame(rows, DOCS)
+    band = {t for bucket in fingerprints.lexicon(df).first().lexicon for t in bucket}
+    assert band == {spark.sql(f"SELECT xxhash64('{usual}')").first()[0]}
+    got = {r.doc_id: r.marks for r in fingerprints.fingerprinted(df, df).filter("doc_id >= 998").collect()}
+    assert got[998] == got[999]
+
+
 def test_chat_layouts(spark):
     records = [
         '{"prompt":"hi","response":"yo"}', '{"system":"s","prompt":"hi","response":"yo","extra":{"a":[1]}}',
