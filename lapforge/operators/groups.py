@@ -226,6 +226,49 @@ def with_rank(
     )
 
 
+def with_median(df: DataFrame, keys: Sequence[str], value: str, name: str, block: str) -> DataFrame:
+    """Add the exact lower median of the non-null `value` to every row of a blocked group of any size.
+
+    Values fall into three stretches, with a thin one around the middle by a sketch of bounded
+    size. Only the stretch that holds the median is put in order, one row per different value.
+    A poor sketch would make that stretch longer, never the median wrong.
+    """
+    keys, v = list(keys), F.col(value)
+    # Rows of no block count towards the median, too.
+    rows = df.select(*keys, F.coalesce(block, F.lit(0)).alias(block), v)
+    borders = {"__borders": F.percentile_approx(value, [0.499, 0.501], 10_000)}
+    parted = attach(rows, keys, borders, block).withColumn(
+        "__part", F.when(v < F.col("__borders")[0], 0).when(v <= F.col("__borders")[1], 1).otherwise(2)
+    )
+    # The median's place among the rows of its stretch, for each block of the group.
+    before = [F.lit(0), F.col("__n0"), F.col("__n0") + F.col("__n1")]
+    counts = parted.groupBy(*keys).agg(
+        *[F.count_if(F.col("__part") == i).alias(f"__n{i}") for i in (0, 1)],
+        F.ceil(F.count(F.lit(1)) / 2).alias("__place"),
+        F.min(block).alias("__low"),
+        F.max(block).alias("__high"),
+    )
+    chosen = F.when(F.col("__place") <= before[1], 0).when(F.col("__place") <= before[2], 1).otherwise(2)
+    places = counts.withColumn("__part", chosen).select(
+        *keys,
+        "__part",
+        (F.col("__place") - F.element_at(F.array(*before), F.col("__part") + 1)).alias("__place"),
+        F.explode(F.sequence("__low", "__high")).alias(block),
+    )
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    medians = (
+        parted.join(places, [*keys, block, "__part"])
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("__n"), F.first("__place").alias("__place"))
+        .withColumn("__upto", F.sum("__n").over(upto))
+        .filter(F.col("__upto") >= F.col("__place"))
+        .groupBy(*keys)
+        .agg(F.min(value).alias(name))
+    )
+    spread = counts.select(*keys, F.explode(F.sequence("__low", "__high")).alias(block)).join(medians, keys)
+    return df.join(spread, [*keys, block], "left")
+
+
 def top_n(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from lapforge.operators.groups import (
     blocked,
     filled,
     with_group_stats,
+    with_median,
     with_neighbours,
     with_rank,
     with_running_sum,
@@ -62,7 +63,11 @@ def _filter_outliers(
 ) -> DataFrame:
     # Null times neither move the median nor pass the filter.
     timed = df.filter(F.col(col).isNotNull())
-    kept = with_group_stats(timed, keys, {"__median": F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}`)")}, block)
+    if block is None:
+        median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}`)")
+        kept = with_group_stats(timed, keys, {"__median": median})
+    else:
+        kept = with_median(timed, keys, col, "__median", block)
     value = F.col(col)
     return kept.filter((value > 0) & (value <= F.col("__median") * factor)).drop("__median")
 

@@ -71,6 +71,21 @@ def test_median_is_exact_in_a_large_group(spark):
         assert kept.count() == 15_001
 
 
+@pytest.mark.parametrize("spread", [1.0, 1e300])
+def test_median_of_a_blocked_group_holds_no_values_together(spark, spread):
+    rng = random.Random(4)
+    data = [(g, lap, rng.choice([1.0, spread]) * rng.choice([rng.random(), 0.5]) - 0.2) for g, n in (("a", 30_001), ("b", 2000), ("c", 1), ("d", 2)) for lap in range(n)]
+    df = g.blocked(spark.createDataFrame([*data, ("e", 1, 7.0), ("e", 90_000, 8.0), ("e", 3, 7.0), ("f", None, 1.0), ("f", None, 1.0), ("f", 5000, 3.0)], "k string, lap_number int, v double"))
+    out = g.with_median(df, ["k"], "v", "m", g.BLOCK)
+    assert "percentile_disc" not in out._jdf.queryExecution().toString().lower()
+    got = {r.k: (r.m, r.n) for r in out.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = {k: [v for a, _, v in data if a == k] for k in "abcd"} | {"e": [7.0, 8.0, 7.0]}
+    assert got.pop("f") in ((1.0, 1), (None, 2)) and {r.m for r in out.filter("k = 'f' AND lap_number = 5000").collect()} == {1.0}
+    assert got == {k: (statistics.median_low(v), len(v)) for k, v in groups.items()}
+    filtered = l.filter_outliers(spark.createDataFrame([(1, 1, 1.0)], "k int, lap_number int, v double"), ["k"], "v")
+    assert "percentile_disc" not in filtered._jdf.queryExecution().toString().lower()
+
+
 def test_feature_set_is_the_same_in_blocks(spark, rows, small_blocks):
     laps = make_laps(spark)
     blocked = l.driver_race_features(l.lap_features(laps, spans=True))
