@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapforge.llm import bpe_codec, chat, decontam, fingerprints, html_blocks, jaccard_join, pii, quality, token_counts, toxicity
+from lapforge.llm import (
+    bpe_codec,
+    chat,
+    decontam,
+    fingerprints,
+    html_blocks,
+    jaccard_join,
+    pii,
+    prefix_trie,
+    quality,
+    token_counts,
+    topk,
+    toxicity,
+    vector_codes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,3 +203,99 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scores = toxicity.scored(docs, model, keep=["doc_id"])
     return scores.select("doc_id", "severity", (F.col("severity") >= toxicity.REJECT).alias("toxic"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over all conversations, each rebuilt on the first turns of its group's base."""
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 4
+    how = prefix_trie.Rebuild(base=conv - conv % 20, head=head, most=3)
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), how)
+
+
+# DuckDB has no crc32 but can compute it bit by bit; sequences are compared as lists of digests of whole turns.
+CRC32_SQL = """list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))),
+ lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda a, j: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+SQL["op11_prefix_trie"] = rf"""
+WITH turns AS (
+ SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS ref, turn
+ FROM conversations WHERE conv_id IS NOT NULL),
+said AS (SELECT conv_id, list(ref ORDER BY turn NULLS FIRST, ref) AS refs FROM turns GROUP BY conv_id),
+h AS (SELECT conv_id, refs, xor({CRC32_SQL.format("CAST(conv_id AS VARCHAR)")}, 4294967295) % 4 AS h FROM said),
+built AS (
+ SELECT h.conv_id, list_concat(coalesce(b.refs[1:h.h], []), h.refs[h.h + 1:]) AS path
+ FROM h LEFT JOIN said b ON b.conv_id = h.conv_id - h.conv_id % 20),
+members AS (SELECT conv_id, path, d, path[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM built)),
+words AS (SELECT ref, any_value(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS words FROM turns GROUP BY ref),
+nodes AS (
+ SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CASE WHEN len(path) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+ FROM members GROUP BY d, prefix),
+costs AS (SELECT n.*, (n_convs - 1) * coalesce(words, 0) AS cost FROM nodes n LEFT JOIN words ON ref = prefix[d]),
+kids AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM costs c LEFT JOIN kids USING (prefix)),
+below AS (
+ SELECT u.prefix, sum(v.cost) AS saved_tokens, count(*) FILTER (v.n_children = 0) AS n_leaves
+ FROM full_nodes u JOIN full_nodes v ON v.d >= u.d AND v.prefix[1:u.d] = u.prefix GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+ CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below USING (prefix) LEFT JOIN nodes p ON n.d > 0 AND p.prefix = n.prefix[1:n.d - 1]"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: 4 parts, 256 entries each, 4 rounds."""
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+INTS_SQL = "list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _codes_sql(rounds: int) -> str:
+    """Assignment and averaging written out round by round, with all entries compared."""
+    nearest = """a{0} AS (
+ SELECT r, p, min((dist, e)) AS best, any_value(part) AS part FROM (
+  SELECT r, p, part, e, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - entry[i]) * (part[i] - entry[i]))) AS dist
+  FROM parts JOIN c{0} USING (p)) GROUP BY r, p)"""
+    means = """c{1} AS (
+ SELECT p, e, CASE WHEN n IS NULL THEN entry ELSE mean END AS entry FROM c{0} LEFT JOIN (
+  SELECT p, e, any_value(n) AS n, list((s - ((s % n) + n) % n) // n ORDER BY i) AS mean FROM (
+   SELECT p, best[2] AS e, i, count(*) AS n, CAST(sum(part[i]) AS BIGINT) AS s
+   FROM a{0}, (SELECT unnest(range(1, (SELECT max(len(part)) FROM parts) + 1)) AS i) GROUP BY ALL) GROUP BY p, e) USING (p, e))"""
+    steps = [nearest.format(i) + ", " + means.format(i, i + 1) for i in range(rounds)] + [nearest.format(rounds)]
+    return f"""
+WITH v AS (
+ SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, ints) AS r, vec_id, label, ints
+ FROM (SELECT vec_id, label, {INTS_SQL} AS ints FROM embeddings WHERE {FINITE_SQL})),
+parts AS (SELECT r, p, ints[p * len(ints) // 4 + 1:(p + 1) * len(ints) // 4] AS part FROM v, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, r - 1 AS e, part AS entry FROM parts WHERE r <= 256), {", ".join(steps)},
+coded AS (
+ SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+ FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN coded USING (r)"""
+
+
+SQL["op12_vector_codes"] = _codes_sql(rounds=4)
+
+
+@query
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+SQL["op13_top_products"] = f"""
+WITH v AS (
+ SELECT row_number() OVER () AS r, vec_id, {INTS_SQL} AS ints FROM embeddings WHERE {FINITE_SQL}),
+pairs AS (
+ SELECT q.r, q.vec_id AS query_id, c.vec_id,
+  CAST(list_inner_product(CAST(q.ints AS DOUBLE[]), CAST(c.ints AS DOUBLE[])) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10"""
