@@ -50,20 +50,20 @@ class Rebuild:
     most: int
 
 
-def _numbers(values: list[int]) -> Column:
-    """A constant array; one literal, which the optimizer folds, builds faster than one per number."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _numbers(values: list[int]) -> str:
+    """SQL of a constant array; a literal is folded once, faster than an expression per number."""
+    return f"CAST(split('{','.join(map(str, values))}', ',') AS array<bigint>)"
 
 
-def _power(lane: int, k: Column) -> Column:
-    """r^k modulo the lane's prime for 0 <= k < 2^32, by bytes of the exponent."""
-    p, out = PRIMES[lane], None
+def _power(lane: int, k: str) -> str:
+    """SQL of r^k modulo the lane's prime for 0 <= k < 2^32, by bytes of the exponent."""
+    p, out = PRIMES[lane], ""
     for byte in range(4):
         step = pow(BASES[lane], 1 << (8 * byte), p)
         table = _numbers([pow(step, e, p) for e in range(256)])
-        factor = F.get(table, F.shiftright(k, 8 * byte).bitwiseAND(F.lit(255)).cast("int"))
-        out = factor if out is None else out * factor % F.lit(p)
-    return out
+        factor = f"get({table}, CAST(shiftright({k}, {8 * byte}) & 255 AS INT))"
+        out = f"{out} * {factor} % {p}" if out else factor
+    return f"({out})"
 
 
 def _content(role: str, text: str, salt: int) -> Column:
@@ -107,7 +107,7 @@ def _positions(turns: DataFrame) -> DataFrame:
     inner = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "content")
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = turns.withColumn("k", F.row_number().over(inner).cast("bigint"))
-    terms = {q: _lane(i) * _power(i, F.col("k")) % PRIMES[i] for i, q in enumerate(LANES)}
+    terms = {q: F.expr(f"{_lane(i)} * {_power(i, 'k')} % {p}") for i, (q, p) in enumerate(zip(LANES, PRIMES, strict=True))}
     local = local.withColumns(terms).withColumns({q: F.sum(q).over(upto) % PRIMES[i] for i, q in enumerate(LANES)})
     last = local.groupBy("conv_id", "block").agg(
         F.max("k").alias("n"), *[F.max_by(q, "k").alias(f"b{q}") for q in LANES]
@@ -115,74 +115,55 @@ def _positions(turns: DataFrame) -> DataFrame:
     outer = Window.partitionBy("conv_id").orderBy("block")
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
     blocks = last.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    moved = {f"b{q}": F.col(f"b{q}") * _power(i, F.col("skip")) % PRIMES[i] for i, q in enumerate(LANES)}
-    blocks = blocks.withColumns(moved).withColumns(
-        {f"b{q}": F.coalesce(F.sum(f"b{q}").over(before), F.lit(0)) % PRIMES[i] for i, q in enumerate(LANES)}
-    )
+    moved = [f"b{q} * {_power(i, 'skip')} % {PRIMES[i]} AS b{q}" for i, q in enumerate(LANES)]
+    blocks = blocks.selectExpr("conv_id", "block", "skip", *moved)
+    blocks = blocks.select("conv_id", "block", "skip", *[F.sum(f"b{q}").over(before).alias(f"b{q}") for q in LANES])
     # What crosses borders is needed in later blocks only.
-    joined = local.join(blocks.filter("skip > 0").drop("n"), ["conv_id", "block"], "left")
-    skip = F.coalesce("skip", F.lit(0))
-    lanes = [
-        ((F.coalesce(f"b{q}", F.lit(0)) + F.col(q) * _power(i, skip)) % PRIMES[i]).alias(q) for i, q in enumerate(LANES)
-    ]
-    return joined.select("conv_id", "block", (F.col("k") + skip).alias("k"), *lanes, *REF, "words")
+    joined = local.join(blocks.filter("skip > 0"), ["conv_id", "block"], "left")
+    joined = joined.na.fill(0, ["skip", *[f"b{q}" for q in LANES]])
+    lanes = [f"(b{q} + {q} * {_power(i, 'skip')}) % {PRIMES[i]} AS {q}" for i, q in enumerate(LANES)]
+    return joined.selectExpr("conv_id", "block", "k + skip AS k", *lanes, *REF, "words")
 
 
-def _lane(i: int) -> Column:
-    """The turn's number in a lane."""
-    return (F.col(REF[i]) if i < 2 else F.col("t1") + F.col("t2")) % PRIMES[i]
+def _lane(i: int, t1: str = "t1", t2: str = "t2") -> str:
+    """SQL of the turn's number in a lane."""
+    return f"({(t1, t2, f'({t1} + {t2})')[i]} % {PRIMES[i]})"
 
 
 def _rebuilt(places: DataFrame, how: Rebuild) -> tuple[DataFrame, DataFrame]:
     """(one row per rebuilt prefix of one turn or more, one row per conversation with its rebuilt length)."""
     few = F.struct("k", *LANES, *REF, "words")
     heads = places.groupBy("conv_id").agg(
-        F.max("k").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("k") <= how.most, few))).alias("head"),
+        F.max("k").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= how.most, few))).alias("head")
     )
     heads = cut_lineage(heads)
     bases = heads.select(F.col("conv_id").alias("base"), F.col("head").alias("base_head"))
     convs = (
         heads.withColumns({"base": how.base, "h": how.head.cast("int")})
         .join(bases, "base", "left")
-        .withColumn("base_head", F.coalesce(F.expr("slice(base_head, 1, h)"), F.expr("slice(head, 1, 0)")))
-        .withColumns({"taken": F.size("base_head"), "dropped": F.least(F.col("h").cast("bigint"), F.col("n"))})
-    )
-    # The base's head, and the conversation's own head whose place it takes.
-    def at(array: str, n: Column, lane: str) -> Column:
-        return F.coalesce(F.get(F.col(array), n.cast("int") - 1)[lane], F.lit(0))
-
-    convs = convs.withColumns(
-        {f"g{q}": at("base_head", F.col("taken"), q) for q in LANES}
-        | {f"o{q}": at("head", F.col("dropped"), q) for q in LANES}
+        .selectExpr("conv_id", "n", "head", "coalesce(slice(base_head, 1, h), slice(head, 1, 0)) AS base_head", "least(h, n) AS dropped")
+        .selectExpr("*", "size(base_head) AS taken")
     )
-    convs = cut_lineage(
-        convs.select("conv_id", "n", "base_head", "taken", "dropped", *[f"{x}{q}" for x in "go" for q in LANES])
-    )
-    lengths = convs.select("conv_id", (F.col("taken") + F.col("n") - F.col("dropped")).alias("length"))
+    # Lanes of the base's head, and of the conversation's own head whose place it takes.
+    given = [f"coalesce(get(base_head, taken - 1).{q}, 0) AS g{q}" for q in LANES]
+    own_head = [f"coalesce(get(head, CAST(dropped AS INT) - 1).{q}, 0) AS o{q}" for q in LANES]
+    convs = cut_lineage(convs.selectExpr("conv_id", "n", "base_head", "taken", "dropped", *given, *own_head))
+    lengths = convs.selectExpr("conv_id", "taken + n - dropped AS length")
     from_base = convs.select("conv_id", F.inline("base_head")).withColumnRenamed("k", "depth")
     # One row per block of a conversation, so that its turns meet it in many tasks.
     blocks = places.select("conv_id", "block").distinct()
     per_block = blocks.join(convs.drop("base_head", "n"), "conv_id")
-    own = places.join(per_block, ["conv_id", "block"]).filter(F.col("k") > F.col("dropped"))
+    own = places.join(per_block, ["conv_id", "block"]).filter("k > dropped")
     lanes = []
-    for i, q in enumerate(LANES):
-        p = PRIMES[i]
-        shift = _shift(i, F.col("taken") - F.col("dropped"), how.most)
-        suffix = (F.col(q) - F.col(f"o{q}") + p) % p
-        lanes.append(((F.col(f"g{q}") + shift * suffix) % p).alias(q))
-    depth = (F.col("k") - F.col("dropped") + F.col("taken")).alias("depth")
-    own = own.select("conv_id", depth, *lanes, *REF, "words")
+    for i, (q, p) in enumerate(zip(LANES, PRIMES, strict=True)):
+        # The suffix moves by taken - dropped places; powers of r from -most to most.
+        shifts = _numbers([pow(BASES[i], e, p) for e in range(-how.most, how.most + 1)])
+        shift = f"get({shifts}, CAST(taken - dropped + {how.most} AS INT))"
+        lanes.append(f"(g{q} + {shift} * (({q} - o{q} + {p}) % {p})) % {p} AS {q}")
+    own = own.selectExpr("conv_id", "k - dropped + taken AS depth", *lanes, *REF, "words")
     return from_base.select(own.columns).unionByName(own), lengths
 
 
-def _shift(lane: int, by: Column, most: int) -> Column:
-    """r^by for -most <= by <= most; negative powers by the inverse of r."""
-    p = PRIMES[lane]
-    powers = _numbers([pow(BASES[lane], e, p) for e in range(-most, most + 1)])
-    return F.get(powers, (by + most).cast("int"))
-
-
 KEY = ("depth", *LANES)
 
 
@@ -282,11 +263,11 @@ def prefix_trie(df: DataFrame, how: Rebuild) -> DataFrame:
 def _measured(rows: DataFrame, lengths: DataFrame, nodes: DataFrame) -> DataFrame:
     """The trie's nodes with all their columns."""
     # The parent's fingerprint is the node's without its last turn.
-    lanes = {}
-    for i, q in enumerate(LANES):
-        turn = (F.col("low_t1") if i == 0 else F.col("low_t2") if i == 1 else F.col("low_t1") + F.col("low_t2")) % PRIMES[i]
-        lanes[f"p{q}"] = (F.col(q) - turn * _power(i, F.col("depth")) % PRIMES[i] + PRIMES[i]) % PRIMES[i]
-    nodes = nodes.withColumns(lanes).withColumn("pdepth", F.col("depth") - 1)
+    lanes = [
+        f"({q} - {_lane(i, 'low_t1', 'low_t2')} * {_power(i, 'depth')} % {p} + {p}) % {p} AS p{q}"
+        for i, (q, p) in enumerate(zip(LANES, PRIMES, strict=True))
+    ]
+    nodes = nodes.selectExpr("*", *lanes, "depth - 1 AS pdepth")
     parent_key = [f"p{c}" for c in KEY]
     members = lengths.agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("conv_id")).filter("n_convs > 0")
     root = members.select(

@@ -107,7 +107,7 @@ def test_colliding_references_are_found_and_salted_away(spark, monkeypatch):
     # Lanes that forget all but the length give nodes whose members disagree.
     rows = [(0, 0, "user", "a"), (20, 0, "user", "b")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], TURNS)
-    monkeypatch.setattr(prefix_trie, "_lane", lambda i: F.lit(1).cast("bigint"))
+    monkeypatch.setattr(prefix_trie, "_lane", lambda i: "1L")
     lanes = prefix_trie._positions(prefix_trie._turns(df, 0)).withColumnRenamed("k", "depth")
     assert prefix_trie._disagreeing(prefix_trie._nodes(lanes))
 
