@@ -27,8 +27,8 @@ BUCKET_BITS = 13  # the lexicon is a list of 2^13 lists of hashes, by their last
 # Draw d looks at the bits of a term's hash from 16 + 4 d on; its subset of level l holds the
 # terms whose next l bits are zero.
 DRAWS, LEVELS = 10, (1, 3, 5, 7, 9)
-EMPTY = "0000002a"  # last digits of the hash of an empty array
-BLOCK = 512  # consecutive ids ordered together
+EMPTY = 42  # last 32 bits of the hash of an empty array
+BLOCK = 4096  # rows ordered together, about
 
 
 def terms(text: Column) -> Column:
@@ -58,37 +58,52 @@ def lexicon(corpus: DataFrame, text: str = "text", low: float = 1.5, high: float
     return filled.agg(F.transform(ordered, lambda w: w["inside"]).alias("lexicon"))
 
 
+def _last_bits(terms_: Column) -> Column:
+    """The last 32 bits of the hash of a list of terms, as an int."""
+    return F.shiftright(F.shiftleft(F.xxhash64(terms_), 32), 32).cast("int")
+
+
 def fingerprinted(
-    df: DataFrame, corpus: DataFrame, text: str = "text", marks: str = "marks", keep: list[str] | None = None, **band
+    df: DataFrame,
+    corpus: DataFrame | None = None,
+    text: str = "text",
+    marks: str = "marks",
+    keep: list[str] | None = None,
+    words: DataFrame | None = None,
+    **band,
 ) -> DataFrame:
     """Add `marks`: hashes of the text's lexicon terms, of all and of each random subset.
 
-    `corpus` (column `text`) gives the document frequencies; `band` is that of `lexicon`.
+    `corpus` (column `text`) gives the document frequencies; `band` is that of `lexicon`. A lexicon
+    made before is given as `words`.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != marks]
     names = {c: f"__c{i}" for i, c in enumerate(kept)}
+    known = lexicon(corpus, **band) if words is None else words
     whole = df.select(
         *[F.col(c).alias(n) for c, n in names.items()], terms(F.coalesce(text, F.lit(""))).alias("__terms")
-    ).join(F.broadcast(lexicon(corpus, **band).withColumnRenamed("lexicon", "__lexicon")))
+    ).join(F.broadcast(known.withColumnRenamed("lexicon", "__lexicon")))
     inside = F.expr(f"filter(__terms, h -> array_contains(get(__lexicon, CAST(h & {(1 << BUCKET_BITS) - 1} AS INT)), h))")
     chosen = whole.withColumn("__in", inside).drop("__lexicon")
     chosen = chosen.withColumn("__kept", F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__terms"))).drop("__in", "__terms")
-    draws = [
-        F.expr(
-            f"transform(array({', '.join(map(str, LEVELS))}), l -> xxhash64(filter(__kept, h -> "
-            f"(shiftright(h, {16 + 4 * d}) & (shiftleft(1L, l) - 1)) = 0)))"
-        )
-        for d in range(DRAWS)
-    ]
-    short = F.transform(
-        F.concat(F.array(F.xxhash64("__kept")), *draws), lambda h: F.lower(F.right(F.lpad(F.hex(h), 16, "0"), F.lit(8)))
-    )
-    return chosen.select(*[F.col(n).alias(c) for c, n in names.items()], short.alias(marks))
+    # The subsets of a draw are nested, so each is taken from the one before it.
+    previous, hashes = ["__kept"] * DRAWS, {}
+    for level in LEVELS:
+        subsets = {}
+        for d in range(DRAWS):
+            bits = ((1 << level) - 1) << (16 + 4 * d)
+            subsets[f"__s{d}_{level}"] = F.filter(previous[d], lambda h, bits=bits: h.bitwiseAND(F.lit(bits)) == 0)  # noqa: B023
+        chosen = chosen.withColumns(subsets)
+        previous = list(subsets)
+        hashes |= {(d, level): _last_bits(F.col(name)) for d, name in enumerate(previous)}
+    every = [_last_bits(F.col("__kept")), *(hashes[d, level] for d in range(DRAWS) for level in LEVELS)]
+    return chosen.select(*[F.col(n).alias(c) for c, n in names.items()], F.array(*every).alias(marks))
 
 
 def written(marks: str) -> Column:
-    """The fingerprint as one string."""
-    return F.array_join(marks, "")
+    """The fingerprint as one string, eight hex digits for each hash."""
+    digits = F.transform(marks, lambda m: F.lpad(F.lower(F.hex(m.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+    return F.array_join(digits, "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -112,24 +127,32 @@ def likeness(a: str, b: str) -> Column:
 
 def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Add `next_<c>`: the columns of the row with the next smaller `order` (a whole number; null
-    comes last, ties by the columns), of the first row after the last one.
+    comes last, ties by a hash of the columns), of the first row after the last one.
 
-    Rows are ordered in blocks of consecutive numbers. Between blocks only each one's first row
-    moves, found with map-side combine; the rows themselves are shuffled once, by block.
+    Rows are ordered in blocks of about BLOCK rows: as many equal stretches of the numbers, counted
+    first, and stretches of the hash for rows without a number. So neither sparse numbers nor many
+    nulls put all rows, or all blocks, into one place. Rows are shuffled once, by block; between
+    blocks only each one's first row moves.
     """
-    block = F.coalesce(F.floor(F.col(order) / BLOCK), F.lit(-(1 << 62))).cast("long")
-    rows = df.withColumn("__block", block).withColumn("__first", F.struct(F.col(order), *columns))
-    place = Window.partitionBy("__block").orderBy(F.col("__first").desc())
-    ahead = rows.withColumn("__next", F.lead("__first").over(place)).drop("__first")
-    heads = rows.groupBy("__block").agg(F.max("__first").alias("__head"))
-    # Block numbers alone are put in order in one place: one number for BLOCK ids.
-    blocks = rows.select("__block").distinct()
+    facts = df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("all"))
+    n, low, high, every = facts.first()
+    width = max(1, -(-((high - low + 1) if n else 1) * BLOCK // max(n, 1)))
+    loose = max(1, -(-(every - n) // BLOCK))  # blocks of rows without a number
+    number, tie = F.col(order).cast("decimal(20,0)"), F.xxhash64(*columns)
+    numbered = F.floor((number - F.lit(low or 0)) / F.lit(width)).cast("long")
+    # Hashes run from -2^63; the shift keeps the order of the blocks that of the hashes.
+    hashed = F.floor((tie.cast("double") / 2.0**63 + 1) / 2 * loose).cast("long") - loose - 1
+    rows = df.withColumns({"__block": F.coalesce(numbered, hashed), "__tie": tie})
+    first_of = F.struct(*columns)
+    place = Window.partitionBy("__block").orderBy(F.col(order).desc_nulls_last(), F.col("__tie").desc())
+    ahead = rows.withColumns({"__next": F.lead(first_of).over(place), "__at": F.row_number().over(place)})
+    # The same shuffle serves the rows and the first row of every block.
+    heads = ahead.filter("__at = 1").select("__block", first_of.alias("__head"))
     chain = Window.orderBy(F.col("__block").desc())
-    follows = blocks.select(
+    follows = rows.select("__block").distinct().select(
         "__block", F.coalesce(F.lead("__block").over(chain), F.first("__block").over(chain)).alias("__then")
     )
     borders = follows.join(heads.withColumnRenamed("__block", "__then"), "__then").select("__block", "__head")
+    joined = ahead.drop("__at").join(borders, "__block", "left")
     nearest = F.coalesce("__next", "__head")
-    return ahead.join(borders, "__block", "left").select(
-        *df.columns, *[nearest[c].alias(f"next_{c}") for c in columns]
-    )
+    return joined.select(*df.columns, *[nearest[c].alias(f"next_{c}") for c in columns])

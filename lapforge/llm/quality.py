@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapforge.llm.arrow import with_columns
-from lapforge.llm.words import SPACED, distinct_per_row, row_sums, text_bytes, word_hashes, word_spans
+from lapforge.llm.words import PIECE_BYTES, SPACED, distinct_per_row, row_sums, text_bytes, word_hashes, word_spans
 from lapforge.session import cut_lineage
 
 # Statistics of a text, in this order: shares of characters unless said otherwise.
@@ -64,9 +64,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(column)
     kinds = _CLASS[data]
     n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    count = np.bincount(row * 11 + kinds, minlength=n * 11).reshape(n, 11).astype(float)
-    chars = row_sums((data & 0xC0 != 0x80).astype(np.int64), offsets).astype(float)
+    count = np.zeros((n, 11))
+    for at in range(0, len(kinds), PIECE_BYTES):
+        # The rows that a stretch of the bytes touches, and how far each reaches into it.
+        stop = min(at + PIECE_BYTES, len(kinds))
+        low, high = np.searchsorted(offsets, at, "right") - 1, np.searchsorted(offsets, stop, "left")
+        held = np.diff(np.clip(offsets[low : high + 1], at, stop))
+        place = np.repeat(np.arange(high - low), held) * 11 + kinds[at:stop]
+        count[low:high] += np.bincount(place, minlength=(high - low) * 11).reshape(-1, 11)
+    chars = count[:, 1:].sum(1)  # kind 0 is for bytes inside a character
     some = np.maximum(chars, 1)
     _, starts, ends, rows = word_spans(data, offsets, SPACED)
     words = np.diff(rows).astype(float)
@@ -132,7 +138,7 @@ class Discriminant:
         if not self.means:
             return np.full(len(x), self.prior)
         density = [
-            -0.5 * ((((x - m) @ f.T) ** 2).sum(1) + d) for m, f, d in zip(self.means, self.factors, self.log_dets, strict=True)
+            -0.5 * ((np.einsum("ij,kj->ik", x - m, f) ** 2).sum(1) + d) for m, f, d in zip(self.means, self.factors, self.log_dets, strict=True)
         ]
         gap = density[1] - density[0] + np.log(self.prior) - np.log1p(-self.prior)
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
@@ -160,33 +166,19 @@ def fitted(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: flo
 
 
 def moments(labelled: DataFrame, name: str = "statistics", label: str = "label") -> dict[int, tuple]:
-    """(rows, sums, sums of products) of each class, summed by Spark."""
-    one = np.array([1.0])
-    width = len(STATISTICS) + 1
-
-    def partial(batches):
-        sums = {}
-        for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            x = batch.column(0).flatten().to_numpy().reshape(-1, width - 1)
-            x = np.column_stack([np.broadcast_to(one, (len(x), 1)), x])
-            for k in np.unique(labels):
-                own = x[labels == k]
-                sums[int(k)] = sums.get(int(k), 0) + own.T @ own
-        for k, s in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(s.size, k), pa.int32()), pa.array(np.arange(s.size), pa.int32()), pa.array(s.ravel())],
-                names=["label", "place", "value"],
-            )
-
-    parts = labelled.select(name, F.col(label).cast("int").alias("label")).mapInArrow(
-        partial, "label int, place int, value double"
-    )
-    out: dict[int, np.ndarray] = {}
-    for row in parts.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():
-        out.setdefault(row["label"], np.zeros(width * width))[row["place"]] = row["value"]
-    squares = {k: v.reshape(width, width) for k, v in out.items()}
-    return {k: (float(s[0, 0]), s[0, 1:], s[1:, 1:]) for k, s in squares.items()}
+    """(rows, sums, sums of products) of each class, summed by Spark with map-side combine."""
+    width = len(STATISTICS)
+    x = [F.get(name, F.lit(i)) for i in range(width)]
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(width)]
+    products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]
+    out = {}
+    for row in labelled.groupBy(F.col(label).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect():
+        square = np.zeros((width, width))
+        for i, j in pairs:
+            square[i, j] = square[j, i] = row[f"p{i}_{j}"]
+        out[row["k"]] = (float(row["n"]), np.array([row[f"s{i}"] for i in range(width)]), square)
+    return out
 
 
 def scored(

@@ -23,6 +23,7 @@ from lapforge.llm import (
     toxicity,
     vector_codes,
 )
+from lapforge.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,7 +113,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = fingerprints.fingerprinted(docs, docs, keep=["doc_id", "text"])
+    words = cut_lineage(fingerprints.lexicon(docs))
+    marked = fingerprints.fingerprinted(docs, keep=["doc_id", "text"], words=words)
     chained = fingerprints.with_next(marked, "doc_id", ["text", "marks"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
@@ -120,7 +122,7 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = chained.select(
         "doc_id", n.cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited")
     )
-    again = fingerprints.fingerprinted(whole, docs, text="edited", marks="edited_marks")
+    again = fingerprints.fingerprinted(whole, text="edited", marks="edited_marks", words=words)
     return again.select(
         "doc_id",
         "n_chars",

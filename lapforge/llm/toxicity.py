@@ -4,10 +4,12 @@ Severity has grades 0 (none) to GRADES - 1. One weight vector is shared by all o
 thresholds: P(grade <= k) = logistic(threshold_k - w x), and a text's severity is its expected
 grade, the sum of P(grade > k). Features are log counts of the words that speak for toxicity.
 
-The model is fitted on at most `sample` labelled documents, those of least id hash; words are
-chosen and counted by Spark, the driver sees a bounded table of their counts. Labels only say
-toxic or not, so toxic rows are graded by how many of the chosen words they hold, cut at the
-terciles. Scoring is one narrow pass over all whole texts with the model, of bounded size.
+The model is fitted on at most `sample` labelled documents, those of least id hash and one text
+for each id (that of least hash, where copies of an id differ); words are chosen and counted by
+Spark, and every word of the sample that passes the thresholds is a feature. The driver sees the
+sample's counts of these words. Labels only say toxic or not, so toxic rows are graded by how many
+of the chosen words they hold, cut at the terciles. Scoring is one narrow pass over all whole texts
+with the model, whose size is bounded by the sample.
 
 Words are chosen by their share of toxic rows among all that hold them and by the number of
 different words before them: a word that occurs in copies of one toxic text only always has the
@@ -31,12 +33,12 @@ from pyspark.sql import types as T
 
 from lapforge.llm.arrow import with_columns
 from lapforge.llm.words import ALNUM, distinct_per_row, text_bytes, word_hashes
+from lapforge.operators.groups import top_n
 from lapforge.session import cut_lineage
 
 GRADES = 4
 SAMPLE = 12_000
 REJECT = 0.3  # expected grade from which a document counts as toxic
-WORDS = 4096  # most features; a parameter of the model, chosen by evidence
 
 
 def _members(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,9 @@ def fit(
         .limit(sample)
     )
     picked = docs.select(F.col(id_).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(marks), "__id")
-    picked = cut_lineage(picked.dropDuplicates(["__t"]))
+    # One text for each id, cut before the shuffle too, so copies of an id cannot swell the sample.
+    first = top_n(picked.withColumn("__h", F.xxhash64("__t")), ["__id"], [F.col("__h"), F.col("__t"), F.col("__toxic")], 1)
+    picked = cut_lineage(first.drop("__h").dropDuplicates(["__t"]))
     fields = [
         T.StructField(
             "words", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("before", T.LongType())]))
@@ -161,8 +165,8 @@ def fit(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("__toxic").alias("bad"))
         .filter((F.col("bad") >= least) & (F.col("bad") >= F.col("n") * share))
     )
-    chosen = counts.join(wide, "word").orderBy(F.desc("bad"), "word").limit(WORDS).select("word")
-    vocabulary = np.sort(np.array([r["word"] for r in chosen.collect()], np.int64).view(np.uint64))
+    chosen = counts.join(wide, "word").select("word").toArrow()
+    vocabulary = np.sort(chosen.column(0).to_numpy().astype(np.int64).view(np.uint64))
     if not len(vocabulary):
         return Ordinal(vocabulary, np.zeros(0), np.zeros(0))
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -178,13 +182,13 @@ def fit(
         return make
 
     counted = with_columns(picked, "__t", [T.StructField("counts", T.ArrayType(pair))], prepare_counts, ["__toxic"])
-    data = counted.select("__toxic", "counts").collect()  # at most `sample` rows of few features
-    sizes = [len(r["counts"]) for r in data]
-    rows = np.repeat(np.arange(len(data)), sizes)
-    features = np.array([c["feature"] for r in data for c in r["counts"]], np.int64)
-    count = np.array([c["n"] for r in data for c in r["counts"]], float)
-    bad = np.array([r["__toxic"] for r in data])
-    hits = np.bincount(rows, count, minlength=len(data))
+    data = counted.select("__toxic", "counts").toArrow().combine_chunks()  # at most `sample` rows
+    sent.destroy()
+    listed = data.column("counts").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.struct([])))
+    bad = data.column("__toxic").to_numpy()
+    rows = np.repeat(np.arange(len(bad)), listed.value_lengths().to_numpy(zero_copy_only=False))
+    features, count = (listed.flatten().field(name).to_numpy().astype(kind) for name, kind in (("feature", np.int64), ("n", float)))
+    hits = np.bincount(rows, count, minlength=len(bad))
     cuts = np.quantile(hits[bad == 1], [1 / 3, 2 / 3])
     grades = np.where(bad == 1, 1 + np.searchsorted(cuts, hits, "left"), 0)
     weights, thresholds = fitted_ordinal(rows, features, np.log1p(count), grades, len(vocabulary))

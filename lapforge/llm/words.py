@@ -94,15 +94,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-    """(hash of every word, n + 1 word offsets of the rows)."""
+    """(hash of every word, n + 1 word offsets of the rows).
+
+    Words are hashed stretch by stretch: the arrays of eight bytes per byte hold PIECE_BYTES (or one
+    longer word) at a time, however long a text is.
+    """
     mapped, starts, ends, rows = word_spans(data, offsets, table)
-    if not len(starts):
-        return np.zeros(0, np.uint64), rows
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    # Gaps between words count zero; the longest gap may be longer than any word.
-    weight = _powers_to(int(place.max()) + 1)[place]
-    weight *= mapped[starts[0] :]
-    return mix(np.add.reduceat(weight, starts - starts[0]) + (ends - starts).astype(np.uint64)), rows
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        stop = max(done + 1, int(np.searchsorted(ends, starts[done] + PIECE_BYTES, "right")))
+        first, some = starts[done], starts[done:stop] - starts[done]
+        piece = mapped[first : ends[stop - 1]]
+        place = np.arange(len(piece)) - np.repeat(some, np.diff(np.append(some, len(piece))))
+        # Gaps between words count zero; the longest gap may be longer than any word.
+        weight = _powers_to(int(place.max()) + 1)[place]
+        weight *= piece
+        out[done:stop] = mix(np.add.reduceat(weight, some) + (ends[done:stop] - starts[done:stop]).astype(np.uint64))
+        done = stop
+    return out, rows
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, size: int):

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from lapforge.llm.bpe import Merges, WordIds
 from lapforge.llm.bpe_codec import decode, encode
-from lapforge.llm.token_counts import PrefixCounts, token_counts
+from lapforge.llm.token_counts import PrefixCounts, PrefixTokens, WordCounts, WordTables, token_counts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
@@ -66,14 +66,50 @@ def test_counts_equal_the_library(spark):
 
 
 def test_every_prefix_is_exact():
-    library, merges = Tokenizer.from_file(WORDS), Merges(WORDS)
-    for text in [t for t in texts()[1:40] if t]:
-        counts = PrefixCounts(text, merges)
+    library, known = Tokenizer.from_file(WORDS), WordCounts(PrefixTokens(WORDS))
+    for text in [t for t in texts()[1:60] if t] + ["international2024misunderstandings 'rest naïveté", "x" * 200]:
+        counts = PrefixCounts(text, known)
         for end in range(len(counts.text) + 1):
             assert counts.at(end) == len(library.encode(counts.text[:end], add_special_tokens=False).ids)
         assert counts.at(counts.fit(4)) <= 4
 
 
+def test_tables_are_filled_without_merging(monkeypatch):
+    tokens = PrefixTokens(WORDS)
+    tables = WordTables(tokens)
+    monkeypatch.setattr(Merges, "encode", None)  # nothing is merged from here on
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 30))).encode() for _ in range(300)]
+    words += [b"aaaaaaa", b"hahahaha", b"mississippi", "naïveté".encode(), b"!!!!!!!!", b"z" * 100]
+    library = Tokenizer.from_file(WORDS)
+    counts, last, totals = tables.together(words)
+    for word, count, end, total in zip(words, counts, last, totals, strict=True):
+        known = library.encode(word.decode(), add_special_tokens=False).ids
+        assert total == len(known)
+        alone = tables.alone(word)
+        inside = slice(0, len(word))
+        assert alone[2] == total and (alone[0][inside] == count[inside]).all() and (alone[1][inside] == end[inside]).all()
+        # What is before the last token is the encoding of that prefix.
+        assert total == 1 or count[len(word) - len(library.id_to_token(known[-1]).removesuffix("</w>"))] == total - 1
+
+
+def test_exactly_one_token_fits_at_a_place():
+    tokens = PrefixTokens(WORDS)
+    tables, word = WordTables(tokens), b"internationalization"
+    _, last, _ = tables.alone(word)
+    for end in range(1, len(word)):
+        found = [(s, tokens.tokens[0].get(word[s:end])) for s in range(end)]
+        fits = [s for s, t in found if t is not None and (s == 0 or tables._apart(int(last[s]), t))]
+        assert len(fits) == 1
+
+
+def test_forgetting_word_counts_changes_nothing():
+    words = [f"w{i}ord{i * i}s" for i in range(60)] + ["the", "cat"]
+    tokens = PrefixTokens(WORDS)
+    small, large = WordCounts(tokens, most=7), WordCounts(tokens)
+    assert [int(small.sizes([w])[0]) for w in words] == large.sizes(words).tolist()
+
+
 @pytest.mark.parametrize("run", [lambda d: encode(d, BYTES), lambda d: token_counts(d, WORDS)])
 def test_empty_tables_and_clashing_columns(spark, run):
     empty = spark.createDataFrame([], SCHEMA)
