@@ -19,6 +19,8 @@ are carried along, except ones named like a result, which are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,6 +65,10 @@ def _last_bits(terms_: Column) -> Column:
     return F.shiftright(F.shiftleft(F.xxhash64(terms_), 32), 32).cast("int")
 
 
+def _zero_bits(mask: int) -> Callable[[Column], Column]:
+    return lambda h: h.bitwiseAND(F.lit(mask)) == 0
+
+
 def fingerprinted(
     df: DataFrame,
     corpus: DataFrame | None = None,
@@ -91,8 +97,7 @@ def fingerprinted(
     for level in LEVELS:
         subsets = {}
         for d in range(DRAWS):
-            bits = ((1 << level) - 1) << (16 + 4 * d)
-            subsets[f"__s{d}_{level}"] = F.filter(previous[d], lambda h, bits=bits: h.bitwiseAND(F.lit(bits)) == 0)  # noqa: B023
+            subsets[f"__s{d}_{level}"] = F.filter(previous[d], _zero_bits(((1 << level) - 1) << (16 + 4 * d)))
         chosen = chosen.withColumns(subsets)
         previous = list(subsets)
         hashes |= {(d, level): _last_bits(F.col(name)) for d, name in enumerate(previous)}

@@ -5,8 +5,10 @@ that component; a query reads each list from the end that its own sign makes bes
 stretch every candidate has a lower bound (what was read, plus the least values of its unread
 lists) and an upper one (what was read, plus the values that its unread lists have come down to).
 The k-th best lower bound, or the k-th best score of earlier blocks if that is more, is the mark to
-reach. Reading stops when all but a few candidates have an upper bound below the mark; the scores
-of those few are resolved. Equal bounds may still qualify, since ties go to the smaller id.
+reach. Reading stops when all but a small part of the candidates have an upper bound below the
+mark; the scores of that part are resolved. Equal bounds may still qualify, since ties go to the
+smaller id. The first stretch of a query reaches nearly as deep as the one before it needed, so
+bounds are seldom looked at in vain.
 
 Queries come in chunks of bounded size, each chunk a broadcast for one job over all candidates;
 candidates are never shuffled for a query. A chunk's first marks come from its own members, which
@@ -34,62 +36,77 @@ from lapforge.session import cut_lineage
 BLOCK = 4096  # candidates whose lists are kept at a time
 CHUNK = 4096  # queries of one job
 STRETCH = 24  # a list is read in so many steps at most
-FEW = 32  # candidates that may be left over besides the k best
+SHARE = 16  # reading may stop when one in so many candidates is left over besides the k best
 NO_SCORE = np.iinfo(np.int64).min
 
 
 class SortedLists:
-    """The lists of one block of candidates: per component, their places by ascending value."""
+    """The lists of one block of candidates: per component, their places by ascending value.
+
+    Kept both ways round, one line per component and direction, stretch by stretch, so that the
+    stretches a query reads lie together; the last one is filled up with a place of no candidate.
+    """
 
     def __init__(self, values: np.ndarray) -> None:
-        self.values = values
+        self.values, (n, dim) = values, values.shape
         up = np.argsort(values, axis=0, kind="stable")
         worth = np.take_along_axis(values, up, axis=0)
-        # Both ways round, one line per component and direction.
-        self.places = np.concatenate([up.T, up[::-1].T])
-        self.worth = np.concatenate([worth.T, worth[::-1].T])
-
-    def reading(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, their values times the query's), each from its greatest product downwards."""
-        used = np.flatnonzero(query)
-        line = used + len(query) * (query[used] > 0)
-        return self.places[line], self.worth[line] * query[used, None]
+        self.step = max(1, -(-n // STRETCH))
+        self.steps = -(-n // self.step)
+
+        def stretched(lines: np.ndarray, fill: np.ndarray) -> np.ndarray:
+            both = np.concatenate([lines, lines[:, ::-1]])
+            missing = self.steps * self.step - n
+            padded = np.concatenate([both, np.broadcast_to(fill[:, None], (2 * dim, missing))], axis=1)
+            return np.ascontiguousarray(padded.reshape(2 * dim, self.steps, self.step).transpose(1, 0, 2))
+
+        self.places = stretched(up.T, np.full(2 * dim, n))
+        # What fills up the lists repeats their last value, the frontier when all is read.
+        ends = np.concatenate([worth[-1:].T, worth[:1].T])[:, 0] if n else np.zeros(2 * dim, np.int64)
+        self.worth = stretched(worth.T, ends)
+        self.doubles = self.worth.astype(np.float64)
+        self.most = int(np.abs(values).max(initial=0))
+        self.needed = 1  # stretches that the query before read
 
     def qualifying(self, query: np.ndarray, mark: int, k: int) -> np.ndarray:
         """Places of the candidates that can reach `mark` and the k best lower bounds of this block."""
-        n = len(self.values)
-        lists, scores = self.reading(query)
+        n, few = len(self.values), k + len(self.values) // SHARE
+        used = np.flatnonzero(query)
         everyone = np.arange(n)
-        if not len(lists) or n <= k + FEW:
-            return everyone if len(lists) or mark <= 0 else everyone[:0]
-        least = scores[:, -1]
-        # All sums are whole numbers and exact.
-        scores = scores.astype(_exact(scores))
-        read = np.zeros(n, scores.dtype)
-        met = np.zeros((n, len(lists)), scores.dtype)
-        own = np.arange(len(lists))[:, None]
-        step = -(-n // STRETCH)
-        for start in range(0, n, step):
-            places, worth = lists[:, start : start + step], scores[:, start : start + step]
-            if scores.dtype == np.float64:
-                read += np.bincount(places.ravel(), worth.ravel(), n)
-            else:
-                np.add.at(read, places, worth)
-            met[places, own] = 1
-            # What the lists in which a candidate was not met yet can add to its score.
-            ends = np.stack([worth[:, -1], least], axis=1).astype(scores.dtype)
-            unmet = ends.sum(axis=0) - met @ ends
-            upper, lower = read + unmet[:, 0], read + unmet[:, 1]
+        if not len(used) or n <= few:
+            return everyone if len(used) or mark <= 0 else everyone[:0]
+        weight = query[used]
+        # All sums are whole numbers and exact: doubles where they hold them (they multiply faster), else longs.
+        kind = np.float64 if self.most * int(np.abs(weight).max()) * len(used) < 1 << 52 else np.int64
+        values, weight = self.doubles if kind is np.float64 else self.worth, weight.astype(kind)
+        line = used + len(query) * (weight > 0)
+        least = values[-1, line, -1] * weight
+        first = stop = min(self.needed, self.steps)
+        while True:
+            places = self.places[:stop].take(line, axis=1)
+            worth = values[:stop].take(line, axis=1)
+            worth *= weight[None, :, None]
+            reached = worth[-1, :, -1].copy()
+            # A candidate was met in some lists; the others can add what they have come down to, or their least.
+            lower = self._summed(places, worth - least[None, :, None]) + least.sum()
+            worth -= reached[None, :, None]
+            upper = self._summed(places, worth) + reached.sum()
             goal = max(mark, np.partition(lower, n - k)[n - k])
             open_ = np.flatnonzero(upper >= goal)
-            if len(open_) <= k + FEW:
+            if len(open_) <= few or stop == self.steps:
+                # The next query starts a stretch earlier if this one read more than it had to.
+                self.needed = max(1, stop - (stop == first and 3 * len(open_) < few))
                 return open_
-        return open_
+            stop += 1
 
-
-def _exact(scores: np.ndarray) -> type:
-    """Doubles where sums over all lists are exact in them (they multiply faster), longs elsewhere."""
-    return np.float64 if int(np.abs(scores).max()) * len(scores) < 1 << 52 else np.int64
+    def _summed(self, places: np.ndarray, worth: np.ndarray) -> np.ndarray:
+        """The sum of the values read at each candidate."""
+        n = len(self.values)
+        if worth.dtype == np.float64:
+            return np.bincount(places.ravel(), worth.ravel(), n + 1)[:n]
+        out = np.zeros(n + 1, np.int64)
+        np.add.at(out, places.ravel(), worth.ravel())
+        return out[:n]
 
 
 class Best:

@@ -211,7 +211,7 @@ def top(spark, rows, k):
 @pytest.mark.parametrize("block", [4096, 97])
 def test_top_products_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "FEW", 3)
+    monkeypatch.setattr(topk, "SHARE", 40)
     monkeypatch.setattr(topk, "CHUNK", 5)
     rows = random_vectors()
     assert top(spark, rows, 10) == brute_top(rows, 10)
@@ -234,7 +234,7 @@ def test_reading_stops_before_the_lists_end_and_loses_nobody():
         tenth = int(np.sort(score)[-10])
         places = lists.qualifying(query, int(np.sort(score)[-12]), 10)
         assert set(np.flatnonzero(score >= tenth)) <= set(places.tolist())
-        assert len(places) <= 10 + topk.FEW
+        assert len(places) <= 10 + 4000 // topk.SHARE and lists.needed < lists.steps
 
 
 def test_whole_numbers_that_leave_a_long_are_an_error(spark):
