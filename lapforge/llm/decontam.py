@@ -31,8 +31,7 @@ from lapforge.session import cut_lineage
 
 GRAM, WINDOW = 5, 6
 FILTER_BITS = 25  # the bitmap of fingerprints has 2^25 bits, 4 MB
-HIT_ROWS = 100_000  # documents with hits up to which these are sent to all tasks
-SPAN_ROWS = 500_000  # distinct benchmark spans up to which they are sent to all tasks
+SENT_BYTES = 32 << 20  # bytes of benchmark spans, or of documents' hits, up to which they are sent to all tasks
 _BASE = np.uint64(0xA24BAED4963EE407)
 
 
@@ -209,7 +208,7 @@ def contamination(
     spans = cut_lineage(benchmark_spans(benchmark, size, text, item))
     lengths = [r["n"] for r in spans.select("n").distinct().collect()]  # at most `size` values
     items = spans.groupBy("n", "hash").agg(F.collect_set("item").alias("items"))
-    if spans.count() <= SPAN_ROWS:
+    if (spans.agg(F.sum(F.length(F.col("item").cast("string")) + 32)).first()[0] or 0) <= SENT_BYTES:
         items = F.broadcast(items)
     part = candidate_spans(whole, print_filter(spans), lengths, size, "__t", keep=list(names.values()))
     part = cut_lineage(part.withColumn("__row", F.monotonically_increasing_id()))
@@ -223,7 +222,8 @@ def contamination(
         )
     )
     hits = cut_lineage(hits)
-    if hits.count() <= HIT_ROWS:
+    named = F.aggregate("__items", F.lit(0).cast("long"), lambda n, i: n + F.length(i.cast("string")) + 16)
+    if (hits.agg(F.sum(named + F.size("hits") * 16 + 64)).first()[0] or 0) <= SENT_BYTES:
         hits = F.broadcast(hits)
     none = F.array().cast("array<struct<start:int,n:int>>")
     ordered = F.array_sort(F.transform("__items", lambda i: i.cast("string")))

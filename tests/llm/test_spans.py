@@ -2,9 +2,13 @@
 
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from lapforge.llm.decontam import contamination
-from lapforge.llm.pii import KINDS, masked, personal_spans, written
+from lapforge.llm.pii import KINDS, apart, learnt_patterns, masked, personal_spans, running, scanned, written
+from lapforge.session import cut_lineage
 
 DOCS = "doc_id long, text string"
 
@@ -96,3 +100,72 @@ def test_contexts_find_unseen_identifiers(spark):
     assert shown[100] == "my number is [PHONE] thanks" and shown[102] == "mail [EMAIL]" and shown[101] == rows[31][1]
     assert personal_spans(spark.createDataFrame([], DOCS)).count() == 0
     assert KINDS == ("email", "ip", "card", "phone")
+
+
+def test_several_kinds_are_learnt_over_more_than_one_round(spark):
+    rows, seen = [], {}
+
+    def say(text, kind=None, value=None):
+        rows.append((len(rows), text))
+        if kind:
+            seen[len(rows) - 1] = (kind, value)
+
+    for i in range(600):
+        say(f"please ring +1 (9{i:03d}) 555-24{i % 90 + 10} today")
+    for i in range(20):
+        say(f"write to the box user{i}@mail{i}.org now")
+        say(f"the host stands at 10.{i}.7.{i + 1} in the rack")
+    # Unseen forms after contexts of seeds: found in the first round.
+    for i in range(40):
+        say(f"please ring ext#{i}77{i} today", "phone", f"ext#{i}77{i}")
+        # The same values after a context that no seed has.
+        say(f"front desk: ext#{i}77{i} or come by", "phone", f"ext#{i}77{i}")
+    say("write to the box j0hn-at-host now", "email", "j0hn-at-host")
+    say("the host stands at fe80::1:7 in the rack", "ip", "fe80::1:7")
+    # Only the context that the first round's finds have proven speaks for these.
+    for i in range(5):
+        say(f"front desk: desk/{i}{i}5 or come by", "phone", f"desk/{i}{i}5")
+    plain = len(rows)
+    say("closed for 3000 years, says item zz-9000/1")
+    say("ring the bell by 9am")
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = personal_spans(df)
+    spans = {r.doc_id: [(KINDS[s.kind], r.text[s.start : s.stop]) for s in r.spans if s not in r.base_spans] for r in found.collect()}
+    for d, one in seen.items():
+        assert spans[d] == [one], rows[d]
+    assert spans[plain] == spans[plain + 1] == [] and all(not spans[d] for d in range(640))
+    # Without the first round's finds, the second's context has nothing sure.
+    first = learnt_patterns(cut_lineage(scanned(df.filter("NOT contains(text, 'ring ext')"))))
+    assert not [r for r in first.collect() if "desk:" in r.pattern]
+
+
+def test_texts_full_of_matches_take_time_in_proportion(spark):
+    mails = " ".join(f"user{i}@host{i}.org" for i in range(16_000))
+    numbers = " ".join(f"id-{i}x" for i in range(16_000))
+    both = " ".join(f"id-{i}x a{i}@b.cd" for i in range(8000))
+    df = spark.createDataFrame([(0, mails), (1, numbers), (2, both)], DOCS)
+    begin = time.monotonic()
+    found = {r.doc_id: r for r in masked(personal_spans(df)).collect()}
+    assert time.monotonic() - begin < 60
+    assert len(found[0].base_spans) == 16_000 and found[0].text == " ".join(["[EMAIL]"] * 16_000)
+    assert len(found[1].base_spans) == 0 and len(found[2].base_spans) == 8000
+    assert [tuple(s) for s in found[2].base_spans] == base_spans(both)
+
+
+def test_spans_keep_other_columns_and_their_names(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "x", 7), (None, None, None, None), (None, "", "y", 1)], "doc_id long, text string, spans string, __row int")
+    rows = sorted(map(str, personal_spans(df, keep=["doc_id", "__row"]).collect()))
+    assert len(rows) == 3 and personal_spans(df).columns[:2] == ["doc_id", "text"]
+
+
+def test_running_values_and_apart(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 63, 64, 65, 200):
+        values = [rng.randint(0, 9) for _ in range(n)]
+        starts = sorted(rng.sample(range(1000), n))
+        spans = [(s, s + rng.randint(1, 4)) for s in starts]
+        others = [(s, s + rng.randint(1, 6)) for s in sorted(rng.sample(range(1000), n // 3))]
+        df = spark.createDataFrame([(values, spans, others)], "v array<int>, s array<struct<start:int,stop:int>>, o array<struct<start:int,stop:int>>")
+        row = df.select(running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("sums"), apart(F.col("s"), F.col("o")).alias("free")).first()
+        assert row.sums == [sum(values[:i]) for i in range(n)]
+        assert [tuple(s) for s in row.free] == [s for s in spans if all(s[1] <= a or s[0] >= b for a, b in others)]
