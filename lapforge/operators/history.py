@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge.constants import DIFFICULTY, DIFFICULTY_DEFAULT
+from lapforge.operators.asof import before
 from lapforge.operators.groups import top_n
 from lapforge.operators.marts import consistency, count_where, ratio
 
@@ -354,6 +355,52 @@ def historical_features(results: DataFrame, keys: Sequence[str] = ("driver_code"
     )
 
 
+def features_before(asked: DataFrame, results: DataFrame, keys: Sequence[str] = ("driver_code",)) -> DataFrame:
+    """`historical_features` per (keys, season) of `asked`, from the results of earlier seasons only.
+
+    All seasons in one pass over the results; no row where there is no earlier result. The
+    deviation comes from sums of whole numbers, so it is exact up to the last root.
+    """
+    f, g = _f().cast("long"), _g().cast("long")
+
+    def hits(condition: Column) -> tuple[str, Column]:
+        return "sum", condition.cast("long")
+
+    states = {
+        "n": ("sum", F.lit(1).cast("long")), "gone": hits(f.isNull()), "points": ("sum", F.col("points")),
+        "done": hits(f.isNotNull()), "f": ("sum", f), "ff": ("sum", f * f), "f_min": ("min", f),
+        "first": hits(f == 1), "third": hits(f <= 3), "tenth": hits(f <= 10),
+        "seen": hits(g.isNotNull()), "g": ("sum", g), "g_min": ("min", g),
+    }
+    states = {f"__{name}": state for name, state in states.items()}
+    n, done, total = F.col("__n"), F.col("__done"), F.col("__f")
+
+    def rate(name: str, default: float) -> Column:
+        return F.coalesce(ratio(F.coalesce(name, F.lit(0)), done), F.lit(default))
+
+    spread = F.sqrt(F.greatest(done * F.col("__ff") - total * total, F.lit(0))) / done
+    return (
+        before(asked, results, keys, states)
+        .filter(n > 0)
+        .select(
+            *keys,
+            "season_year",
+            F.coalesce(ratio(total, done), F.lit(12.0)).alias("historical_avg_position"),
+            F.coalesce(F.col("__f_min").cast("double"), F.lit(15.0)).alias("historical_best_position"),
+            F.when(done > 0, consistency(spread)).otherwise(0.5).alias("historical_consistency"),
+            rate("__first", 0.0).alias("historical_win_rate"),
+            rate("__third", 0.0).alias("historical_podium_rate"),
+            rate("__tenth", 0.3).alias("historical_points_rate"),
+            F.coalesce(ratio(F.col("__g"), F.col("__seen")), F.lit(12.0)).alias("historical_quali_avg"),
+            F.coalesce(F.col("__g_min").cast("double"), F.lit(15.0)).alias("historical_quali_best"),
+            n.alias("circuit_race_count"),
+            F.least(n / 5.0, F.lit(1.0)).alias("circuit_experience"),
+            (F.col("__gone") / n).alias("circuit_dnf_rate"),
+            F.col("__points").alias("historical_total_points"),
+        )
+    )
+
+
 def win_counts(results: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Wins per driver, on the roster if one is given."""
     won = winners(results)

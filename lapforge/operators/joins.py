@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapforge.operators.asof import before
 from lapforge.operators.groups import contains_join, top_n
 
 RACE = ["season_year", "round_number"]
@@ -18,22 +19,27 @@ def scaffold(roster: DataFrame, facts: DataFrame, defaults: Mapping[str, object]
     return roster.join(facts, list(keys), "left").withColumns(filled)
 
 
-def with_standings(df: DataFrame, standings: DataFrame, teams: DataFrame) -> DataFrame:
-    """Add championship position, points, team and team rank, with last-place defaults."""
+def with_standings(df: DataFrame, standings: DataFrame, teams: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Add championship position, points, team and team rank, with last-place defaults.
+
+    `by` names what tells championships apart, such as the season that the tables apply to.
+    """
+    by = list(by)
     table = standings.select(
+        *by,
         "driver_code",
         F.col("position").alias("championship_position"),
         F.col("points").alias("championship_points"),
         F.col("team").alias("current_team"),
     )
-    rank = teams.select(F.col("team").alias("current_team"), "team_rank")
+    rank = teams.select(*by, F.col("team").alias("current_team"), "team_rank")
     filled = {
         "championship_position": F.coalesce("championship_position", F.lit(20)),
         "championship_points": F.coalesce("championship_points", F.lit(0.0)),
         "current_team": F.coalesce("current_team", F.lit("Unknown")),
         "team_rank": F.coalesce("team_rank", F.lit(10)),
     }
-    joined = df.join(table, "driver_code", "left").join(rank, "current_team", "left")
+    joined = df.join(table, [*by, "driver_code"], "left").join(rank, [*by, "current_team"], "left")
     return joined.withColumns(filled)
 
 
@@ -116,6 +122,34 @@ def teammate(drivers: DataFrame, standings: DataFrame, results: DataFrame, roste
     )
 
 
+def teammate_by_season(drivers: DataFrame, standings: DataFrame, results: DataFrame, roster: DataFrame) -> DataFrame:
+    """`teammate` for every (season, driver) of `drivers`, from what was known before the season.
+
+    `standings` has the season that a table applies to; the latest race shared with someone is
+    looked for in earlier seasons, by a running maximum over them.
+    """
+    key = ["season_year", "driver_code"]
+    current = _other(standings.select("season_year", "team", "driver_code"), ["season_year", "team"], "__t1")
+    raced = _other(results.select(*RACE, "team", "driver_code"), [*RACE, "team"], "__t2")
+    shared = F.struct("season_year", "round_number", F.col("__t2").alias("mate"))
+    latest = before(
+        drivers, raced.filter(F.col("__t2").isNotNull()), ["driver_code"], {"__latest": ("max", shared)}
+    ).select(*key, F.col("__latest.mate").alias("__t2"))
+    listed = _other(roster.select("team", "driver_code"), ["team"], "__t3").select("driver_code", "__t3")
+    source = (
+        F.when(F.col("__t1").isNotNull(), "standings")
+        .when(F.col("__t2").isNotNull(), "results")
+        .when(F.col("__t3").isNotNull(), "roster")
+    )
+    return (
+        drivers.join(current.select(*key, "__t1"), key, "left")
+        .join(latest, key, "left")
+        .join(listed, "driver_code", "left")
+        .withColumns({"teammate": F.coalesce("__t1", "__t2", "__t3"), "teammate_source": source})
+        .drop("__t1", "__t2", "__t3")
+    )
+
+
 def judged(predictions: DataFrame, actual: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     """Per race: was the winner predicted first, in the top 3, in the top 5, and at which rank.
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapforge import constants as k
+from lapforge.operators.asof import State, before
 from lapforge.operators.groups import attach, top_n, with_rank
-from lapforge.operators.history import historical_features
+from lapforge.operators.history import features_before
 from lapforge.operators.marts import consistency, count_where, normalize, ratio
 
 RACE = ["season_year", "round_number"]
@@ -153,11 +154,14 @@ def expected_performance(df: DataFrame) -> DataFrame:
     )
 
 
-def rookie_features(season: DataFrame, standings: DataFrame) -> DataFrame:
-    """Current-season record of each driver in the standings, as a stand-in for history."""
-    f = F.col("finish_position")
+def rookie_features(season: DataFrame, standings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Current-season record of each driver in the standings, as a stand-in for history.
+
+    With `by`, of every season: the standings carry the season that they apply to.
+    """
+    f, key = F.col("finish_position"), [*by, "driver_code"]
     done = F.count(f)
-    record = season.groupBy("driver_code").agg(
+    record = season.groupBy(*key).agg(
         F.avg(f).alias("__avg"),
         F.min(f).alias("__best"),
         F.when(done > 0, consistency(F.stddev_pop(f))).alias("__cons"),
@@ -166,11 +170,11 @@ def rookie_features(season: DataFrame, standings: DataFrame) -> DataFrame:
         done.alias("__n"),
     )
     p, points = F.col("position"), F.col("points")
-    table = standings.select("driver_code", "position", "points")
+    table = standings.select(*key, "position", "points")
     avg = F.coalesce("__avg", F.least(p + 2, F.lit(20)).cast("double"))
     best = F.coalesce(F.col("__best"), F.greatest(F.lit(1), p - 5)).cast("double")
-    return table.join(record, "driver_code", "left").select(
-        "driver_code",
+    return table.join(record, key, "left").select(
+        *key,
         avg.alias("historical_avg_position"),
         best.alias("historical_best_position"),
         F.coalesce("__cons", F.lit(0.5)).alias("historical_consistency"),
@@ -187,12 +191,19 @@ def rookie_features(season: DataFrame, standings: DataFrame) -> DataFrame:
     )
 
 
-def proxy_history(entries: DataFrame, history: DataFrame, rookies: DataFrame, keys: Sequence[str] = ("circuit_name",)) -> DataFrame:
+def proxy_history(
+    entries: DataFrame,
+    history: DataFrame,
+    rookies: DataFrame,
+    keys: Sequence[str] = ("circuit_name",),
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Add past-record features; inexperienced drivers take their teammate's, slightly worse.
 
-    `entries` has `is_rookie`, `data_confidence` and `teammate`; `history` is keyed by
-    `keys` and driver. Without a teammate the current season stands in.
+    `entries` has `is_rookie`, `data_confidence` and `teammate`; `history` is keyed by `by`,
+    `keys` and driver, `rookies` by `by` and driver. Without a teammate the current season stands in.
     """
+    keys = [*by, *keys]
     columns = list(HISTORY_DEFAULTS)
 
     def renamed(df: DataFrame, prefix: str, on: Sequence[str]) -> DataFrame:
@@ -200,11 +211,11 @@ def proxy_history(entries: DataFrame, history: DataFrame, rookies: DataFrame, ke
 
     own = renamed(history, "__own_", [*keys, "driver_code"])
     mate = renamed(history, "__mate_", [*keys, "driver_code"]).withColumnRenamed("driver_code", "teammate")
-    fresh = renamed(rookies, "__new_", ["driver_code"])
+    fresh = renamed(rookies, "__new_", [*by, "driver_code"])
     joined = (
         entries.join(own, [*keys, "driver_code"], "left")
         .join(mate, [*keys, "teammate"], "left")
-        .join(fresh, "driver_code", "left")
+        .join(fresh, [*by, "driver_code"], "left")
     )
     proxy = F.col("is_rookie") | (F.col("data_confidence") < 0.4)
     has_mate = F.col("teammate").isNotNull()
@@ -225,15 +236,19 @@ def proxy_history(entries: DataFrame, history: DataFrame, rookies: DataFrame, ke
     return joined.withColumns(out).drop(*helpers)
 
 
-def confidence_by_circuit(entries: DataFrame, history: DataFrame) -> DataFrame:
-    """Add `data_confidence` from races at the entry's circuit and in the whole career."""
-    here = history.groupBy("circuit_name", "driver_code").agg(F.count(F.lit(1)).alias("__here"))
-    career = history.groupBy("driver_code").agg(F.count(F.lit(1)).alias("__career"))
+def _race_count(name: str) -> Mapping[str, State]:
+    return {name: ("sum", F.lit(1).cast("long"))}
+
+
+def confidence_before(entries: DataFrame, history: DataFrame) -> DataFrame:
+    """Add `data_confidence` from earlier seasons' races at the entry's circuit and in the whole career."""
+    here = before(entries, history, ["circuit_name", "driver_code"], _race_count("__here"))
+    career = before(entries, history, ["driver_code"], _race_count("__career"))
     at, all_ = F.coalesce("__here", F.lit(0)), F.coalesce("__career", F.lit(0))
     score = 0.7 * F.least(F.lit(1.0), at / 3.0) + 0.3 * F.least(F.lit(1.0), all_ / 20.0)
     return (
-        entries.join(here, ["circuit_name", "driver_code"], "left")
-        .join(career, "driver_code", "left")
+        entries.join(here, ["season_year", "circuit_name", "driver_code"], "left")
+        .join(career, ["season_year", "driver_code"], "left")
         .withColumn("data_confidence", F.round(score, 2))
         .drop("__here", "__career")
     )
@@ -241,26 +256,31 @@ def confidence_by_circuit(entries: DataFrame, history: DataFrame) -> DataFrame:
 
 def prediction_features(
     entries: DataFrame,
-    history: DataFrame,
+    results: DataFrame,
     rookies: DataFrame,
     rain: Column | None = None,
     heat: Column | None = None,
     specialist: Column | None = None,
     overtaker: Column | None = None,
 ) -> DataFrame:
-    """All model features for every entry.
+    """All model features for every entry, of any number of seasons.
 
     `entries`: one row per race and active driver with circuit attributes, standings,
-    teammate, grid slot and race-day weather already joined; `history`: past results.
+    teammate, grid slot and race-day weather already joined; `results`: the results of all
+    seasons, of which each entry sees those before its own; `rookies` by season and driver.
     """
-    past = historical_features(history, ("circuit_name", "driver_code"))
-    won = history.filter(F.col("finish_position") == 1)
-    wins = won.groupBy("circuit_name", "driver_code").agg(F.count(F.lit(1)).alias("wins"))
-    df = confidence_by_circuit(entries, history)
-    df = proxy_history(df, past, rookies)
+    places = ["season_year", "circuit_name"]
+    # A driver's record is also asked for as a teammate's.
+    mates = entries.filter("teammate IS NOT NULL").select(*places, F.col("teammate").alias("driver_code"))
+    asked = entries.select(*places, "driver_code").unionByName(mates)
+    past = features_before(asked, results, ("circuit_name", "driver_code"))
+    won = {"wins": ("sum", (F.col("finish_position") == 1).cast("long"))}
+    wins = before(entries, results, ["circuit_name", "driver_code"], won)
+    df = confidence_before(entries, results)
+    df = proxy_history(df, past, rookies, by=("season_year",))
     df = team_momentum(form_score(df))
     df = weather_features(qualifying_features(df), rain, heat)
-    df = circuit_features(df.join(wins, ["circuit_name", "driver_code"], "left"), specialist, overtaker)
+    df = circuit_features(df.join(wins, [*places, "driver_code"], "left"), specialist, overtaker)
     return expected_performance(df)
 
 
@@ -302,12 +322,12 @@ def _with_main(df: DataFrame) -> DataFrame:
     return df.withColumn("main_score", F.greatest(F.lit(0.01), F.least(F.lit(0.95), score)))
 
 
-def _with_pattern(df: DataFrame, history: DataFrame) -> DataFrame:
-    held = history.select("circuit_name", *RACE).distinct()
-    held = held.groupBy("circuit_name").agg(F.count(F.lit(1)).alias("__races"))
+def _with_pattern(df: DataFrame, results: DataFrame) -> DataFrame:
+    races = results.select("circuit_name", *RACE).distinct()
+    held = before(df, races, ["circuit_name"], _race_count("__races"))
     base = 0.5 + F.coalesce(F.col("wins"), F.lit(0)) / F.col("__races") * 0.3
     score = F.greatest(F.lit(0.01), F.least(F.lit(0.99), base * (0.5 + F.col("current_form_score"))))
-    scored = df.join(held, "circuit_name", "left")
+    scored = df.join(held, ["season_year", "circuit_name"], "left")
     return scored.withColumn("pattern_score", F.when(F.col("__races") >= 3, score)).drop("__races")
 
 
@@ -316,27 +336,27 @@ def main_score(df: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     return normalize(_with_main(df), keys, "main_score")
 
 
-def pattern_score(df: DataFrame, history: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
-    """Pattern scores from past wins at the circuit; no rows for circuits with under three races."""
-    scored = _with_pattern(df, history).filter(F.col("pattern_score").isNotNull())
+def pattern_score(df: DataFrame, results: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
+    """Pattern scores from wins at the circuit in earlier seasons; no rows where it had under three races."""
+    scored = _with_pattern(df, results).filter(F.col("pattern_score").isNotNull())
     return normalize(scored.select(*keys, "driver_code", "pattern_score"), keys, "pattern_score")
 
 
-def win_probabilities(features: DataFrame, history: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
+def win_probabilities(features: DataFrame, results: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     """Add `win_probability` in percent: 0.7 of the main and 0.3 of the pattern score.
 
     Both scores are made in one pass over the features and scaled by one aggregate per race.
     """
-    scored = _with_pattern(_with_main(features), history)
+    scored = _with_pattern(_with_main(features), results)
     sums = {"__main": F.sum("main_score"), "__pattern": F.sum("pattern_score")}
     main = F.col("main_score") / F.col("__main")
     pattern = F.coalesce(F.col("pattern_score") / F.col("__pattern"), F.lit(0.0))
     return attach(scored, keys, sums).withColumn("win_probability", (main * 0.7 + pattern * 0.3) * 100).drop(*sums)
 
 
-def predict(features: DataFrame, history: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
+def predict(features: DataFrame, results: DataFrame, keys: Sequence[str] = RACE) -> DataFrame:
     """Win probability in percent and rank for every driver and race; ties go by driver code."""
-    scored = win_probabilities(features, history, keys)
+    scored = win_probabilities(features, results, keys)
     return with_rank(scored, keys, "win_probability", "rank", descending=True, tiebreak="driver_code")
 
 

@@ -172,18 +172,32 @@ def active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster(spark, sf_dir).filter("is_active").drop("is_active")
 
 
-def standings(spark: SparkSession, sf_dir: str, season: int = 2000) -> DataFrame:
-    """Championship of one season; every series ranks its own hundred drivers."""
+def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Championships of all seasons; every series ranks its own hundred drivers."""
     points = (
-        results(spark, sf_dir)
-        .filter(F.col("season_year") == season)
-        .groupBy("series", "driver_code", "team")
-        .agg(F.sum("points").alias("points"))
+        results(spark, sf_dir).groupBy("season_year", "series", "driver_code", "team").agg(F.sum("points").alias("points"))
     )
-    order = Window.partitionBy("series").orderBy(F.col("points").desc(), "driver_code")
+    order = Window.partitionBy("season_year", "series").orderBy(F.col("points").desc(), "driver_code")
     return points.withColumn("position", F.row_number().over(order))
 
 
+def championship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standings that a season starts from: those of the season before it."""
+    return standings(spark, sf_dir).withColumn("season_year", F.col("season_year") + 1)
+
+
+def seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(season_year, series) raced with a season before it."""
+    key = ["season_year", "series"]
+    raced = results(spark, sf_dir).select(*key).distinct()
+    return raced.join(raced.withColumn("season_year", F.col("season_year") + 1), key, "left_semi")
+
+
+def drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every active driver in each of the seasons of the driver's series."""
+    return active(spark, sf_dir).join(seasons(spark, sf_dir), "series")
+
+
 def circuit_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A circuit per part, with gaps so that the defaults are used."""
     part = table(spark, sf_dir, "part")

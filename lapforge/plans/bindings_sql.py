@@ -61,9 +61,16 @@ active AS (SELECT * EXCLUDE (is_active) FROM roster WHERE is_active)"""
 
 STANDINGS = """
 standings AS (
- SELECT series, driver_code, team, sum(points) AS points,
-  CAST(row_number() OVER (PARTITION BY series ORDER BY sum(points) DESC, driver_code) AS INTEGER) AS position
- FROM results WHERE season_year = 2000 GROUP BY series, driver_code, team)"""
+ SELECT season_year, series, driver_code, team, sum(points) AS points,
+  CAST(row_number() OVER (PARTITION BY season_year, series ORDER BY sum(points) DESC, driver_code) AS INTEGER) AS position
+ FROM results GROUP BY season_year, series, driver_code, team),
+championship AS (SELECT * REPLACE (CAST(season_year + 1 AS INTEGER) AS season_year) FROM standings),
+seasons AS (
+ SELECT DISTINCT season_year, series FROM results r
+ WHERE EXISTS (SELECT 1 FROM results p WHERE p.series = r.series AND p.season_year = r.season_year - 1))"""
+
+DRIVERS = """
+drivers AS (SELECT s.season_year, a.* FROM active a JOIN seasons s USING (series))"""
 
 CIRCUITS = """
 circuit_dim AS (

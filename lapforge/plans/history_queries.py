@@ -236,9 +236,9 @@ def _(spark, d):
     return rounded(h.historical_features(b.results(spark, d)))
 
 
-@query("A32_constructor_standings", V(s.RESULTS, s.STANDINGS) + "SELECT series, team, sum(points) AS points FROM standings GROUP BY ALL")
+@query("A32_constructor_standings", V(s.RESULTS, s.STANDINGS) + "SELECT season_year, series, team, sum(points) AS points FROM standings GROUP BY ALL")
 def _(spark, d):
-    return h.constructor_standings(b.standings(spark, d), ["series"])
+    return h.constructor_standings(b.standings(spark, d), ["season_year", "series"])
 
 
 @query("A33_win_counts", V(s.RESULTS, s.ROSTER) + "SELECT driver_code, count(*) AS wins FROM results WHERE finish_position = 1 AND driver_code IN (SELECT driver_code FROM active) GROUP BY 1")
