@@ -221,16 +221,33 @@ POLE_SHORT_PATTERNS = [
     r"pole position.*?(\w+\s+\w+).*?(\d+:\d+\.\d+)",
     r"1\.\s*(\w+\s+\w+).*?(\d+:\d+\.\d+)",
 ]
-GRID_SECTION_PATTERNS = [
-    r"(?:Q3.*?Top 10|Qualifying.*?Results|Q3.*?results):(.*?)(?:\n\n|\n[A-Z]|2\.|3\.|FP|Practice|Weather)",
-    r"(?:Grid.*?positions|Starting.*?grid):(.*?)(?:\n\n|\n[A-Z]|2\.|3\.|FP)",
-    r"Q3.*?(?:results|times):(.*?)(?:\n\n|\n[A-Z]|2\.|3\.|FP)",
+# Headings are looked for in single lines; what follows on the line belongs to the list.
+QUALIFYING_HEADINGS = [
+    r"Q3.*?Top 10:",
+    r"Qualifying.*?Results:",
+    r"Q3.*?(?:results|times):",
+    r"Grid.*?positions:",
+    r"Starting.*?grid:",
 ]
-SESSION_ROW_PATTERNS = [
-    r"(\d+)\.\s*([A-Za-z\s]+?)\s*\(([A-Za-z\s]+?)\)\s*[-–]\s*(\d+:\d+\.\d+)",
-    r"(\d+)\.\s*([A-Za-z\s]+?)\s*[-–]\s*(\d+:\d+\.\d+)",
-    r"P(\d+):?\s*([A-Za-z\s]+?)\s*[-–]\s*(\d+:\d+\.\d+)",
-    r"(\d+)\.\s*([A-Za-z\s]+?)\s+(\d+:\d+\.\d+)",
+LAP_TIME = r"(\d+:\d+\.\d+)"
+# A place at the start of a line, and the first line of a list that has no heading.
+PLACE_START = r"(?i)^\s*P\d+\b"
+BARE_LIST_START = rf"(?i)^\s*1\.\s*[A-Za-z\s]+.*?(?:Ferrari|McLaren|Mercedes).*?{LAP_TIME}"
+GRID_ROW_PATTERNS = [
+    rf"(\d+)\.\s*([A-Za-z\s]+?)\s*\(([A-Za-z\s]+?)\)\s*[-–]\s*{LAP_TIME}",
+    rf"(\d+)\.\s*([A-Za-z\s]+?)\s*[-–]\s*{LAP_TIME}",
+    rf"P(\d+):?\s*([A-Za-z\s]+?)\s*[-–]\s*{LAP_TIME}",
+    rf"(\d+)\.\s*([A-Za-z\s]+?)\s+{LAP_TIME}",
+]
+GRID_UNTIMED_PATTERNS = [
+    r"(\d+)\.\s*([A-Za-z\s]+?)(?:\s*\([^)]*\))?\s*$",
+]
+PRACTICE_ROW_PATTERNS = [
+    rf"(\d+)\.?\s*([A-Za-z\s]+?)(?:\s*\([^)]*\))?\s*[-–]\s*{LAP_TIME}",
+    rf"P(\d+):?\s*([A-Za-z\s]+?)(?:\s*\([^)]*\))?\s*[-–]\s*{LAP_TIME}",
+]
+PRACTICE_UNTIMED_PATTERNS = [
+    r"(\d+)\.?\s*([A-Za-z\s]+?)(?:\s*\([^)]*\))?\s*$",
 ]
 WEATHER_PATTERNS = [
     r"weather.*?(?:conditions?|was|were):?\s*([^.\n]+)",
@@ -298,11 +315,21 @@ PATTERN_NEEDS = {
 }
 
 
-def practice_section_patterns(number: int) -> list[str]:
-    """Section patterns of one practice session."""
+def practice_headings(number: int) -> list[str]:
+    """Headings of one practice session."""
+    n = number
+    return [
+        rf"(?:FP{n}|Free Practice {n}|Practice {n}).*?(?:Results|times?):",
+        rf"(?:Session.*?FP{n}|{n}\..*?FP{n}):",
+        rf"{n}\.\s*FP{n}.*?Results",
+    ]
+
+
+def fastest_patterns(number: int) -> list[str]:
+    """Single lines on the fastest driver of one practice session."""
     n = number
     return [
-        rf"(?:FP{n}|Free Practice {n}|Practice {n}).*?(?:Results|times?):(.*?)(?:\n\n|\n[A-Z]|FP|Practice|\d+\.)",
-        rf"(?:Session.*?FP{n}|{n}\..*?FP{n}):(.*?)(?:\n\n|\n[A-Z]|FP)",
-        rf"{n}\.\s*FP{n}.*?Results(.*?)(?:\n\n|\n[A-Z]|FP)",
+        rf"FP{n}\b[^A-Za-z\n]*([A-Za-z ]+?)\s+fastest.*?{LAP_TIME}",
+        rf"Practice\s+{n}\b[^A-Za-z\n]*([A-Za-z ]+?)\s+(?:tops|fastest).*?{LAP_TIME}",
+        rf"Session\s+FP{n}:?\s*([A-Za-z\s]+?)\s+{LAP_TIME}",
     ]

@@ -222,57 +222,6 @@ def _with(columns: Callable[[Column], list[Column]], **fixed: str) -> Callable[[
     return lambda element: F.struct(*columns(element), *[F.lit(v).alias(n) for n, v in fixed.items()])
 
 
-def _session_rows(text: str, sections: Sequence[str], limit: int | None, places: int | None) -> Column:
-    """Rows of the first section and row pattern that give any: position, driver, time."""
-
-    def parsed(m: Column) -> Column:
-        return F.struct(
-            m[0].try_cast("int").alias("position"),
-            clean_name(m[1]).alias("driver"),
-            F.element_at(m, -1).alias("time"),
-        )
-
-    valid = lambda r: _placed(r["position"], places) & (r["driver"] != "")
-    kind = "position:int,driver:string,time:string"
-
-    def in_section(section: str) -> Callable[[Column], Column]:
-        body = F.regexp_extract(text, f"(?is){section}", 1)
-
-        def rows_of(part: Column) -> Column:
-            def by(pattern: str) -> Callable[[Column], Column]:
-                return lambda _: _top(F.filter(F.transform(find_rows(part, pattern), parsed), valid), limit)
-
-            return _cascade([by(p) for p in k.SESSION_ROW_PATTERNS], 1, kind)
-
-        # The section is found once and then tried with every row pattern.
-        return lambda _: F.flatten(F.transform(F.array(body), rows_of))
-
-    return _cascade([in_section(s) for s in sections], 1, kind)
-
-
-def session_rows(
-    docs: DataFrame, sections: Sequence[str], key: str = "doc_id", text: str = "text", limit: int | None = None, places: int | None = None
-) -> DataFrame:
-    """Rows of the first section and row pattern that give any: position, driver, time."""
-    return docs.select(key, F.inline(_session_rows(text, sections, limit, places)))
-
-
-def extract_sections(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None, places: int | None = None
-) -> DataFrame:
-    """Rows of every session found in a weekend report, in one scan of the texts."""
-    named = {"Qualifying": k.GRID_SECTION_PATTERNS}
-    named |= {f"FP{n}": k.practice_section_patterns(n) for n in (1, 2, 3)}
-    fields = ("position", "driver", "time")
-    tagged = [
-        F.transform(
-            _session_rows(text, sections, limit, places), _with(lambda r: [r[f].alias(f) for f in fields], session=name)
-        )
-        for name, sections in named.items()
-    ]
-    return docs.select(key, F.inline(F.concat(*tagged)))
-
-
 def extract_pole(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: Sequence[str] = k.POLE_PATTERNS) -> DataFrame:
     """Pole driver and time by the first pattern that matches."""
     body = F.col(text)
@@ -283,6 +232,17 @@ def extract_pole(docs: DataFrame, key: str = "doc_id", text: str = "text", patte
     ).filter(F.col("pole_time").isNotNull())
 
 
+def short_pole(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pole driver and time where both stand in one line: two words and a time around the words
+    pole position, or behind the first place."""
+    body = F.col(text)
+    return docs.select(
+        key,
+        F.trim(first_match(body, k.POLE_SHORT_PATTERNS, 1)).alias("pole_driver"),
+        first_match(body, k.POLE_SHORT_PATTERNS, 2).alias("pole_time"),
+    ).filter(F.col("pole_time").isNotNull())
+
+
 def impute_times(df: DataFrame, pole_time: str = "pole_time", time: str = "time") -> DataFrame:
     """Fill missing times with a tenth per place behind the pole time."""
     guess = format_lap_time(parse_lap_time(F.col(pole_time)) + (F.col("position") - 1) * 0.1)

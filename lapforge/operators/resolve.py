@@ -100,14 +100,14 @@ def _first_word(text: Column, table: Mapping[str, str]) -> Column:
 
 def team_in_text(name: Column, table: Mapping[str, str] = k.TEAM_WORDS) -> Column:
     """Team spelling by the first known word inside the text, else in title case."""
-    tidy = F.regexp_replace(F.trim(name), r"\s+", " ")
+    tidy = F.trim(F.regexp_replace(name, r"\s+", " "))
     found = F.coalesce(_first_word(F.lower(tidy), table), F.initcap(tidy))
     return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(found)
 
 
 def clean_name(name: Column) -> Column:
     """Title-case name without doubled spaces or a leading position."""
-    tidy = F.regexp_replace(F.trim(name), r"\s+", " ")
+    tidy = F.trim(F.regexp_replace(name, r"\s+", " "))
     bare = F.regexp_replace(tidy, r"(?i)^(P\d+:?|Position\s+\d+:?)", "")
     return F.when(F.coalesce(name, F.lit("")) == "", "Unknown").otherwise(F.initcap(bare))
 

@@ -13,6 +13,7 @@ from lapforge import constants as k
 from lapforge.functions import scalar as fn
 from lapforge.operators import cleaning as c
 from lapforge.operators import extract as x
+from lapforge.operators import reports
 from lapforge.operators import resolve as r
 from lapforge.operators import weather as w
 from lapforge.operators.history import difficulty
@@ -170,12 +171,12 @@ TEAM_CASE = " ".join(f"WHEN {quoted(a)} THEN {quoted(v)}" for a, v in k.TEAM_NAM
 
 
 @query("F05_team_name", f"""
-SELECT s_suppkey, raw, CASE lower(trim(raw)) {TEAM_CASE} ELSE 'Nobody Racing' END AS team,
- CASE {" ".join(f"WHEN contains(lower(raw), {quoted(a)}) THEN {quoted(v)}" for a, v in k.TEAM_WORDS.items())} ELSE CASE WHEN raw LIKE '%obody%' THEN 'Nobody Racing' ELSE 'Racing Bulls' END END AS team_in_text
-FROM (SELECT s_suppkey, lower({NAME_LIST}[s_suppkey % {len(NAMES)} + 1]) AS raw FROM supplier) WHERE raw NOT IN ('racing bulls', 'kick sauber', 'haas racing')""")
+SELECT s_suppkey, raw, CASE lower(trim(raw)) {TEAM_CASE} ELSE array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS team,
+ CASE {" ".join(f"WHEN contains(lower(raw), {quoted(a)}) THEN {quoted(v)}" for a, v in k.TEAM_WORDS.items())}
+  ELSE array_to_string(list_transform(string_split(raw, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS team_in_text
+FROM (SELECT s_suppkey, lower({NAME_LIST}[s_suppkey % {len(NAMES)} + 1]) AS raw FROM supplier)""")
 def _(spark, d):
     rows = named_team(b.table(spark, d, "supplier"), "s_suppkey").withColumn("raw", F.lower("team"))
-    rows = rows.filter(~F.col("raw").isin("racing bulls", "kick sauber", "haas racing"))
     return rows.select("s_suppkey", "raw", r.team_name(F.col("raw")).alias("team"), r.team_in_text(F.col("raw")).alias("team_in_text"))
 
 
@@ -396,27 +397,75 @@ def _(spark, d):
 
 
 def weekend(spark, d):
-    rows = texted(spark, d)
-    line = F.concat(place(rows), F.lit(". "), "name", F.lit(" ("), "team", F.lit(") - "), "laptime")
-    docs = documents_of(rows, line, "Qualifying Results:\n")
+    """Reports in four layouts, by round: a list with a team in each row of which every third has no time,
+    a starting grid by places, a list without heading, and no list at all; practice in as many forms."""
+    rows, n = texted(spark, d), F.col("round_number") % 4
+    dot = F.concat(place(rows), F.lit(". "), "name")
+    timed = F.when(F.col("finish_position") % 3 == 2, F.lit("")).otherwise(F.concat(F.lit(" – "), "laptime"))
+    line = (
+        F.when(n == 0, F.concat(dot, F.lit(" ("), "team", F.lit(")"), timed))
+        .when(n == 1, F.concat(F.lit("P"), place(rows), F.lit(": "), "name", F.lit(" - "), "laptime"))
+        .when(n == 2, F.concat(dot, F.when(F.col("finish_position") == 1, F.lit(" (McLaren)")).otherwise(F.lit(" (Other)")), F.lit(" - "), "laptime"))
+    )
+    lists = documents_of(rows, line)
     first = rows.filter("finish_position = 1").select("doc_id", F.col("name").alias("__name"), F.col("laptime").alias("__time"))
-    docs = docs.join(first, "doc_id")
+    last = rows.groupBy("doc_id").agg(F.max(F.struct("finish_position", "name"))["name"].alias("__last"))
+    docs = lists.join(first, "doc_id").join(last, "doc_id")
+    head = F.when(n == 0, F.lit("Qualifying Results:\n")).when(n == 1, F.lit("Starting grid:\n")).otherwise(F.lit("The session was held.\n"))
+    practice = (
+        F.when(n == 0, F.concat(F.lit("1. FP1 Results\n1. "), "__name", F.lit(" - "), "__time", F.lit("\n2. "), "__last"))
+        .when(n == 1, F.concat(F.lit("FP2: "), "__last", F.lit(" fastest ("), "__time", F.lit(")")))
+        .when(n == 2, F.concat(F.lit("Practice 3: "), "__last", F.lit(" tops with "), "__time"))
+        .otherwise(F.concat(F.lit("Session FP1: "), "__last", F.lit(" "), "__time"))
+    )
+    said = F.array(*[F.lit(x) for x in PENALTIES])
+    incidents = F.element_at(said, (n + 1).cast("int"))
     return docs.withColumn("text", F.concat(
-        "text", F.lit("\n\n"), "__name", F.lit(" secured pole position with a time of "), "__time",
-        F.lit(".\n1. FP1 Results\n1. "), "__name", F.lit(" - "), "__time", F.lit("\n\nThe weather conditions were dry and warm.\nA penalty for "), "__name",
-        F.lit(".\nA warning to Ann Zzz.\nThe race has finished. Race winner: "), "__name", F.lit(".\nAfter "), F.col("round_number").cast("string"), F.lit(" rounds"),
+        head, "text", F.lit("\n\n"), "__name", F.lit(" secured pole position with a time of "), "__time", F.lit(".\n\n"), practice,
+        F.lit("\n\nThe weather conditions were dry and warm.\n"), F.replace(F.replace(incidents, F.lit("{a}"), F.col("__name")), F.lit("{b}"), F.col("__last")),
+        F.lit("\nThe race has finished. Race winner: "), "__name", F.lit(".\nAfter "), F.col("round_number").cast("string"), F.lit(" rounds"),
     )).select("doc_id", "text")
 
 
-@query("X07_extract_sections", NAMED + """
-SELECT doc_id, finish_position AS position, name AS driver, laptime AS time, unnest(['Qualifying', 'FP1']) AS session FROM named WHERE finish_position = 1""")
+# What a report says about incidents, by round: one, the same twice, two, and several of another kind.
+PENALTIES = [
+    "A penalty for {a}.",
+    "A penalty for {b}.\nThe stewards confirmed the penalty for {b}.",
+    "A penalty for {a}.\nA warning to {b}.",
+    "An incident involving {b}.\nA penalty to {a}.\nAn investigation involving {b}.",
+]
+REPORTS = NAMED.rstrip() + """,
+pole AS (SELECT doc_id, name, laptime, round_number % 4 AS n FROM named WHERE finish_position = 1),
+final AS (SELECT doc_id, arg_max(name, finish_position) AS last FROM named GROUP BY 1),
+said AS (SELECT p.*, last, 75000 + CAST(substring(p.laptime, 6) AS BIGINT) AS ms FROM pole p JOIN final USING (doc_id)) """
+
+
+@query("X07_extract_sections", REPORTS + """,
+listed AS (
+ SELECT r.doc_id, 'Qualifying' AS session, finish_position AS position, r.name AS driver, n = 0 AND finish_position % 3 = 2 AS estimated, r.laptime, ms + (finish_position - 1) * 100 AS guess
+ FROM named r JOIN said USING (doc_id) WHERE n < 3 OR finish_position = 1)
+SELECT doc_id, session, position, driver, CASE WHEN estimated THEN printf('%d:%02d.%03d', guess // 60000, (guess % 60000) // 1000, guess % 1000) ELSE laptime END AS time, estimated FROM listed
+UNION ALL SELECT doc_id, ['FP1', 'FP2', 'FP3', 'FP1'][n + 1], 1, CASE WHEN n = 0 THEN name ELSE last END, laptime, false FROM said
+UNION ALL SELECT doc_id, 'FP1', 2, last, '', false FROM said WHERE n = 0""")
 def _(spark, d):
-    return x.extract_sections(weekend(spark, d))
+    return reports.weekend_sessions(weekend(spark, d))
 
 
 @query("X08_extract_pole", NAMED + "SELECT doc_id, name AS pole_driver, laptime AS pole_time FROM named WHERE finish_position = 1")
 def _(spark, d):
-    return x.extract_pole(weekend(spark, d).withColumn("text", F.regexp_replace("text", r"(?s)^.*?\n\n", "")))
+    return x.extract_pole(weekend(spark, d))
+
+
+@query("X08_short_pole", NAMED + "SELECT doc_id, name AS pole_driver, laptime AS pole_time FROM named WHERE finish_position = 1")
+def _(spark, d):
+    """The pole in one line, in three wordings by round."""
+    first, n = texted(spark, d).filter("finish_position = 1"), F.col("round_number") % 3
+    line = (
+        F.when(n == 0, F.concat("name", F.lit(" took pole position with "), "laptime"))
+        .when(n == 1, F.concat(F.lit("pole position: "), "name", F.lit(", "), "laptime"))
+        .otherwise(F.concat(F.lit("Result\n1. "), "name", F.lit(" in "), "laptime"))
+    )
+    return x.short_pole(first.select("doc_id", line.alias("text")))
 
 
 @query("X09_impute_times", NAMED + """
@@ -430,12 +479,18 @@ def _(spark, d):
     return x.impute_times(holes).select("doc_id", "position", "time")
 
 
-@query("X10_incidents", NAMED + "SELECT doc_id, unnest([name, 'Ann Zzz']) AS mention FROM named WHERE finish_position = 1")
+MENTIONED = REPORTS + """,
+mentions AS (
+ SELECT doc_id, unnest(CASE n WHEN 0 THEN [name] WHEN 1 THEN [last] WHEN 2 THEN [name, last] ELSE [name, last] END) AS mention FROM said)
+"""
+
+
+@query("X10_incidents", MENTIONED + "SELECT DISTINCT * FROM mentions")
 def _(spark, d):
     return x.incidents(weekend(spark, d))
 
 
-@query("U03_distinct_mentions", NAMED + "SELECT doc_id, CAST(2 AS BIGINT) AS mentions FROM named WHERE finish_position = 1")
+@query("U03_distinct_mentions", MENTIONED + "SELECT doc_id, count(DISTINCT mention) AS mentions FROM mentions GROUP BY doc_id")
 def _(spark, d):
     twice = weekend(spark, d).withColumn("text", F.concat_ws("\n", "text", "text"))
     return x.incidents(twice).groupBy("doc_id").agg(F.count(F.lit(1)).alias("mentions"))
