@@ -19,6 +19,7 @@ from lapforge.session import shared_folder
 from lapforge.sources import readers as rd
 from lapforge.sources import writers as wr
 from lapforge.streaming import ingest as st
+from lapforge.streaming import stateful as sf
 
 V = s.with_views
 RESULTS = V(s.RESULTS)
@@ -342,6 +343,56 @@ def _(spark, d):
     return spans.join(before, "batch_id", "left").agg(F.sum("n").alias("laps"), ok.alias("in_order"))
 
 
+# Arrivals: laps of a race a second apart at first, each driver a little later than the one before;
+# late laps come slowly, so that flushes end by time as well as by rows.
+ARRIVAL_SQL = """,
+arrivals AS (
+ SELECT season_year AS year, round_number AS round, driver_code, lap_number,
+  lap_number * CASE WHEN lap_number <= 60 THEN 1000 ELSE 1500 END + (driver_number * 37) % 700 AS ms
+ FROM race_laps)"""
+
+
+def arrivals(spark, d):
+    ms = F.col("lap_number") * F.when(F.col("lap_number") <= 60, 1000).otherwise(1500) + (F.col("driver_number") * 37) % 700
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return b.race_laps(spark, d).select(
+        F.col("season_year").alias("year"), F.col("round_number").alias("round"), "driver_code", "lap_number", "lap_time_seconds",
+        F.timestamp_micros(F.unix_micros(start) + ms * 1000).alias("published_at"),
+    )
+
+
+@query("R03_flushes", V(s.RACE_LAPS).replace("WITH", "WITH RECURSIVE", 1) + ARRIVAL_SQL + """,
+seq AS (SELECT year, round, ms, row_number() OVER (PARTITION BY year, round ORDER BY ms, driver_code, lap_number) AS i FROM arrivals),
+steps AS (
+ SELECT year, round, i, 1 AS flush, 1 AS held, ms AS opened FROM seq WHERE i = 1
+ UNION ALL
+ SELECT q.year, q.round, q.i, CASE WHEN held >= 50 OR q.ms - opened >= 2000 THEN flush + 1 ELSE flush END,
+  CASE WHEN held >= 50 OR q.ms - opened >= 2000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 50 OR q.ms - opened >= 2000 THEN q.ms ELSE opened END
+ FROM steps p JOIN seq q ON q.year = p.year AND q.round = p.round AND q.i = p.i + 1),
+listed AS (SELECT year, round, flush, count(*) AS rows, max(flush) OVER (PARTITION BY year, round) AS final FROM steps GROUP BY year, round, flush)
+SELECT year, round, CAST(flush AS INTEGER) AS flush, rows, CASE WHEN rows >= 50 THEN 'rows' WHEN flush = final THEN 'open' ELSE 'seconds' END AS reason, true AS in_time FROM listed""")
+def _(spark, d):
+    """Every flush of the live path: none above 50 rows, none open for 2 seconds or more."""
+    stream = st.replay(arrivals(spark, d), scratch(spark, "replay"), SLICE, order=("published_at", "driver_code", "lap_number"))
+    cut = sf.cut_flushes(stream, ["year", "round"], "published_at")
+    log = sf.flush_log(spark.read.parquet(flushed(spark, cut, "live")), ["year", "round"], "published_at")
+    in_time = F.unix_micros("last_arrival") - F.unix_micros("first_arrival") < 2_000_000
+    return log.select("year", "round", "flush", "rows", "reason", in_time.alias("in_time"))
+
+
+@query("R08_streamed_gap", V(s.TIMED_LAPS) + """
+SELECT season_year AS year, round_number AS round, driver_code, lap_number, round(rt - min(rt) OVER (PARTITION BY season_year, round_number, lap_number), 4) + 0 AS gap_to_leader
+FROM (SELECT *, sum(lap_time_seconds) OVER (PARTITION BY season_year, round_number, driver_code ORDER BY lap_number ROWS UNBOUNDED PRECEDING) AS rt FROM timed_laps WHERE session_type = 'RACE')""")
+def _(spark, d):
+    """Gaps kept up to date while laps arrive in no order at all; the last versions are those of the whole race."""
+    mixed = arrivals(spark, d).withColumn("turn", F.xxhash64("year", "round", "driver_code", "lap_number"))
+    stream = st.replay(mixed, scratch(spark, "replay"), SLICE, order=("turn",))
+    path, state = scratch(spark, "gaps"), scratch(spark, "state")
+    st.drain(st.microbatch(sf.live_gaps(stream, ["year", "round"]), path, state, seconds=None, mode="update"))
+    gaps = sf.latest_gaps(spark.read.parquet(path), ["year", "round", "driver_code", "lap_number"])
+    return gaps.select("year", "round", "driver_code", "lap_number", (F.round("gap_to_leader", 4) + 0.0).alias("gap_to_leader"))
+
+
 @query("R04_append_live", LIVE_SQL)
 def _(spark, d):
     path, state = scratch(spark, "live"), scratch(spark, "state")
@@ -368,6 +419,42 @@ def _(spark, d):
     return st.reconcile(spark, flushed(spark, stream, "live"), live(spark, d), ["year", "round"])
 
 
+FAULTS_SQL = """,
+faulty AS (SELECT *, (driver_number + lap_number) % 53 = 0 AS lost, (driver_number + lap_number) % 53 = 1 AS doubled,
+  (driver_number + lap_number) % 53 = 2 AND lap_time_seconds IS NOT NULL AS changed FROM race_laps WHERE round_number % 4 > 0),
+faults AS (SELECT season_year, round_number, count(*) FILTER (lost) AS l, count(*) FILTER (doubled) AS d, count(*) FILTER (changed) AS c FROM faulty GROUP BY ALL)"""
+
+
+@query("R06_reconcile_content", V(s.RACE_LAPS) + FAULTS_SQL + """
+SELECT season_year AS year, round_number AS round, count(*) AS expected_rows, count(*) - coalesce(any_value(l), 0) + coalesce(any_value(d), 0) AS loaded_rows,
+ coalesce(any_value(l), 0) AS lost_rows, coalesce(any_value(d), 0) AS doubled_rows, coalesce(any_value(c), 0) AS changed_rows, coalesce(any_value(l + d + c), 0) = 0 AS same
+FROM race_laps LEFT JOIN faults USING (season_year, round_number) GROUP BY ALL""")
+def _(spark, d):
+    """A sink with faults in three of four rounds, some of which leave the counts as they were."""
+    wanted = live(spark, d)
+    n = (F.substring("driver_code", 2, 9).cast("long") + F.col("lap_number")) % 53
+    bad = F.col("round") % 4 > 0
+    copies = F.when(bad & (n == 0), 0).when(bad & (n == 1), 2).otherwise(1)
+    time = F.when(bad & (n == 2), F.col("lap_time_seconds") + 1).otherwise(F.col("lap_time_seconds"))
+    spoiled = wanted.withColumn("lap_time_seconds", time).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("copy")
+    path = scratch(spark, "spoiled")
+    spoiled.write.parquet(path)
+    return st.reconcile_content(
+        spark.read.parquet(path), wanted, ["year", "round"], ["driver_code", "lap_number"], ["lap_time_seconds", "compound", "tyre_life"])
+
+
+@query("R07_redelivered_late", LIVE_SQL)
+def _(spark, d):
+    """Laps sent again days later, beyond any watermark, and in another batch than the first time."""
+    first = live(spark, d).withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
+    again = first.withColumn("published_at", F.lit("2024-01-09").cast("timestamp"))
+    stream = st.replay(first.unionByName(again), scratch(spark, "replay"), SLICE, order=("published_at", "lap_number", "driver_code"))
+    path, state = scratch(spark, "live"), scratch(spark, "state")
+    keys = ["year", "round", "driver_code", "lap_number"]
+    st.drain(st.microbatch(stream, path, state, seconds=None, once=keys, event=["year", "round"]))
+    return spark.read.parquet(path).select(*LIVE)
+
+
 @query("R07_dedup_stream", LIVE_SQL)
 def _(spark, d):
     keys = ["year", "round", "driver_code", "lap_number"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -37,31 +38,34 @@ def replay(
 ) -> DataFrame:
     """Publish history slice by slice and return a stream that reads a file per trigger.
 
-    Slices are ranges of `order` of about `rows_per_slice` rows, each one sorted file, so
-    order holds within slices too. They are cut in one job next to `path` and then published
-    one after the other, since file streams go by modification time. The pace is the reader's
-    trigger interval.
+    Slices are ranges of `order` of about `rows_per_slice` rows, each one sorted file. One job
+    writes them all next to `path`, whatever their number. File streams go by modification time, so
+    the files get times in the order of their names before the folder is published by renaming it;
+    the file system must keep the times it is told to set. The pace is the reader's trigger interval.
     """
     spark = df.sparkSession
     slices = max(1, -(-df.count() // rows_per_slice))
     ordered = df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
     cut = f"{path}-slices"
-    ordered.withColumn("__slice", F.spark_partition_id()).write.partitionBy("__slice").parquet(cut)
-    for i in range(slices):
-        one = spark.read.schema(df.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-        name = f"{cut}/__slice={i}"
-        if _exists(spark, name):
-            one.parquet(name).coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(path)
+    # A slice is one file: no task may start another one.
+    ordered.write.option("maxRecordsPerFile", 0).parquet(cut)
+    _publish(spark, cut, path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder exists; a slice nobody falls into is not written."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
-    return True
+def _publish(spark: SparkSession, cut: str, path: str) -> None:
+    """Give the files of `cut` modification times a second apart, by name, and rename it to `path`."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(cut), hadoop.Path(path)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in files.listStatus(source)), key=lambda p: p.getName())
+    parts = [p for p in parts if p.getName().startswith("part-")]
+    first = int(time.time() * 1000) - 1000 * len(parts)
+    for i, part in enumerate(parts):
+        files.setTimes(part, first + 1000 * i, -1)
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{cut} could not be renamed to {path}")
 
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -75,25 +79,72 @@ def append_live(batch: DataFrame, path: str, batch_id: int, run: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
+def append_once(
+    batch: DataFrame, path: str, batch_id: int, run: str, keys: Sequence[str], event: Sequence[str]
+) -> None:
+    """Append the rows of a micro-batch that the sink does not hold yet, however long ago it got them.
+
+    The sink is laid out by `event`, and only the folders of the batch's own events are read: their
+    number is bounded by the batch, not by the sink. No state is kept between batches. Rows of equal
+    `keys` inside the batch count once; a repeated batch does not see its own earlier attempt.
+    """
+    spark, event = batch.sparkSession, list(event)
+    fresh = batch.dropDuplicates(list(keys)).persist()
+    try:
+        events = fresh.select(*event).distinct().collect()
+        if events and _exists(spark, path):
+            here = F.lit(False)
+            for row in events:
+                same = F.lit(True)
+                for name in event:
+                    same = same & F.col(name).eqNullSafe(F.lit(row[name]))
+                here = here | same
+            own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+            held = spark.read.parquet(path).filter(here & ~own).select(*keys)
+            fresh_rows = fresh.join(held, list(keys), "left_anti")
+        else:
+            fresh_rows = fresh
+        folder = f"{path}/run={run}/batch_id={batch_id}"
+        fresh_rows.select(*batch.columns).write.mode("overwrite").partitionBy(*event).parquet(folder)
+    finally:
+        fresh.unpersist()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a sink was written to before."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def microbatch(
     stream: DataFrame,
     path: str,
     checkpoint: str,
     seconds: float | None = 2.0,
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    once: Sequence[str] = (),
+    event: Sequence[str] = (),
+    mode: str = "append",
 ) -> StreamingQuery:
     """Flush the stream into `path` every `seconds`, or everything there is and stop for None.
 
     The number of rows per flush is limited at the source (`maxFilesPerTrigger`,
     `maxOffsetsPerTrigger`). Batches go into a folder of their checkpoint's query id: a stream
     that goes on appends to it, one with a new checkpoint never replaces what others wrote.
+    With `once`, the key of a row, rows that the sink holds already are dropped (`append_once`).
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        append_live(transform(batch) if transform else batch, path, batch_id, run)
+        rows = transform(batch) if transform else batch
+        if once:
+            append_once(rows, path, batch_id, run, once, event)
+        else:
+            append_live(rows, path, batch_id, run)
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(flush)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(flush)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
 
@@ -107,5 +158,67 @@ def drain(query: StreamingQuery, timeout: float = 300.0) -> bool:
 
 
 def reconcile(spark: SparkSession, path: str, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Persisted against expected rows per event."""
+    """Persisted against expected row counts per event."""
     return load_check(spark.read.parquet(path), expected, keys)
+
+
+def content_digest(df: DataFrame, event: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per event the row count and two digests of its rows as a multiset.
+
+    Sums and xors of row hashes merge in any order, so they are made before the shuffle and an
+    event of any size costs one row per task. A lost row and a doubled one, which leave the count
+    as it was, change both.
+    """
+    row = [F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]) for seed in (1, 2)]
+    return df.groupBy(*event).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(row[0].cast("decimal(20,0)")).alias("digest_sum"),
+        F.bit_xor(row[1]).alias("digest_xor"),
+    )
+
+
+def reconcile_content(
+    actual: DataFrame, expected: DataFrame, event: Sequence[str], keys: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Per event: expected and loaded rows, and how many rows are lost, doubled, or changed.
+
+    Digests of all events are compared first; only the events whose digests differ are looked at
+    row by row. `keys` name a row inside its event, `columns` are compared. A key that is there
+    less often than expected counts as lost, more often as doubled (or foreign, where none was
+    expected); one that is there as often but not with the same content counts as changed.
+    """
+    event, keys, columns = list(event), list(keys), list(columns)
+    zero = F.lit(0).cast("long")
+    sides = [
+        content_digest(df, event, [*keys, *columns]).select(
+            *event, F.struct("n", "digest_sum", "digest_xor").alias(name)
+        )
+        for df, name in ((expected, "wanted"), (actual, "found"))
+    ]
+    both = sides[0].join(sides[1], event, "full")
+    same = F.col("wanted").eqNullSafe(F.col("found"))
+    differing = both.filter(~same).select(*event)
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        """Count and content digest per key of the differing events."""
+        return (
+            df.join(differing, event, "left_semi")
+            .groupBy(*event, *keys)
+            .agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias(f"{name}_c"))
+        )
+
+    pairs = rows(expected, "wanted").join(rows(actual, "found"), [*event, *keys], "full")
+    wanted, found = F.coalesce("wanted_n", zero), F.coalesce("found_n", zero)
+    faults = pairs.groupBy(*event).agg(
+        F.sum(F.greatest(wanted - found, zero)).alias("lost_rows"),
+        F.sum(F.greatest(found - wanted, zero)).alias("doubled_rows"),
+        F.count_if((wanted == found) & (F.col("wanted_c") != F.col("found_c"))).alias("changed_rows"),
+    )
+    counts = ("lost_rows", "doubled_rows", "changed_rows")
+    return both.join(faults, event, "left").select(
+        *event,
+        F.coalesce("wanted.n", zero).alias("expected_rows"),
+        F.coalesce("found.n", zero).alias("loaded_rows"),
+        *[F.coalesce(c, zero).alias(c) for c in counts],
+        same.alias("same"),
+    )
