@@ -14,6 +14,7 @@ with `filled` first.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,10 +190,14 @@ def with_rank(
 ) -> DataFrame:
     """Add the rank of `value` in its group; null values get no rank.
 
-    Ties share a rank unless `tiebreak` orders them. A group is cut into stretches of
-    `step`, or into `parts` equal ones between its least and greatest value; rows are
-    ranked inside stretches, and only row counts per stretch cross their borders.
+    Ties share a rank unless `tiebreak` orders them. Shared ranks are those of the different
+    values, each counted once (`with_shared_rank`). Otherwise a group is cut into stretches of
+    `step`, or into `parts` equal ones between its least and greatest value; rows are ranked inside
+    stretches, and only row counts per stretch cross their borders. Rows of one value are then
+    ordered in one place, by the tiebreak.
     """
+    if tiebreak is None:
+        return with_shared_rank(df, keys, value, name, descending, step, min(parts, 64))
     keys, columns = list(keys), df.columns
     signed = -F.col(value) if descending else F.col(value)
     df = df.withColumn("__v", signed)
@@ -215,8 +220,7 @@ def with_rank(
         .withColumn("__offset", F.coalesce(F.sum("__n").over(outer), F.lit(0)))
         .drop("__n")
     )
-    inner = Window.partitionBy(*keys, "__part").orderBy("__v", *([tiebreak] if tiebreak else []))
-    local = F.row_number().over(inner) if tiebreak else F.rank().over(inner)
+    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__v", tiebreak))
     rank = F.when(known, F.col("__local") + F.col("__offset")).cast("int")
     return (
         df.withColumn("__local", local)
@@ -226,6 +230,99 @@ def with_rank(
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal keys, null as one more value; the right side's are named with two underscores before."""
+    same = F.lit(True)
+    for key in keys:
+        same = same & left[key].eqNullSafe(right[f"__{key}"])
+    return same
+
+
+def joined_on(df: DataFrame, keys: Sequence[str], facts: DataFrame, how: str = "left") -> DataFrame:
+    """`df` with the columns of `facts`, one row per `keys`, joined so that null keys meet."""
+    renamed = facts.withColumnsRenamed({key: f"__{key}" for key in keys})
+    return df.join(renamed, _same(df, renamed, keys), how).drop(*[f"__{key}" for key in keys])
+
+
+def _in_stretches(counts: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
+    """Add `__part` to rows of (keys, value, `__n`): which of about `parts` stretches of the group's
+    different values a value lies in, by borders from a sketch of bounded size. Any borders give
+    right results; even ones give even work."""
+    shares = [i / parts for i in range(1, parts)]
+    borders = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 10_000).alias("__borders"))
+    below = F.size(F.filter("__borders", lambda b: b < F.col(value)))
+    return joined_on(counts, keys, borders).withColumn("__part", below).drop("__borders")
+
+
+def with_shared_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str,
+    descending: bool = False,
+    step: float | None = None,
+    parts: int = 64,
+) -> DataFrame:
+    """Add the rank of `value` in its group, shared by equal values; null values get no rank.
+
+    Rows are counted per value with map-side combine, so a value that most of a group shares is one
+    row per task. The different values are ordered inside stretches, of `step` where the spread of
+    values is known, else of about even numbers of them; a stretch passes on its count. Ranks are joined back to the rows by group and value, where
+    adaptive execution splits hot ones.
+    """
+    keys = list(keys)
+    rows = df.withColumn("__v", -F.col(value) if descending else F.col(value))
+    counts = rows.filter(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    if step is None:
+        counts = _in_stretches(counts, keys, "__v", parts)
+    else:
+        counts = counts.withColumn("__part", F.floor(F.col("__v") / F.lit(step)))
+    upto = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    passed = counts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__held"))
+    passed = passed.withColumn("__before", F.coalesce(F.sum("__held").over(earlier), F.lit(0))).drop("__held")
+    inside = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    ranks = joined_on(inside, [*keys, "__part"], passed).select(
+        *keys, "__v", (F.col("__inside") + F.col("__before") + 1).cast("int").alias(name)
+    )
+    return joined_on(rows.drop(name), [*keys, "__v"], ranks).drop("__v")
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, str], parts: int = 64
+) -> DataFrame:
+    """One row per group with the exact lower quantiles of the non-null `value`: each the least value
+    that at least that share of the values do not exceed. `shares` maps names to decimal shares.
+
+    All quantiles come from one pass: values are counted, cut into stretches, and only the stretches
+    that hold a wanted place are put in order. No task holds a group's values, however many.
+    """
+    keys, names = list(keys), list(shares)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = _in_stretches(counts, keys, value, parts)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    held = counts.groupBy(*keys, "__part").agg(F.sum("__n").alias("__held")).withColumns(
+        {"__before": F.coalesce(F.sum("__held").over(earlier), F.lit(0)), "__all": F.sum("__held").over(group)}
+    )
+    places = F.array(
+        *[
+            F.struct(F.lit(i).alias("__q"), F.greatest(F.ceil(F.lit(Decimal(s)) * F.col("__all")).cast("long"), F.lit(1)).alias("__place"))
+            for i, s in enumerate(shares.values())
+        ]
+    )
+    wanted = held.select(*keys, "__part", "__before", "__held", F.inline(places)).filter(
+        (F.col("__place") > F.col("__before")) & (F.col("__place") <= F.col("__before") + F.col("__held"))
+    )
+    wanted = wanted.select(*keys, "__part", "__q", (F.col("__place") - F.col("__before")).alias("__place"))
+    upto = Window.partitionBy(*keys, "__part", "__q").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = joined_on(counts, [*keys, "__part"], wanted, "inner").withColumn("__upto", F.sum("__n").over(upto))
+    reached = ordered.filter(F.col("__upto") >= F.col("__place"))
+    return reached.groupBy(*keys).agg(
+        *[F.min(F.when(F.col("__q") == i, F.col(value))).alias(name) for i, name in enumerate(names)]
+    )
+
+
 def with_median(df: DataFrame, keys: Sequence[str], value: str, name: str, block: str) -> DataFrame:
     """Add the exact lower median of the non-null `value` to every row of a blocked group of any size.
 

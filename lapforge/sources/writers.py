@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapforge.operators.cleaning import dedup_latest
+from lapforge.operators.groups import group_quantiles, joined_on
 
 EVENT_PARTITION = ["season_year", "round_number"]
 
@@ -85,12 +86,16 @@ def append_query_log(df: DataFrame, path: str, response_chars: int | None = None
 
 
 def query_log_stats(log: DataFrame) -> DataFrame:
-    """Success rate, latency percentiles and bytes per model and day."""
-    half, late = (F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY latency_ms)") for q in (0.5, 0.95))
-    return log.groupBy("model_used", F.to_date("timestamp").alias("day")).agg(
+    """Success rate, latency percentiles and bytes per model and day; a model's day may hold any
+    number of rows, and a missing model is one more."""
+    keys = ["model_used", "day"]
+    log = log.withColumn("day", F.to_date("timestamp"))
+    totals = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("queries"),
         F.avg(F.col("success").cast("int")).alias("success_rate"),
-        half.alias("latency_p50"),
-        late.alias("latency_p95"),
         F.sum("estimated_bytes").alias("estimated_bytes"),
     )
+    late = group_quantiles(log, keys, "latency_ms", {"latency_p50": "0.5", "latency_p95": "0.95"})
+    return joined_on(totals, keys, late).select(
+        *keys, "queries", "success_rate", "latency_p50", "latency_p95", "estimated_bytes"
+    )
