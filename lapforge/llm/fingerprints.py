@@ -19,8 +19,6 @@ are carried along, except ones named like a result, which are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,10 +63,6 @@ def _last_bits(terms_: Column) -> Column:
     return F.shiftright(F.shiftleft(F.xxhash64(terms_), 32), 32).cast("int")
 
 
-def _zero_bits(mask: int) -> Callable[[Column], Column]:
-    return lambda h: h.bitwiseAND(F.lit(mask)) == 0
-
-
 def fingerprinted(
     df: DataFrame,
     corpus: DataFrame | None = None,
@@ -91,18 +85,25 @@ def fingerprinted(
     ).join(F.broadcast(known.withColumnRenamed("lexicon", "__lexicon")))
     inside = F.expr(f"filter(__terms, h -> array_contains(get(__lexicon, CAST(h & {(1 << BUCKET_BITS) - 1} AS INT)), h))")
     chosen = whole.withColumn("__in", inside).drop("__lexicon")
-    chosen = chosen.withColumn("__kept", F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__terms"))).drop("__in", "__terms")
-    # The subsets of a draw are nested, so each is taken from the one before it.
-    previous, hashes = ["__kept"] * DRAWS, {}
-    for level in LEVELS:
-        subsets = {}
-        for d in range(DRAWS):
-            subsets[f"__s{d}_{level}"] = F.filter(previous[d], _zero_bits(((1 << level) - 1) << (16 + 4 * d)))
-        chosen = chosen.withColumns(subsets)
-        previous = list(subsets)
-        hashes |= {(d, level): _last_bits(F.col(name)) for d, name in enumerate(previous)}
-    every = [_last_bits(F.col("__kept")), *(hashes[d, level] for d in range(DRAWS) for level in LEVELS)]
-    return chosen.select(*[F.col(n).alias(c) for c, n in names.items()], F.array(*every).alias(marks))
+    some = F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__terms"))
+    chosen = chosen.withColumn("__kept", some).drop("__in", "__terms")
+    kept = F.col("__kept")
+    draws = [_nested(kept, 16 + 4 * d, 0) for d in range(DRAWS)]
+    every = F.concat(F.array(_last_bits(kept)), *draws)
+    return chosen.select(*[F.col(n).alias(c) for c, n in names.items()], every.alias(marks))
+
+
+def _nested(hashes: Column, shift: int, level: int) -> Column:
+    """Hashes of the subsets of one draw from LEVELS[level] on. They are nested, so each is taken
+    from the one before it; a subset is the one element of an array, to be computed once."""
+    mask = ((1 << LEVELS[level]) - 1) << shift
+    subset = F.array(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(mask)) == 0))
+
+    def both(own: Column) -> Column:
+        first = F.array(_last_bits(own))
+        return F.concat(first, _nested(own, shift, level + 1)) if level + 1 < len(LEVELS) else first
+
+    return F.flatten(F.transform(subset, both))
 
 
 def written(marks: str) -> Column:
