@@ -432,3 +432,17 @@ def contains_join(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.drop("__gram")
+
+
+def held_join(texts: DataFrame, names: DataFrame, text: str, name: str, longest: int = 3) -> DataFrame:
+    """Pairs of a text and a name inside it, for any number of names: a name meets the texts that hold
+    its rarest gram, so the cost goes with the length of the texts and the pairs met, not with texts
+    times names. Empty names are in no text; letters count as they are."""
+    parts = []
+    for size in range(1, longest + 1):
+        of_size = (F.length(name) >= size) if size == longest else (F.length(name) == size)
+        parts.append(_holders(texts, names.filter(of_size), text, name, [], size).filter(F.contains(text, name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.drop("__gram")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lapforge import constants as k
 from lapforge.functions.scalar import tier
-from lapforge.operators.groups import contains_join, top_n
+from lapforge.operators.groups import contains_join, held_join, top_n
 from lapforge.operators.scoring import simple_form
 
 
@@ -75,6 +75,18 @@ def _lookup(table: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
+def first_names(df: DataFrame, key: str, text: str, names: DataFrame, name: str = "name") -> DataFrame:
+    """Add `name`: the full spelling of the first known name inside each text, ignoring case.
+
+    `names` holds (known, full, rank), any number of rows; the least rank counts. Texts and names meet
+    through an index of grams, so the cost does not go with their number. `key` names the rows of `df`.
+    """
+    texts = df.select(F.col(key).alias("__key"), F.lower(text).alias("__text"))
+    known = names.select(F.lower("known").alias("__known"), F.struct("rank", "full").alias("__name"))
+    held = held_join(texts, known, "__text", "__known").groupBy("__key").agg(F.min("__name")["full"].alias(name))
+    return df.drop(name).join(held, df[key] == held["__key"], "left").drop("__key")
+
+
 def driver_code(name: Column, table: Mapping[str, str] = k.DRIVER_CODES) -> Column:
     """Three-letter code: kept if it is one, else known by name, else from the last name."""
     trimmed = F.trim(name)

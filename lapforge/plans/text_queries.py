@@ -198,6 +198,17 @@ def _(spark, d):
     return rows.withColumn("gp", r.standard_gp_name(F.col("raw")))
 
 
+@query("F08_names_index", f"""
+SELECT p_partkey, raw, CASE {" ".join(f"WHEN contains(lower(raw), {quoted(a)}) THEN {quoted(v)}" for a, v in k.GP_WORDS.items())} END AS gp
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' at MONZA, ' || p_brand WHEN 1 THEN 'the spa ' || p_name || ' or Hungarian' ELSE p_name END AS raw FROM part)""")
+def _(spark, d):
+    """The first known name inside each text, through an index of the names instead of one search for each."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    raw = F.when(n % 3 == 0, F.concat(name, F.lit(" at MONZA, "), "p_brand")).when(n % 3 == 1, F.concat(F.lit("the spa "), name, F.lit(" or Hungarian"))).otherwise(name)
+    known = spark.createDataFrame([(a, v, i) for i, (a, v) in enumerate(k.GP_WORDS.items())], "known string, full string, rank int")
+    return r.first_names(part(spark, d).select("p_partkey", raw.alias("raw")), "p_partkey", "raw", known, "gp")
+
+
 # --- scalar functions -------------------------------------------------------------------
 KEY = "season_year, round_number, session_type, driver_code, lap_number"
 MILLIS = "CAST(round(lap_time_seconds * 1000) AS BIGINT)"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,16 @@ def test_standings_are_checked_before_any_cut(spark):
     docs = spark.createDataFrame([(1, bad + "\n" + good)], "doc_id int, text string")
     assert x.driver_standings(docs, places=25).count() == 25
     assert x.driver_standings(docs, places=25, limit=20).count() == 20
+
+
+def test_first_of_many_names_through_the_index(spark):
+    rng = random.Random(6)
+    letters = "abcd "
+    names = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 6))).strip() for _ in range(300)} - {""})
+    rng.shuffle(names)
+    texts = [(i, "".join(rng.choice(letters + "XYZ") for _ in range(rng.randint(0, 80)))) for i in range(150)] + [(900, None), (901, ""), (902, "A" * 20_000)]
+    known = spark.createDataFrame([(n.upper(), f"<{n}>", i) for i, n in enumerate(names)], "known string, full string, rank int")
+    df = spark.createDataFrame([(*t, "old") for t in texts], "id int, text string, name string")
+    got = {row.id: row.name for row in r.first_names(df, "id", "text", known).collect()}
+    assert got == {i: next((f"<{n}>" for n in names if n in (t or "").lower()), None) for i, t in texts}
+    assert r.first_names(df, "id", "text", known.limit(0)).filter("name IS NOT NULL").count() == 0
