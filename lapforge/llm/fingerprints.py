@@ -19,6 +19,8 @@ are carried along, except ones named like a result, which are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,14 +133,21 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.size(known) > 0, share).otherwise(same)
 
 
-def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+def with_next(
+    df: DataFrame,
+    order: str,
+    columns: list[str],
+    add: Callable[[DataFrame], DataFrame] | None = None,
+    added: tuple[str, ...] = (),
+) -> DataFrame:
     """Add `next_<c>`: the columns of the row with the next smaller `order` (a whole number; null
     comes last, ties by a hash of the columns), of the first row after the last one.
 
     Rows are ordered in blocks of about BLOCK rows: as many equal stretches of the numbers, counted
     first, and stretches of the hash for rows without a number. So neither sparse numbers nor many
     nulls put all rows, or all blocks, into one place. Rows are shuffled once, by block; between
-    blocks only each one's first row moves.
+    blocks only each one's first row moves. `add` gives the rows the columns `added`, row by row: it
+    works on rows that are in their order already, once for each, and their next values are added too.
     """
     facts = df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("all"))
     n, low, high, every = facts.first()
@@ -149,16 +158,20 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     # Hashes run from -2^63; the shift keeps the order of the blocks that of the hashes.
     hashed = F.floor((tie.cast("double") / 2.0**63 + 1) / 2 * loose).cast("long") - loose - 1
     rows = df.withColumns({"__block": F.coalesce(numbered, hashed), "__tie": tie})
-    first_of = F.struct(*columns)
     place = Window.partitionBy("__block").orderBy(F.col(order).desc_nulls_last(), F.col("__tie").desc())
+    first_of = F.struct(*columns)
     ahead = rows.withColumns({"__next": F.lead(first_of).over(place), "__at": F.row_number().over(place)})
     # The same shuffle serves the rows and the first row of every block.
-    heads = ahead.filter("__at = 1").select("__block", first_of.alias("__head"))
+    heads = ahead.filter("__at = 1").drop("__next")
+    add = add or (lambda rows: rows)
+    heads = add(heads).select("__block", first_of.alias("__head"), F.struct(F.lit(0).alias("__0"), *added).alias("__head_added"))
     chain = Window.orderBy(F.col("__block").desc())
     follows = rows.select("__block").distinct().select(
         "__block", F.coalesce(F.lead("__block").over(chain), F.first("__block").over(chain)).alias("__then")
     )
-    borders = follows.join(heads.withColumnRenamed("__block", "__then"), "__then").select("__block", "__head")
-    joined = ahead.drop("__at").join(borders, "__block", "left")
-    nearest = F.coalesce("__next", "__head")
-    return joined.select(*df.columns, *[nearest[c].alias(f"next_{c}") for c in columns])
+    borders = follows.join(heads.withColumnRenamed("__block", "__then"), "__then").select("__block", "__head", "__head_added")
+    more = F.lead(F.struct(F.lit(0).alias("__0"), *added)).over(place)
+    joined = add(ahead).withColumn("__next_added", more).join(borders, "__block", "left")
+    nearest = {c: F.coalesce("__next", "__head")[c] for c in columns}
+    nearest |= {c: F.coalesce("__next_added", "__head_added")[c] for c in added}
+    return joined.select(*df.columns, *added, *[value.alias(f"next_{c}") for c, value in nearest.items()])

@@ -114,8 +114,8 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = cut_lineage(fingerprints.lexicon(docs))
-    marked = fingerprints.fingerprinted(docs, keep=["doc_id", "text"], words=words)
-    chained = fingerprints.with_next(marked, "doc_id", ["text", "marks"])
+    add = lambda rows: fingerprints.fingerprinted(rows, words=words)
+    chained = fingerprints.with_next(docs, "doc_id", ["text"], add, ("marks",))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
