@@ -68,3 +68,15 @@ def test_a_hot_value_is_split_by_adaptive_execution(spark):
     for row in g.with_rank(df, ["k"], "x", "r").collect():
         counts[row.r] += 1
     assert counts == {1: 3000}
+
+
+def test_texts_cut_into_grams_are_not_sent_whole(spark):
+    """Their number is not known before they are cut, so no side of the gram joins may be broadcast."""
+    texts = spark.createDataFrame([(i, f"the spa road {i}") for i in range(50)] + [(50, "ab"), (51, None)], "id int, text string")
+    names = spark.createDataFrame([("spa",), ("road 7",), ("b",), ("zzz",)], "name string")
+    held = g.held_join(texts, names, "text", "name")
+    both = g.contains_join(texts, names, "text", "name")
+    for df in (held, both):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    expected = {(i, "spa") for i in range(50)} | {(7, "road 7"), (50, "b")}
+    assert {(r["id"], r["name"]) for r in held.collect()} == {(r["id"], r["name"]) for r in both.collect()} == expected
