@@ -302,7 +302,7 @@ def messages(spark, d, copies=1):
 def flushed(spark, stream, name):
     """Run a stream to completion and read its sink."""
     path, state = scratch(spark, name), scratch(spark, "state")
-    st.drain(st.microbatch(stream, path, state, seconds=None))
+    st.drain(st.microbatch(stream, path, state, seconds=None), None)
     return path
 
 
@@ -388,7 +388,7 @@ def _(spark, d):
     mixed = arrivals(spark, d).withColumn("turn", F.xxhash64("year", "round", "driver_code", "lap_number"))
     stream = st.replay(mixed, scratch(spark, "replay"), SLICE, order=("turn",))
     path, state = scratch(spark, "gaps"), scratch(spark, "state")
-    st.drain(st.microbatch(sf.live_gaps(stream, ["year", "round"]), path, state, seconds=None, mode="update"))
+    st.drain(st.microbatch(sf.live_gaps(stream, ["year", "round"]), path, state, seconds=None, mode="update"), None)
     gaps = sf.latest_gaps(spark.read.parquet(path), ["year", "round", "driver_code", "lap_number"])
     return gaps.select("year", "round", "driver_code", "lap_number", (F.round("gap_to_leader", 4) + 0.0).alias("gap_to_leader"))
 
@@ -397,7 +397,7 @@ def _(spark, d):
 def _(spark, d):
     path, state = scratch(spark, "live"), scratch(spark, "state")
     stream = st.replay(live(spark, d), scratch(spark, "replay"), SLICE)
-    st.drain(st.microbatch(stream, path, state, seconds=None))
+    st.drain(st.microbatch(stream, path, state, seconds=None), None)
     # A batch delivered again replaces itself.
     run = spark.read.parquet(path).select("run").first()["run"]
     first = spark.read.parquet(f"{path}/run={run}/batch_id=0")
@@ -451,7 +451,7 @@ def _(spark, d):
     stream = st.replay(first.unionByName(again), scratch(spark, "replay"), SLICE, order=("published_at", "lap_number", "driver_code"))
     path, state = scratch(spark, "live"), scratch(spark, "state")
     keys = ["year", "round", "driver_code", "lap_number"]
-    st.drain(st.microbatch(stream, path, state, seconds=None, once=keys, event=["year", "round"]))
+    st.drain(st.microbatch(stream, path, state, seconds=None, once=keys, event=["year", "round"]), None)
     return spark.read.parquet(path).select(*LIVE)
 
 

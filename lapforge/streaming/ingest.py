@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,43 +81,47 @@ def append_live(batch: DataFrame, path: str, batch_id: int, run: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
+FEW_EVENTS = 64  # events up to which a batch gets a folder for each
+MANY = "many"
+LAYOUT = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("scope", T.StringType())]
+
+
 def append_once(
     batch: DataFrame, path: str, batch_id: int, run: str, keys: Sequence[str], event: Sequence[str]
 ) -> None:
     """Append the rows of a micro-batch that the sink does not hold yet, however long ago it got them.
 
-    The sink is laid out by `event`, and only the folders of the batch's own events are read: their
-    number is bounded by the batch, not by the sink. No state is kept between batches. Rows of equal
-    `keys` inside the batch count once; a repeated batch does not see its own earlier attempt.
+    A batch of few events, as live ones are, has a folder for each; one of more events has one
+    folder, so files go with batches and not with batches times events. Only the folders of the
+    batch's own events and those of many events are read, and of these only the keys.
+    No state is kept between batches. Rows of equal `keys` inside the batch count once; a repeated
+    batch does not see its own earlier attempt.
     """
-    spark, event = batch.sparkSession, list(event)
-    fresh = batch.dropDuplicates(list(keys)).persist()
+    spark, event, keys = batch.sparkSession, list(event), list(keys)
+    name = F.hex(F.xxhash64(*event))
+    fresh = batch.dropDuplicates(keys).persist()
     try:
-        events = fresh.select(*event).distinct().collect()
-        if events and _exists(spark, path):
-            here = F.lit(False)
-            for row in events:
-                same = F.lit(True)
-                for name in event:
-                    same = same & F.col(name).eqNullSafe(F.lit(row[name]))
-                here = here | same
+        scopes = [row["scope"] for row in fresh.select(name.alias("scope")).distinct().collect()]
+        fresh_rows = fresh
+        sink = _sink(spark, path, T.StructType([*batch.schema.fields, *LAYOUT]))
+        if scopes and sink is not None:
             own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-            held = spark.read.parquet(path).filter(here & ~own).select(*keys)
-            fresh_rows = fresh.join(held, list(keys), "left_anti")
-        else:
-            fresh_rows = fresh
+            held = sink.filter(F.col("scope").isin([*scopes, MANY]) & ~own)
+            same = [fresh[c] == held[c] for c in keys] + [fresh[c].eqNullSafe(held[c]) for c in event if c not in keys]
+            fresh_rows = fresh.join(held, reduce(and_, same), "left_anti")
         folder = f"{path}/run={run}/batch_id={batch_id}"
-        fresh_rows.select(*batch.columns).write.mode("overwrite").partitionBy(*event).parquet(folder)
+        placed = fresh_rows.select(*batch.columns, (name if len(scopes) <= FEW_EVENTS else F.lit(MANY)).alias("scope"))
+        placed.write.mode("overwrite").partitionBy("scope").parquet(folder)
     finally:
         fresh.unpersist()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a sink was written to before."""
+def _sink(spark: SparkSession, path: str, layout: T.StructType) -> DataFrame | None:
+    """A sink that was written to before."""
     try:
-        return bool(spark.read.parquet(path).columns)
+        return spark.read.schema(layout).parquet(path)
     except AnalysisException:
-        return False
+        return None
 
 
 def microbatch(
@@ -149,8 +155,11 @@ def microbatch(
     return writer.start()
 
 
-def drain(query: StreamingQuery, timeout: float = 300.0) -> bool:
-    """Wait until an available-now query has finished; stop it if it takes too long."""
+def drain(query: StreamingQuery, timeout: float | None = 300.0) -> bool:
+    """Wait until an available-now query has finished; stop it if it takes too long (None: never)."""
+    if timeout is None:
+        query.awaitTermination()
+        return True
     done = query.awaitTermination(timeout)
     if not done:
         query.stop()

@@ -113,6 +113,29 @@ def test_only_the_folders_of_the_batchs_events_are_read(spark, tmp_path):
     assert "PartitionFilters: [" in held._jdf.queryExecution().toString() and held.count() == 3
 
 
+def test_a_batch_of_any_number_of_events_is_one_folder_and_loses_no_late_copy(spark, tmp_path):
+    laps = spark.range(3000).selectExpr("CAST(2000 + id % 3 AS INT) AS year", "CAST(id AS INT) AS round", "1 AS lap_number")
+    keys, event, path = ["year", "round", "lap_number"], ["year", "round"], str(tmp_path / "sink")
+    st.append_once(laps, path, 0, "r", keys, event)
+    one = spark.createDataFrame([(2000, 0, 1), (2000, 0, 2)], laps.schema)
+    st.append_once(one, path, 1, "r", keys, event)
+    st.append_once(laps.unionByName(one), path, 2, "r", keys, event)
+    sink = spark.read.parquet(path)
+    assert sink.count() == 3001 and sink.select(*keys).distinct().count() == 3001
+    assert len(sink.filter("batch_id = 0").inputFiles()) < 100
+
+
+def test_drain_without_a_limit_waits_for_the_end():
+    class Query:
+        def awaitTermination(self, timeout=None):  # noqa: N802
+            return None if timeout is None else False
+
+        def stop(self):
+            raise AssertionError("stopped")
+
+    assert st.drain(Query(), None)
+
+
 def test_replay_uses_as_many_jobs_for_many_slices(spark, tmp_path):
     df = spark.createDataFrame([(n, "a") for n in range(400)], "lap_number int, driver_code string").cache()
     df.count()
