@@ -128,3 +128,16 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_messages_are_packed_and_whole(spark, tmp_path):
+    from lapforge.plans import io_queries as io
+
+    rows = [(i, 7, 3, 1, 10.0, 1000.0, 0.01, 0.02, "N", "O", f"2020-01-{i + 1:02d}") for i in range(20)]
+    names = "orderkey partkey suppkey linenumber quantity extendedprice discount tax returnflag linestatus shipdate".split()
+    items = spark.createDataFrame(rows, [f"l_{n}" for n in names]).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    items.withColumn("l_linenumber", F.col("l_linenumber").cast("int")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    path = io.messages(spark, str(tmp_path), copies=3)
+    lines = spark.read.text(path)
+    assert all(f.endswith(".gz") for f in lines.inputFiles())
+    assert lines.filter("value = '{broken'").count() == 3 and st.decode(lines).count() == 60
