@@ -64,14 +64,16 @@ def staged(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
     """A table written once per application to the shared folder and read from there.
 
     For tables that several stages or queries build on: it is computed once, keeps
-    pushdown and column pruning, and survives lost executors.
+    pushdown and column pruning, and survives lost executors. Its files are packed, so their
+    size says little about the rows: joins of it are merged unless a smaller side is marked to
+    be sent, and the table itself never goes through the driver.
     """
     app = spark.sparkContext.applicationId
     if (app, name) not in _staged:
         path = f"{shared_folder(spark)}/lapforge/{app}/{name}"
         build().write.mode("overwrite").parquet(path)
         _staged[app, name] = path
-    return spark.read.parquet(_staged[app, name])
+    return spark.read.parquet(_staged[app, name]).hint("merge")
 
 
 def forget_staged() -> None:

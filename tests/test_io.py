@@ -130,6 +130,18 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
         session.shared_folder(Session())
 
 
+def test_a_staged_table_is_not_sent_to_all_tasks(spark):
+    """Its packed files look small, whatever the rows; a side that is marked still is sent."""
+    session.forget_staged()
+    big = session.staged(spark, "test_not_sent", lambda: spark.range(1000).withColumn("x", F.lit("x" * 50)))
+    one = spark.range(5)
+    for joined in (big.join(one, "id"), one.join(big.groupBy("id").agg(F.max("x").alias("x")), "id")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 5
+    sent = big.join(F.broadcast(one), "id")
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_messages_are_packed_and_whole(spark, tmp_path):
     from lapforge.plans import io_queries as io
 
