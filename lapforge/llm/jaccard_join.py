@@ -52,8 +52,9 @@ def _cells(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def cell_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
-    """Occurrences of shingles per cell of the sketch, over all texts."""
+def cell_counts(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """(`chunk`, `counts`): occurrences of shingles per cell of the sketch, over all texts, in
+    stretches of `CHUNK` cells; stretches without any are left out."""
     schema = "chunk int, counts binary"
 
     def sent(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -75,25 +76,48 @@ def cell_counts(docs: DataFrame, size: int, text: str) -> np.ndarray:
                 totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
         yield sent(totals)
 
-    summed = docs.select(text).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    out = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.float32).reshape(-1, CHUNK)
-    for row in summed.toLocalIterator():
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    return out.ravel()
+    return docs.select(text).mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+
+
+def usual_count(counts: DataFrame) -> float:
+    """The median count of all cells. The driver gets a row for each different count, not the cells."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells in batch.column("counts"):
+                found = np.unique(np.frombuffer(cells.as_buffer(), np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["value", "n"])
+
+    tallies = counts.mapInArrow(tally, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    left_out = (1 << CELL_BITS) - sum(row["n"] for row in tallies)
+    known = sorted([(0, left_out), *((row["value"], row["n"]) for row in tallies)])
+    upto = np.cumsum([n for _, n in known])
+    half = 1 << CELL_BITS - 1
+    return sum(known[int(np.searchsorted(upto, place, "right"))][0] for place in (half - 1, half)) / 2
 
 
 class Order:
     """The global order of shingles: frequency rank of the cell first, then the hash."""
 
-    def __init__(self, counts: np.ndarray, documents: int):
+    def __init__(self, counts: DataFrame, documents: int):
         # A few frequent shingles do not move the median; noise is that of a random dealing.
-        usual = float(np.median(counts))
-        self.noise = max(usual, 1.0) ** 0.5
-        self.rank = np.zeros(len(counts), np.uint8)
-        for start in range(0, len(counts), 16 * CHUNK):  # in parts, to spare the driver's memory
-            above = np.maximum(counts[start : start + 16 * CHUNK] - usual, 0)
-            rank = 1 + np.log2(np.maximum(above, 1)).astype(np.uint8)
-            self.rank[start : start + 16 * CHUNK] = np.where(above > NOISE * self.noise, rank, 0)
+        usual = usual_count(counts)
+        self.noise = noise = max(usual, 1.0) ** 0.5
+
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, cells in zip(batch.column("chunk"), batch.column("counts"), strict=True):
+                    above = np.maximum(np.frombuffer(cells.as_buffer(), np.int64).astype(np.float32) - usual, 0)
+                    rank = 1 + np.log2(np.maximum(above, 1)).astype(np.uint8)
+                    rank = np.where(above > NOISE * noise, rank, 0).astype(np.uint8)
+                    if rank.any():
+                        arrays = [pa.array([chunk.as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "ranks"])
+
+        # Ranks are made in the tasks: of a cell one byte reaches the driver, and none of a stretch without rank.
+        self.rank = np.zeros(1 << CELL_BITS, np.uint8)
+        for row in counts.mapInArrow(ranked, "chunk int, ranks binary").toLocalIterator():
+            self.rank[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["ranks"], np.uint8)
         self.documents = max(documents, 1)
 
     def keys(self, values: np.ndarray) -> np.ndarray:
@@ -277,7 +301,7 @@ def similarity_classes(
     is the least id that links reach."""
     docs = docs.select(id_, text)
     context = docs.sparkSession.sparkContext
-    counts = cell_counts(docs, size, text)
+    counts = cut_lineage(cell_counts(docs, size, text))
     order = context.broadcast(Order(counts, docs.count()))
     rows = cut_lineage(prefixed(docs, order, size, percent, text, [id_]))
     sets = (

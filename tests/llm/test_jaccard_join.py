@@ -2,6 +2,9 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
+from lapforge.llm import jaccard_join
 from lapforge.llm.jaccard_join import components, similarity_classes
 
 SCHEMA = "doc_id long, text string, n_shingles string"
@@ -74,3 +77,22 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 105), (103, 105)], "a long, b long")
     got = {r.node: r.comp for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 103: 100, 105: 100}
+
+
+def test_ranks_of_cells_are_made_in_tasks(spark):
+    """The driver gets one byte for each cell of a stretch with frequent shingles, never the counts."""
+    rng = np.random.default_rng(5)
+    cells = rng.poisson(3, 1 << jaccard_join.CELL_BITS).astype(np.int64)
+    cells[: 3 * jaccard_join.CHUNK] = 0
+    cells[[17_000, 90_000, 4_000_000]] = 40, 5_000, 10**7
+    chunks = cells.reshape(-1, jaccard_join.CHUNK)
+    sent = [(i, bytearray(x.tobytes())) for i, x in enumerate(chunks) if x.any()]
+    counts = spark.createDataFrame(sent, "chunk int, counts binary").repartition(3)
+    usual = float(np.median(cells))
+    assert jaccard_join.usual_count(counts) == usual
+    order = jaccard_join.Order(counts, 100)
+    above = np.maximum(cells - usual, 0)
+    rank = np.where(above > jaccard_join.NOISE * order.noise, 1 + np.floor(np.log2(np.maximum(above, 1))), 0)
+    assert order.rank.dtype == np.uint8 and (order.rank == rank).all()
+    none = jaccard_join.Order(counts.limit(0), 0)
+    assert jaccard_join.usual_count(counts.limit(0)) == 0 and not none.rank.any()
