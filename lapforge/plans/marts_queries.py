@@ -196,7 +196,7 @@ def _(spark, d):
 @query("T06_leaderboard", V(s.PLACED_LAPS) + """
 SELECT season_year, round_number, session_type, lap_number, driver_code, position AS place FROM placed_laps WHERE position <= 10""")
 def _(spark, d):
-    out = m.leaderboard(b.placed_laps(spark, d))
+    out = m.leaderboard(b.placed(b.timed_laps(spark, d)))
     return out.select("season_year", "round_number", "session_type", "lap_number", "driver_code", "place")
 
 
