@@ -197,8 +197,13 @@ def _sector_deltas(df: DataFrame, keys: Sequence[str], block: str | None) -> Dat
     return out.withColumns(deltas).drop(*means)
 
 
-def lap_rank(df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME) -> DataFrame:
-    """Add `lap_rank`, the rank of the time among all drivers on that lap."""
+def lap_rank(
+    df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME, spans: bool = True
+) -> DataFrame:
+    """Add `lap_rank`, the rank of the time among all drivers on that lap; rows without a time get none."""
+    if not spans:
+        order = Window.partitionBy(*keys).orderBy(F.col(col).asc_nulls_last())
+        return df.withColumn("lap_rank", F.when(F.col(col).isNotNull(), F.rank().over(order)))
     return with_rank(df, keys, col, "lap_rank", step=0.5)
 
 

@@ -130,7 +130,7 @@ def _(spark, d):
 
 @query("W08_lap_rank", s.with_views(s.TIMED_LAPS) + f"SELECT {KEY}, CAST(rank() OVER (PARTITION BY {LAP} ORDER BY lap_time_seconds) AS INTEGER) AS lap_rank FROM timed_laps")
 def _(spark, d):
-    return keyed(l.lap_rank(b.staged_timed_laps(spark, d)), "lap_rank")
+    return keyed(l.lap_rank(b.timed_laps(spark, d), spans=False), "lap_rank")
 
 
 FEATURED = KEPT + f""",

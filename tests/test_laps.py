@@ -158,3 +158,27 @@ def test_plans_have_no_python_and_limit_before_the_shuffle(spark):
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     newest = g.top_n(laps, KEY, [F.col("stint").desc()], 1)
     assert "WindowGroupLimit" in newest._jdf.queryExecution().executedPlan().toString()
+
+
+def odd_laps(spark):
+    """Ties, missing times, stints and keys, two sessions of a race."""
+    data = []
+    for driver in ("AAA", "BBB", "CCC", None):
+        for lap in range(1, 12):
+            time = None if lap == 4 and driver == "BBB" else 70.0 + (lap * 7 + len(driver or "") * 3) % 5 + (60 if lap == 6 else 0)
+            stint = None if driver == "CCC" else 1 + lap // 6
+            season = None if lap == 9 else 2020
+            for session in ("RACE", "FP1"):
+                data.append((season, 1, "Circuit 1", session, driver, lap, time, 20.0 + lap, 30.0, None, "SOFT" if lap % 2 else "nan", stint))
+    schema = (
+        "season_year int, round_number int, circuit_name string, session_type string, driver_code string, lap_number int, "
+        "lap_time_seconds double, sector1_seconds double, sector2_seconds double, sector3_seconds double, compound string, stint int"
+    )
+    # A lap without a season has no other lap beside it, as staging leaves them.
+    return spark.createDataFrame(data, schema)
+
+
+def test_small_groups_give_the_rows_of_large_ones(spark, rows):
+    laps = odd_laps(spark)
+    ranked = [rows(l.lap_rank(laps, spans=spans), *laps.columns, "lap_rank") for spans in (False, True)]
+    assert ranked[0] == ranked[1] and any(r[-1] is None for r in ranked[0])
