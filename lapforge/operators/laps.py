@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,9 +155,22 @@ def stint_index(
     return _bare(with_neighbours(df, keys, order, order, index="stint_lap_index", block=block))
 
 
+def _with_best(df: DataFrame, keys: Sequence[str], col: str, spans: bool) -> DataFrame:
+    """Add `__best`, the group's least value, NULL where a key is: joined back, or over the rows
+    of groups known to be small, which reads and shuffles them once."""
+    if spans:
+        return attach(df, keys, {"__best": F.min(col)})
+    out = with_group_stats(df, keys, {"__best": F.min(col)})
+    known = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    return out.withColumn("__best", F.when(known, F.col("__best")))
+
+
 def pace_delta(df: DataFrame, keys: Sequence[str] = LAP, col: str = TIME) -> DataFrame:
     """Add `pace_delta_to_leader`, the gap to the fastest time on the same lap."""
-    out = attach(df, keys, {"__best": F.min(col)})
+    return _pace_delta(_with_best(df, keys, col, spans=True), col)
+
+
+def _pace_delta(out: DataFrame, col: str) -> DataFrame:
     return out.withColumn("pace_delta_to_leader", F.col(col) - F.col("__best")).drop("__best")
 
 
@@ -284,9 +299,11 @@ def race_feature_set(df: DataFrame, spans: bool = True) -> DataFrame:
     return driver_race_features(lap_features(df, spans))
 
 
-def lap_consistency(df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME) -> DataFrame:
+def lap_consistency(
+    df: DataFrame, keys: Sequence[str] = DRIVER_RACE, col: str = TIME, spans: bool = True
+) -> DataFrame:
     """Consistency per group: 1 minus ten times the variation of laps near the best one."""
-    near = attach(df.filter(F.col(col).isNotNull()), keys, {"__best": F.min(col)})
+    near = _with_best(df.filter(F.col(col).isNotNull()), keys, col, spans)
     ok = F.when(F.col(col) <= F.col("__best") * 1.1, F.col(col))
     stats = near.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("valid_laps"),

@@ -176,7 +176,7 @@ cons AS (SELECT {DRIVER_RACE}, count(*) AS valid_laps, CASE WHEN count(*) <= 1 T
 
 @query("A30_lap_consistency", s.with_views(s.TIMED_LAPS + NEAR) + f"SELECT {DRIVER_RACE}, valid_laps, CAST(round(consistency, 6) AS DOUBLE) AS consistency FROM cons")
 def _(spark, d):
-    return l.lap_consistency(b.staged_laps(spark, d)).withColumn("consistency", F.round("consistency", 6))
+    return l.lap_consistency(b.laps(spark, d), spans=False).withColumn("consistency", F.round("consistency", 6))
 
 
 @query("A29_session_summary", s.with_views(s.PLACED_LAPS + """,

@@ -182,3 +182,14 @@ def test_small_groups_give_the_rows_of_large_ones(spark, rows):
     laps = odd_laps(spark)
     ranked = [rows(l.lap_rank(laps, spans=spans), *laps.columns, "lap_rank") for spans in (False, True)]
     assert ranked[0] == ranked[1] and any(r[-1] is None for r in ranked[0])
+    steady = [
+        rows(l.lap_consistency(laps, spans=spans).withColumn("consistency", F.round("consistency", 9))) for spans in (False, True)
+    ]
+    assert steady[0] == steady[1]
+
+
+def test_small_groups_are_read_once_and_never_joined(spark):
+    laps = odd_laps(spark)
+    for out in (l.lap_rank(laps, spans=False), l.lap_consistency(laps, spans=False)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange ") == 1
