@@ -24,7 +24,8 @@ from lapforge.operators.groups import (
 )
 from lapforge.session import cut_lineage
 
-RACE = ["season_year", "round_number", "session_type"]
+EVENT = ["season_year", "round_number"]
+RACE = [*EVENT, "session_type"]
 DRIVER_RACE = [*RACE, "driver_code"]
 STINT = [*DRIVER_RACE, "__stint"]
 LAP = [*RACE, "lap_number"]
@@ -222,12 +223,14 @@ def lap_rank(
     return with_rank(df, keys, col, "lap_rank", step=0.5)
 
 
-def driver_race_features(df: DataFrame) -> DataFrame:
+def driver_race_features(df: DataFrame, spans: bool = True) -> DataFrame:
     """Aggregate featured laps to one row per driver and race.
 
     Laps are first summed per stint and compound, which hashes numbers only and
     combines on the map side; distinct counts and the first compound then work on
-    those few rows. On equal lap numbers the first compound goes by name.
+    those few rows. Without `spans`, a driver's race has hardly fewer stints and compounds
+    than laps and few of either, so one aggregate does it all. On equal lap numbers the first
+    compound goes by name.
     """
     keys = ["season_year", "round_number", "circuit_name", "driver_code"]
     means = {
@@ -240,6 +243,18 @@ def driver_race_features(df: DataFrame) -> DataFrame:
         "avg_s2_delta": ("s2_delta", 3),
         "avg_s3_delta": ("s3_delta", 3),
     }
+    if not spans:
+        known = F.when(F.col("clean_compound").isNotNull(), F.struct("lap_number", "clean_compound"))
+        return clean_compound(df).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("total_laps"),
+            F.round(F.min(TIME), 3).alias("fastest_lap"),
+            F.round(F.max(TIME), 3).alias("slowest_lap"),
+            F.round(F.stddev_samp(TIME), 3).alias("lap_time_stddev"),
+            F.size(F.collect_set("stint")).cast("long").alias("num_stints"),
+            F.size(F.collect_set("clean_compound")).cast("long").alias("num_compounds"),
+            F.min(known)["clean_compound"].alias("starting_compound"),
+            *[(F.round(F.avg(c), places) + F.lit(0.0)).alias(name) for name, (c, places) in means.items()],
+        )
     n, squares = F.col("__n"), F.col("__n") * F.col("__mean") * F.col("__mean")
     parts = clean_compound(df).groupBy(*keys, "stint", "clean_compound").agg(
         F.count(F.lit(1)).alias("__laps"),
@@ -277,26 +292,27 @@ def driver_race_features(df: DataFrame) -> DataFrame:
 def lap_features(df: DataFrame, spans: bool = True) -> DataFrame:
     """Filter outliers and add every lap-level feature.
 
-    One shuffle by driver and race serves the stint windows and the race windows; the
-    best time per lap is a map-side combined aggregate joined back. Where groups are
-    blocked, each stage reads its input twice, so stages are cut by a checkpoint.
+    Without `spans`, the drivers of a race weekend are few too: one shuffle by weekend serves
+    all windows and the aggregates after them, and one order the median and the stint windows.
+    Where groups are blocked, the best time per lap is a map-side combined aggregate joined back,
+    and each stage reads its input twice, so stages are cut by a checkpoint.
     """
     df, block = _prepared(df, spans)
     if block is None:
         cut = lambda stage: stage
-        df = df.repartition(*DRIVER_RACE)
+        df = df.repartition(*EVENT).sortWithinPartitions(*STINT, "lap_number")
     else:
         cut = cut_lineage
     out = cut(_filter_outliers(df, STINT, TIME, 1.10, block))
     out = cut(_stint_features(out, STINT, TIME, block))
     out = cut(_rolling_consistency(out, DRIVER_RACE, TIME, block))
     out = cut(_sector_deltas(out, DRIVER_RACE, block))
-    return pace_delta(_bare(out))
+    return _pace_delta(_with_best(_bare(out), LAP, TIME, spans), TIME)
 
 
 def race_feature_set(df: DataFrame, spans: bool = True) -> DataFrame:
     """Laps in, one feature row per driver and race out; without `spans` nothing runs until an action."""
-    return driver_race_features(lap_features(df, spans))
+    return driver_race_features(lap_features(df, spans), spans)
 
 
 def lap_consistency(

@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("A01_driver_race_features", s.with_views(s.LAPS + FEATURED) + FEATURE_SET)
 def _(spark, d):
-    return l.driver_race_features(l.lap_features(b.staged_laps(spark, d), spans=False))
+    return l.driver_race_features(l.lap_features(b.laps(spark, d), spans=False), spans=False)
 
 
 NEAR = f""",

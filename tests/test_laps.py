@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 import statistics
@@ -193,3 +194,26 @@ def test_small_groups_are_read_once_and_never_joined(spark):
     for out in (l.lap_rank(laps, spans=False), l.lap_consistency(laps, spans=False)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_small_feature_set_shuffles_laps_once(spark, rows):
+    laps = odd_laps(spark)
+    plain = l.race_feature_set(laps, spans=False)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Expand" not in plan
+    assert plain.filter("season_year IS NULL OR driver_code IS NULL").count() == 5
+    known = laps.filter("season_year IS NOT NULL AND driver_code IS NOT NULL")
+    same(l.race_feature_set(known, spans=True), l.race_feature_set(known, spans=False), rows)
+
+
+def test_feature_queries_write_no_laps(spark, tmp_path, monkeypatch):
+    from lapforge.plans import all_queries, bindings
+
+    lines = [(o, 7, o % 3, 1 + o % 7, 10.0, 100.0 * o, 0.05, 0.01, "N", "O", datetime.datetime(2000, 1, 1 + o % 28)) for o in range(40)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(bindings, "staged", lambda *_: pytest.fail("laps are written"))
+    for name in ("A01_driver_race_features",):
+        assert all_queries()[name](spark, str(tmp_path)).count() == 3
