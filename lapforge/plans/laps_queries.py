@@ -159,7 +159,7 @@ FROM featured GROUP BY season_year, round_number, circuit_name, driver_code"""
 
 @query("W09_race_feature_set", s.with_views(s.RACE_LAPS.replace("race_laps AS (SELECT", "unused AS (SELECT") + FEATURED.replace("FROM laps WHERE", "FROM laps WHERE session_type = 'RACE' AND")) + FEATURE_SET)
 def _(spark, d):
-    return l.race_feature_set(b.staged_laps(spark, d).filter(F.col("session_type") == "RACE"), spans=False)
+    return l.race_feature_set(b.race_laps(spark, d), spans=False)
 
 
 @query("A01_driver_race_features", s.with_views(s.LAPS + FEATURED) + FEATURE_SET)

@@ -215,5 +215,5 @@ def test_feature_queries_write_no_laps(spark, tmp_path, monkeypatch):
         "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
     monkeypatch.setattr(bindings, "staged", lambda *_: pytest.fail("laps are written"))
-    for name in ("A01_driver_race_features",):
+    for name in ("W09_race_feature_set", "A01_driver_race_features"):
         assert all_queries()[name](spark, str(tmp_path)).count() == 3
