@@ -209,14 +209,14 @@ def _(spark, d):
     again = c.select_seasons(laps, 1999).withColumn("compound", F.lit("RELOADED"))
     wr.replace_events(again, path)
     wr.replace_events(again, path)
-    return spark.read.parquet(path).select(*b.LAP_KEY, "compound")
+    return rd.read_table(spark, path).select(*b.LAP_KEY, "compound")
 
 
 @query("K04_repartition_table", LAP_SQL)
 def _(spark, d):
     dst = scratch(spark, "moved")
     wr.repartition_table(spark, appended(spark, d), dst, ["season_year", "round_number"], ["circuit_name"])
-    return spark.read.parquet(dst).select(*LAP_COLUMNS)
+    return rd.read_table(spark, dst).select(*LAP_COLUMNS)
 
 
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Inside it, the folders of a table are listed by two tasks per core; by default Spark starts a task
+    for each of up to 10,000 folders, which takes longer than to list one."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 _staged: dict[tuple[str, str], str] = {}
 
 

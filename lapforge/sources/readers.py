@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lapforge import schemas
 from lapforge.functions.scalar import duration_seconds
+from lapforge.session import few_listing_tasks
 
 # Raw timing columns, in the order of the lap table.
 RAW_LAP = {
@@ -32,6 +33,12 @@ def read_laps(spark: SparkSession, path: str, schema: T.StructType | None = None
     return reader.parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with any number of partition folders."""
+    with few_listing_tasks(spark):
+        return spark.read.parquet(path)
+
+
 def read_warehouse(spark: SparkSession, table: str, fmt: str, **options: str) -> DataFrame:
     """A table through a connector, views allowed.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lapforge.operators.cleaning import dedup_latest
 from lapforge.operators.groups import group_quantiles, joined_on
+from lapforge.sources.readers import read_table
 
 EVENT_PARTITION = ["season_year", "round_number"]
 
@@ -46,9 +47,9 @@ def repartition_table(
     spark: SparkSession, src: str, dst: str, partition: Sequence[str], cluster: Sequence[str]
 ) -> tuple[int, int]:
     """Copy a table under another layout and return both row counts, which must agree."""
-    source = spark.read.parquet(src)
+    source = read_table(spark, src)
     append_table(source, dst, partition, cluster)
-    before, after = source.count(), spark.read.parquet(dst).count()
+    before, after = source.count(), read_table(spark, dst).count()
     if before != after:
         raise ValueError(f"{dst} has {after} rows, {src} has {before}")
     return before, after

@@ -153,3 +153,21 @@ def test_messages_are_packed_and_whole(spark, tmp_path):
     lines = spark.read.text(path)
     assert all(f.endswith(".gz") for f in lines.inputFiles())
     assert lines.filter("value = '{broken'").count() == 3 and st.decode(lines).count() == 60
+
+
+def test_folders_of_a_table_are_listed_by_few_tasks(spark, tmp_path):
+    path, moved, context = str(tmp_path / "laps"), str(tmp_path / "moved"), spark.sparkContext
+    rows = spark.range(60).selectExpr("2000 AS season_year", "cast(id AS int) AS round_number", "'C' AS circuit_name", "id")
+    wr.append_table(rows, path, ["season_year", "round_number"])
+    before = spark.conf.get(session.LISTING)
+    context.setJobGroup("listing", "listing")
+    try:
+        table = rd.read_table(spark, path)
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listing")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tasks = sum(context.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds)
+    # Two a core, and one for the schema.
+    assert 0 < tasks <= 2 * context.defaultParallelism + 1
+    assert spark.conf.get(session.LISTING) == before
+    assert table.count() == 60 and wr.repartition_table(spark, path, moved, ["round_number"], ["circuit_name"]) == (60, 60)
