@@ -24,13 +24,19 @@ def before(
     keys: Sequence[str],
     states: Mapping[str, State],
     at: str = "season_year",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """For every distinct (keys, `at`) of `asked`, each state merged over the facts of the same keys
     at a lower `at`; null where there are none. `states` maps a name to its merge and its column.
 
     Rows with a null key meet each other, as in a grouping; facts at a null moment are in no past.
+
+    With `by`, some of the keys that few facts share, moments and facts are dealt once by them and
+    all else happens there; what comes out still lies by them.
     """
     keys = list(keys)
+    if by:
+        return _before_dealt(asked, facts, keys, states, at, by)
     steps = facts.filter(F.col(at).isNotNull()).groupBy(*keys, at)
     steps = steps.agg(*[MERGE[how](c).alias(name) for name, (how, c) in states.items()])
     probes = asked.select(*keys, at).distinct().withColumn("__fact", F.lit(False))
@@ -39,3 +45,19 @@ def before(
     past = Window.partitionBy(*keys).orderBy(at, "__fact").rowsBetween(Window.unboundedPreceding, -1)
     merged = rows.withColumns({name: MERGE[how](name).over(past) for name, (how, _) in states.items()})
     return merged.filter(~F.col("__fact")).drop("__fact")
+
+
+def _before_dealt(
+    asked: DataFrame, facts: DataFrame, keys: list[str], states: Mapping[str, State], at: str, by: Sequence[str]
+) -> DataFrame:
+    probes = asked.select(*keys, at).withColumn("__fact", F.lit(False))
+    rows = probes.unionByName(facts.withColumn("__fact", F.lit(True)), allowMissingColumns=True).repartition(*by)
+    known = F.col("__fact") & F.col(at).isNotNull()
+    steps = rows.groupBy(*keys, at).agg(
+        *[MERGE[how](F.when(known, c)).alias(name) for name, (how, c) in states.items()],
+        F.bool_or(~F.col("__fact")).alias("__asked"),
+    )
+    # One row per moment, so the rows before it are the earlier moments.
+    past = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    merged = steps.withColumns({name: MERGE[how](name).over(past) for name, (how, _) in states.items()})
+    return merged.filter("__asked").drop("__asked")

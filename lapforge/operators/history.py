@@ -355,11 +355,18 @@ def historical_features(results: DataFrame, keys: Sequence[str] = ("driver_code"
     )
 
 
-def features_before(asked: DataFrame, results: DataFrame, keys: Sequence[str] = ("driver_code",)) -> DataFrame:
+def features_before(
+    asked: DataFrame,
+    results: DataFrame,
+    keys: Sequence[str] = ("driver_code",),
+    by: Sequence[str] = (),
+    wins: bool = False,
+) -> DataFrame:
     """`historical_features` per (keys, season) of `asked`, from the results of earlier seasons only.
 
     All seasons in one pass over the results; no row where there is no earlier result. The
-    deviation comes from sums of whole numbers, so it is exact up to the last root.
+    deviation comes from sums of whole numbers, so it is exact up to the last root. `by` as in
+    `before`; with `wins`, the count of wins is added.
     """
     f, g = _f().cast("long"), _g().cast("long")
 
@@ -380,7 +387,7 @@ def features_before(asked: DataFrame, results: DataFrame, keys: Sequence[str] =
 
     spread = F.sqrt(F.greatest(done * F.col("__ff") - total * total, F.lit(0))) / done
     return (
-        before(asked, results, keys, states)
+        before(asked, results, keys, states, by=by)
         .filter(n > 0)
         .select(
             *keys,
@@ -397,6 +404,7 @@ def features_before(asked: DataFrame, results: DataFrame, keys: Sequence[str] =
             F.least(n / 5.0, F.lit(1.0)).alias("circuit_experience"),
             (F.col("__gone") / n).alias("circuit_dnf_rate"),
             F.col("__points").alias("historical_total_points"),
+            *([F.col("__first").alias("wins")] if wins else []),
         )
     )
 

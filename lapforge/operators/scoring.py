@@ -204,19 +204,23 @@ def proxy_history(
     `keys` and driver, `rookies` by `by` and driver. Without a teammate the current season stands in.
     """
     keys = [*by, *keys]
-    columns = list(HISTORY_DEFAULTS)
-
-    def renamed(df: DataFrame, prefix: str, on: Sequence[str]) -> DataFrame:
-        return df.select(*on, *[F.col(c).alias(prefix + c) for c in columns])
-
-    own = renamed(history, "__own_", [*keys, "driver_code"])
-    mate = renamed(history, "__mate_", [*keys, "driver_code"]).withColumnRenamed("driver_code", "teammate")
-    fresh = renamed(rookies, "__new_", [*by, "driver_code"])
+    own = _record(history, "__own_", [*keys, "driver_code"])
+    mate = _record(history, "__mate_", [*keys, "driver_code"]).withColumnRenamed("driver_code", "teammate")
+    fresh = _record(rookies, "__new_", [*by, "driver_code"])
     joined = (
         entries.join(own, [*keys, "driver_code"], "left")
         .join(mate, [*keys, "teammate"], "left")
         .join(fresh, [*by, "driver_code"], "left")
     )
+    return _chosen_history(joined)
+
+
+def _record(df: DataFrame, prefix: str, on: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    return df.select(*on, *more, *[F.col(c).alias(prefix + c) for c in HISTORY_DEFAULTS])
+
+
+def _chosen_history(joined: DataFrame) -> DataFrame:
+    """The past-record features out of the own, the teammate's and the season's record."""
     proxy = F.col("is_rookie") | (F.col("data_confidence") < 0.4)
     has_mate = F.col("teammate").isNotNull()
     taxed = {
@@ -232,7 +236,7 @@ def proxy_history(
         from_season = F.coalesce(F.col(f"__new_{c}"), F.lit(default))
         out[c] = F.when(~proxy, from_self).when(has_mate, from_mate).otherwise(from_season)
     out["rookie_penalty"] = F.when(proxy & ~has_mate, 0.15).otherwise(0.0)
-    helpers = [f"__{p}_{c}" for p in ("own", "mate", "new") for c in columns]
+    helpers = [f"__{p}_{c}" for p in ("own", "mate", "new") for c in HISTORY_DEFAULTS]
     return joined.withColumns(out).drop(*helpers)
 
 
@@ -244,16 +248,18 @@ def confidence_before(entries: DataFrame, history: DataFrame) -> DataFrame:
     """Add `data_confidence` from earlier seasons' races at the entry's circuit and in the whole career."""
     here = before(entries, history, ["circuit_name", "driver_code"], _race_count("__here"))
     career = before(entries, history, ["driver_code"], _race_count("__career"))
-    at, all_ = F.coalesce("__here", F.lit(0)), F.coalesce("__career", F.lit(0))
-    score = 0.7 * F.least(F.lit(1.0), at / 3.0) + 0.3 * F.least(F.lit(1.0), all_ / 20.0)
-    return (
+    return _confidence(
         entries.join(here, ["season_year", "circuit_name", "driver_code"], "left")
         .join(career, ["season_year", "driver_code"], "left")
-        .withColumn("data_confidence", F.round(score, 2))
-        .drop("__here", "__career")
     )
 
 
+def _confidence(counted: DataFrame) -> DataFrame:
+    at, all_ = F.coalesce("__here", F.lit(0)), F.coalesce("__career", F.lit(0))
+    score = 0.7 * F.least(F.lit(1.0), at / 3.0) + 0.3 * F.least(F.lit(1.0), all_ / 20.0)
+    return counted.withColumn("data_confidence", F.round(score, 2)).drop("__here", "__career")
+
+
 def prediction_features(
     entries: DataFrame,
     results: DataFrame,
@@ -268,20 +274,34 @@ def prediction_features(
     `entries`: one row per race and active driver with circuit attributes, standings,
     teammate, grid slot and race-day weather already joined; `results`: the results of all
     seasons, of which each entry sees those before its own; `rookies` by season and driver.
+
+    This is `confidence_before` and `proxy_history` over one record per driver, season and circuit.
+    Everything is dealt by driver, whose entries and results are those of one career; a teammate's
+    record is brought to the driver, so the wide entries move once. Under `joins_by_some_keys` the
+    joins leave them there, and the order of the first serves them all; otherwise they are right
+    too, but shuffle more.
     """
-    places = ["season_year", "circuit_name"]
+    places, by, season = ["season_year", "circuit_name"], ["driver_code"], ["driver_code", "season_year"]
+    key = [*season, "circuit_name"]
     # A driver's record is also asked for as a teammate's.
-    mates = entries.filter("teammate IS NOT NULL").select(*places, F.col("teammate").alias("driver_code"))
-    asked = entries.select(*places, "driver_code").unionByName(mates)
-    past = features_before(asked, results, ("circuit_name", "driver_code"))
-    won = {"wins": ("sum", (F.col("finish_position") == 1).cast("long"))}
-    wins = before(entries, results, ["circuit_name", "driver_code"], won)
-    df = confidence_before(entries, results)
-    df = proxy_history(df, past, rookies, by=("season_year",))
-    df = team_momentum(form_score(df))
+    pairs = entries.filter("teammate IS NOT NULL").select(*key, "teammate").distinct()
+    asked = entries.select(*key).unionByName(pairs.select(*places, F.col("teammate").alias("driver_code")))
+    past = features_before(asked, results, ("driver_code", "circuit_name"), by, wins=True)
+    career = before(entries, results, by, _race_count("__career"), by=by)
+    own = _record(past, "__own_", key, ["wins", F.col("circuit_race_count").alias("__here")])
+    mate = _record(past, "__mate_", key).withColumnRenamed("driver_code", "teammate")
+    mate = pairs.repartition("teammate").join(mate, [*places, "teammate"]).repartition(*by)
+    fresh = _record(rookies, "__new_", season).repartition(*by)
+    df = (
+        entries.repartition(*by)
+        .join(mate, [*key, "teammate"], "left")
+        .join(own, key, "left")
+        .join(career, season, "left")
+        .join(fresh, season, "left")
+    )
+    df = team_momentum(form_score(_chosen_history(_confidence(df))))
     df = weather_features(qualifying_features(df), rain, heat)
-    df = circuit_features(df.join(wins, [*places, "driver_code"], "left"), specialist, overtaker)
-    return expected_performance(df)
+    return expected_performance(circuit_features(df, specialist, overtaker))
 
 
 def grid_boost(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from lapforge.plans import bindings_sql as s
 from lapforge.plans.history_queries import CONS, DIM, N, WEATHER
 from lapforge.plans.laps_queries import NEAR
 from lapforge.plans.registry import query, rounded, rounded_sql
+from lapforge.session import joins_by_some_keys
 
 V = s.with_views
 RESULTS = V(s.RESULTS)
@@ -219,12 +220,15 @@ OVERTAKER = lambda: F.col("team_rank") <= 5
 
 def entries(spark, d):
     """Every active driver for every race of the season, with all that is known beforehand."""
-    return b.staged_as(spark, d, "entries", lambda: lazy_entries(spark, d))
+    with joins_by_some_keys(spark):
+        return b.staged_as(spark, d, "entries", lambda: lazy_entries(spark, d))
 
 
 def lazy_entries(spark, d):
+    # What is known of a race or of a driver's season is joined to those before they multiply.
     res = b.results(spark, d)
-    grid = res.filter("finish_position IS NOT NULL").select(*j.RACE, "driver_code", "grid_position")
+    place = [*j.RACE, "series", "driver_code"]
+    grid = res.filter("finish_position IS NOT NULL").select(*place, "grid_position")
     rounds = h.with_circuit(res.select(*j.RACE, "circuit_name", "series").distinct(), b.circuit_dim(spark, d))
     sky = h.session_weather(b.weather_records(spark, d)).select(
         *j.RACE, F.col("air_temp_avg").alias("temperature"), (F.col("humidity_avg") % 70).alias("rain_probability"))
@@ -235,17 +239,14 @@ def lazy_entries(spark, d):
     number = F.substring("driver_code", 2, 9).cast("long")
     drivers = drivers.withColumn("driver_number", number)
     drivers = named_team(drivers).withColumn("current_team", F.col("team")).drop("team", "driver_number")
-    return (
-        rounds.join(drivers, ["season_year", "series"])
-        .join(grid, [*j.RACE, "driver_code"], "left")
-        .join(sky, j.RACE, "left")
-        .join(quali, key, "left")
-    )
+    drivers = drivers.join(quali, key, "left")
+    return rounds.join(sky, j.RACE, "left").join(drivers, ["season_year", "series"]).join(grid, place, "left")
 
 
 def features(spark, d):
     """The model's feature table."""
-    return b.staged_as(spark, d, "features", lambda: lazy_features(spark, d))
+    with joins_by_some_keys(spark):
+        return b.staged_as(spark, d, "features", lambda: lazy_features(spark, d))
 
 
 def lazy_features(spark, d):

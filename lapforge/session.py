@@ -73,6 +73,22 @@ def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(LISTING, before)
 
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+@contextmanager
+def joins_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Inside it, sides that are dealt alike by some of the keys of a join are joined where they are; by
+    default Spark deals them again by all keys. For what runs inside, such as the writing of a staged
+    table, and where the rows that share the fewer keys are known to be few."""
+    before = spark.conf.get(CO_PARTITION)
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
+
 _staged: dict[tuple[str, str], str] = {}
 
 
