@@ -32,7 +32,8 @@ def before(
     Rows with a null key meet each other, as in a grouping; facts at a null moment are in no past.
 
     With `by`, some of the keys that few facts share, moments and facts are dealt once by them and
-    all else happens there; what comes out still lies by them.
+    all else happens there, over the facts as they are; what comes out still lies by them. `at` is
+    then a whole number.
     """
     keys = list(keys)
     if by:
@@ -53,11 +54,11 @@ def _before_dealt(
     probes = asked.select(*keys, at).withColumn("__fact", F.lit(False))
     rows = probes.unionByName(facts.withColumn("__fact", F.lit(True)), allowMissingColumns=True).repartition(*by)
     known = F.col("__fact") & F.col(at).isNotNull()
-    steps = rows.groupBy(*keys, at).agg(
-        *[MERGE[how](F.when(known, c)).alias(name) for name, (how, c) in states.items()],
-        F.bool_or(~F.col("__fact")).alias("__asked"),
+    # One order serves all: the facts of earlier moments, and the first of equal probes.
+    rows = rows.sortWithinPartitions(*keys, at, "__fact")
+    past = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*keys, at).orderBy("__fact"))
+    merged = rows.select(
+        *keys, at, "__fact", *[MERGE[how](F.when(known, c)).over(past).alias(name) for name, (how, c) in states.items()]
     )
-    # One row per moment, so the rows before it are the earlier moments.
-    past = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    merged = steps.withColumns({name: MERGE[how](name).over(past) for name, (how, _) in states.items()})
-    return merged.filter("__asked").drop("__asked")
+    return merged.withColumn("__lead", first).filter("NOT __fact AND __lead = 1").drop("__fact", "__lead")
