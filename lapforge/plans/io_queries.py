@@ -15,7 +15,7 @@ from lapforge.plans.history_queries import WEATHER
 from lapforge.plans.registry import SQL, query, rounded, rounded_sql
 from lapforge.plans.text_queries import KEY
 from lapforge.schemas import RACE_DOCUMENT, schema
-from lapforge.session import shared_folder
+from lapforge.session import few_state_partitions, shared_folder
 from lapforge.sources import readers as rd
 from lapforge.sources import writers as wr
 from lapforge.streaming import ingest as st
@@ -375,7 +375,9 @@ def _(spark, d):
     """Every flush of the live path: none above 50 rows, none open for 2 seconds or more."""
     stream = st.replay(arrivals(spark, d), scratch(spark, "replay"), SLICE, order=("published_at", "driver_code", "lap_number"))
     cut = sf.cut_flushes(stream, ["year", "round"], "published_at")
-    log = sf.flush_log(spark.read.parquet(flushed(spark, cut, "live")), ["year", "round"], "published_at")
+    with few_state_partitions(spark):
+        sink = flushed(spark, cut, "live")
+    log = sf.flush_log(spark.read.parquet(sink), ["year", "round"], "published_at")
     in_time = F.unix_micros("last_arrival") - F.unix_micros("first_arrival") < 2_000_000
     return log.select("year", "round", "flush", "rows", "reason", in_time.alias("in_time"))
 

@@ -73,6 +73,21 @@ def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(LISTING, before)
 
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def few_state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside it keep their state in one partition a core at most. Each partition is a task and
+    files in every trigger, however little comes in, and a stream cannot change their number later."""
+    before = spark.conf.get(SHUFFLE)
+    spark.conf.set(SHUFFLE, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE, before)
+
+
 CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 

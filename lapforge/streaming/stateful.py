@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 FLUSH = T.StructType([T.StructField("flush", T.LongType()), T.StructField("opened_at", T.TimestampType())])
 
 
+KEY_GROUPS = 64  # groups that keys are dealt to; the open flushes of a group are one state
+
+
 def cut_flushes(
     stream: DataFrame,
     keys: Sequence[str],
@@ -28,7 +31,9 @@ def cut_flushes(
 
     The state of a key is the open flush only (its number, rows and opening time); rows are not
     held back, they leave with the micro-batch that brings them, so nothing waits for a buffer to
-    fill and nothing is lost with one. With `idle`, a key without arrivals for so long gives up its
+    fill and nothing is lost with one. Keys are dealt to `KEY_GROUPS` groups and a group's keys are cut
+    by one call, which takes longer to start than to cut the few rows that a key has in a micro-batch.
+    With `idle`, a key without arrivals for so long gives up its
     state; its flushes go on from the microseconds of its next arrival, so numbers stay ascending.
     Such a query looks at the clock in every trigger and does not end by itself.
     Rows of a micro-batch are taken in order of arrival; a row that arrives after later ones falls
@@ -37,33 +42,62 @@ def cut_flushes(
     keys, whole = list(keys), round(seconds * 1_000_000)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     schema = T.StructType([*stream.schema.fields, *FLUSH.fields])
-    state_schema = "flush long, held long, opened long"
+    columns = [f.name for f in schema.fields]
+    longs = T.ArrayType(T.LongType())
+    state_schema = T.StructType(
+        [T.StructField(f"key_{i}", T.ArrayType(stream.schema[k].dataType)) for i, k in enumerate(keys)]
+        + [T.StructField(name, longs) for name in ("flush", "held", "opened", "seen")]
+    )
+
+    def keep(state: GroupState, known: dict[tuple, tuple], now: int) -> None:
+        if idle_ms is not None:
+            known = {k: v for k, v in known.items() if now - v[3] < idle_ms}
+        if not known:
+            if state.exists:
+                state.remove()
+            return
+        state.update((*(list(k) for k in zip(*known, strict=True)), *(list(v) for v in zip(*known.values(), strict=True))))
+        if idle_ms is not None:
+            state.setTimeoutDuration(max(1, min(v[3] for v in known.values()) + idle_ms - now))
 
     def cut(_: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if idle_ms is not None else 0
+        known: dict[tuple, tuple] = {}
+        if state.exists:
+            parts = state.get
+            known = dict(zip(zip(*parts[: len(keys)], strict=True), zip(*parts[len(keys) :], strict=True), strict=True))
         if state.hasTimedOut:
-            state.remove()
+            keep(state, known, now)
             return
-        page = pd.concat(list(pages)).sort_values(arrival, kind="stable", ignore_index=True)
-        at = page[arrival].astype("datetime64[us]").astype(np.int64).to_numpy()
-        flush, held, opened = state.get if state.exists else (-1, rows, 0)
+        page = pd.concat(list(pages), ignore_index=True)
+        at = page[arrival].to_numpy().astype("datetime64[us]").astype(np.int64)
+        codes = [pd.factorize(page[k])[0] for k in keys]
+        order = np.lexsort((at, *codes))
+        page, at = page.take(order), at[order]
+        new = np.any([np.diff(c[order], prepend=-2) != 0 for c in codes], axis=0)
+        starts = np.flatnonzero(new)
+        # NaN differs from itself, None does not.
+        names = zip(*([None if v != v else v for v in page[k].to_numpy()[starts].tolist()] for k in keys), strict=True)
         numbers, openings = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        done = 0
-        while done < len(at):
-            if held >= rows or at[done] - opened >= whole:
-                # The first flush of a key is numbered by its time, so that a forgotten key goes on upwards.
-                flush, held, opened = (flush + 1 if flush >= 0 else int(at[done])), 0, int(at[done])
-            end = min(done + rows - held, done + int(np.searchsorted(at[done:], opened + whole, "left")))
-            end = max(end, done + 1)
-            numbers[done:end], openings[done:end] = flush, opened
-            held, done = held + end - done, end
-        state.update((int(flush), int(held), int(opened)))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield page.assign(flush=numbers, opened_at=pd.to_datetime(openings, unit="us"))
-
-    known = stream.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, arrival]))
+        for key, done, stop in zip(names, starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+            flush, held, opened, _seen = known.get(key, (-1, rows, 0, 0))
+            while done < stop:
+                if held >= rows or at[done] - opened >= whole:
+                    # The first flush of a key is numbered by its time, so that a forgotten key goes on upwards.
+                    flush, held, opened = (flush + 1 if flush >= 0 else int(at[done])), 0, int(at[done])
+                end = min(done + rows - held, done + int(np.searchsorted(at[done:stop], opened + whole, "left")))
+                end = max(end, done + 1)
+                numbers[done:end], openings[done:end] = flush, opened
+                held, done = held + end - done, end
+            known[key] = (int(flush), int(held), int(opened), now)
+        keep(state, known, now)
+        page["flush"], page["opened_at"] = numbers, openings.astype("datetime64[us]")
+        yield page[columns]
+
+    present = stream.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, arrival]))
+    dealt = present.withColumn("__group", F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).cast("int"))
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
-    return known.groupBy(*keys).applyInPandasWithState(cut, schema, state_schema, "append", timeout)
+    return dealt.groupBy("__group").applyInPandasWithState(cut, schema, state_schema, "append", timeout)
 
 
 def flush_log(flushed: DataFrame, keys: Sequence[str], arrival: str, rows: int = 50) -> DataFrame:

@@ -1,10 +1,12 @@
 """Flushes, live gaps, late redeliveries and reconciliation by content."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from lapforge.operators import laps as l
+from lapforge.session import few_state_partitions
 from lapforge.streaming import ingest as st
 from lapforge.streaming import stateful as sf
 
@@ -186,3 +188,48 @@ def test_a_long_replay_takes_whole_slices_together_in_their_order(spark, tmp_pat
     short = run(spark, st.replay(df, str(tmp_path / "short"), rows_per_slice=45), tmp_path, "few")
     assert short.select("batch_id").distinct().count() == 4
     assert df.storageLevel.useDisk is False
+
+
+def test_many_keys_share_a_few_states_and_keep_their_own_flushes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), n, n * 700 + rng.randrange(300)) for n in range(4000)]
+    named = arrivals(spark, rows).withColumn("name", F.concat(F.lit("r, "), F.col("race") % 7))
+    named = named.unionByName(named.limit(3).withColumn("name", F.lit(None).cast("string")))
+    stream = st.replay(named, str(tmp_path / "in"), 900, order=("at", "n"))
+    with few_state_partitions(spark):
+        query = st.microbatch(sf.cut_flushes(stream, ["race", "name"], "at", rows=4, seconds=0.2), str(tmp_path / "out"), str(tmp_path / "state"), seconds=None)
+    assert st.drain(query, 120)
+    state = query.lastProgress.stateOperators[0]
+    assert 0 < state.numRowsTotal <= sf.KEY_GROUPS < len({r[0] for r in rows})
+    assert state.numShufflePartitions <= spark.sparkContext.defaultParallelism and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    numbered, got = {}, {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("flush").collect():
+        of = numbered.setdefault(r.race, {})
+        got[r.race, r.n] = of.setdefault(r.flush, len(of) + 1)
+    assert got == greedy(rows, 4, 200_000)
+
+
+def test_an_idle_key_gives_up_its_state_and_goes_on_from_its_arrival(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: arrivals(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    put([(1, 1, 0), (1, 2, 10), (2, 3, 20)])
+    stream = spark.readStream.schema(arrivals(spark, []).schema).parquet(folder)
+    query = st.microbatch(sf.cut_flushes(stream, ["race"], "at", idle="2 seconds"), out, str(tmp_path / "state"), seconds=0.2)
+
+    def until(done):
+        end = time.time() + 60
+        while not done():
+            assert time.time() < end and query.isActive
+            time.sleep(0.2)
+
+    def sent():
+        return [tuple(r) for r in spark.read.schema("n int, flush long").parquet(out).select("n", "flush").orderBy("n").collect()] if (tmp_path / "out").exists() else []
+
+    try:
+        until(lambda: len(sent()) == 3)
+        until(lambda: query.lastProgress and query.lastProgress.stateOperators[0].numRowsTotal == 0)
+        put([(1, 4, 500), (2, 5, 510)])
+        until(lambda: len(sent()) == 5)
+    finally:
+        query.stop()
+    assert sent() == [(1, START), (2, START), (3, START + 20), (4, START + 500), (5, START + 510)]
