@@ -390,7 +390,9 @@ def _(spark, d):
     mixed = arrivals(spark, d).withColumn("turn", F.xxhash64("year", "round", "driver_code", "lap_number"))
     stream = st.replay(mixed, scratch(spark, "replay"), SLICE, order=("turn",))
     path, state = scratch(spark, "gaps"), scratch(spark, "state")
-    st.drain(st.microbatch(sf.live_gaps(stream, ["year", "round"]), path, state, seconds=None, mode="update"), None)
+    with few_state_partitions(spark):
+        query = st.microbatch(sf.live_gaps(stream, ["year", "round"]), path, state, seconds=None, mode="update")
+    st.drain(query, None)
     gaps = sf.latest_gaps(spark.read.parquet(path), ["year", "round", "driver_code", "lap_number"])
     return gaps.select("year", "round", "driver_code", "lap_number", (F.round("gap_to_leader", 4) + 0.0).alias("gap_to_leader"))
 

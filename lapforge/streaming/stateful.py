@@ -118,6 +118,17 @@ GAP = T.StructType(
 )
 
 
+NO_LAP = 2**31 - 1  # stands for a null lap, after all others
+
+
+def race_gaps(race: np.ndarray, driver: np.ndarray, lap: np.ndarray, time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Race times and gaps to the leader of rows in order of race, driver and lap, all given as numbers."""
+    run = np.cumsum((np.diff(race, prepend=-1) != 0) | (np.diff(driver, prepend=-2) != 0))
+    race_time = pd.Series(time).groupby(run, sort=False).cumsum()
+    leader = race_time.groupby(race << 32 | lap & 0xFFFFFFFF, sort=False).transform("min")
+    return race_time.to_numpy(), (race_time - leader).to_numpy()
+
+
 def live_gaps(
     stream: DataFrame,
     race: Sequence[str],
@@ -129,7 +140,8 @@ def live_gaps(
 ) -> DataFrame:
     """Gaps to the leader as an update stream: (race, driver, lap, race_time, gap_to_leader, version).
 
-    The state of a race is what came in of it: every driver's laps and the gap last sent for each.
+    The state of a race is what came in of it, every driver's laps; the gaps last sent follow from them.
+    Races are dealt to `KEY_GROUPS` groups, and a group's races are brought up to date by one call.
     Laps may arrive in any order. A lap that arrives late moves the race time of its driver's later
     laps, and a new leader of a lap moves everybody's gap on it; every row whose gap changed is sent
     again with a higher version, so the latest versions (`latest_gaps`) equal the gaps of the whole
@@ -137,55 +149,113 @@ def live_gaps(
     the watermark, are left out; a race's state goes once the watermark has passed its last arrival.
     """
     race = list(race)
-    schema = T.StructType([*(stream.schema[c] for c in [*race, driver, lap]), *GAP.fields])
+    # Races go through as text, which null numbers and large ones survive.
+    sent_as = T.StructType([*(T.StructField(c, T.StringType()) for c in race), stream.schema[driver], stream.schema[lap], *GAP.fields])
+    texts, longs, packed = T.ArrayType(T.StringType()), T.ArrayType(T.LongType()), T.BinaryType()
+    state_schema = T.StructType(
+        [T.StructField(f"race_{i}", texts) for i in range(len(race))]
+        + [T.StructField("version", longs), T.StructField("last", longs)]
+        # Rows in order of race, driver and lap; a run is a driver's rows of a race.
+        + [T.StructField("run_driver", T.ArrayType(stream.schema[driver].dataType))]
+        + [T.StructField(name, packed) for name in ("run_race", "run_rows", "laps", "times")]
+    )
 
-    def update(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def keep(
+        state: GroupState, names: list[tuple], version: np.ndarray, last: np.ndarray, runs: tuple, laps: np.ndarray, times: np.ndarray, live: np.ndarray
+    ) -> None:
+        """Store what is known of the `live` races."""
+        if not live.any():
+            if state.exists:
+                state.remove()
             return
-        page = pd.concat(list(pages)).sort_values(arrival, kind="stable")
-        new = page[[driver, lap, time]].drop_duplicates([driver, lap], keep="last")
-        version, last = 0, int(page[arrival].max().value // 1_000_000)
-        known = pd.DataFrame({driver: [], lap: [], time: [], "sent": []})
-        if state.exists:
-            drivers, laps, times, sent, version, before = state.get
-            known = pd.DataFrame({driver: list(drivers), lap: list(laps), time: list(times), "sent": list(sent)})
-            last = max(last, before)
-        merged = pd.concat([known, new.assign(sent=np.nan)], ignore_index=True) if len(known) else new.assign(sent=np.nan)
-        # The newest time of a lap, with the gap that was sent for it.
-        old = merged.groupby([driver, lap], sort=False)["sent"].first()
-        merged = merged.drop_duplicates([driver, lap], keep="last").sort_values([driver, lap], ignore_index=True)
-        merged["sent"] = old.reindex(pd.MultiIndex.from_frame(merged[[driver, lap]])).to_numpy()
-        merged["race_time"] = merged.groupby(driver)[time].cumsum()
-        merged["gap_to_leader"] = merged["race_time"] - merged.groupby(lap)["race_time"].transform("min")
-        moved = merged[merged["sent"].isna() | (merged["sent"] != merged["gap_to_leader"])]
-        version += 1
+        run_driver, run_race, run_rows = runs
+        stay = live[run_race]
+        rows = np.repeat(stay, run_rows)
+        number = np.cumsum(live) - 1
+        alive = [n for n, on in zip(names, live.tolist(), strict=True) if on]
         state.update(
             (
-                merged[driver].tolist(),
-                merged[lap].astype(int).tolist(),
-                merged[time].astype(float).tolist(),
-                merged["gap_to_leader"].tolist(),
-                int(version),
-                last,
+                *(list(c) for c in zip(*alive, strict=True)),
+                version[live].tolist(),
+                last[live].tolist(),
+                [d for d, on in zip(run_driver, stay.tolist(), strict=True) if on],
+                number[run_race[stay]].astype(np.int32).tobytes(),
+                run_rows[stay].astype(np.int32).tobytes(),
+                laps[rows].astype(np.int32).tobytes(),
+                times[rows].astype(np.float64).tobytes(),
             )
         )
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        out = moved[[driver, lap, "race_time", "gap_to_leader"]].assign(version=version)
-        yield out.assign(**dict(zip(race, key, strict=True)))[[f.name for f in schema.fields]]
+        state.setTimeoutTimestamp(max(int(last[live].min()), state.getCurrentWatermarkMs() + 1))
+
+    def update(_: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names: list[tuple] = []
+        version, last, run_driver = np.empty(0, np.int64), np.empty(0, np.int64), []
+        run_race, run_rows, laps, times = (np.empty(0, np.int64) for _ in range(4))
+        if state.exists:
+            parts = state.get
+            names = list(zip(*parts[: len(race)], strict=True))
+            version, last = (np.array(x, np.int64) for x in parts[len(race) : len(race) + 2])
+            run_driver = list(parts[len(race) + 2])
+            run_race, run_rows, laps = (np.frombuffer(x, np.int32).astype(np.int64) for x in parts[len(race) + 3 : len(race) + 6])
+            times = np.frombuffer(parts[-1], np.float64)
+        if state.hasTimedOut:
+            keep(state, names, version, last, (run_driver, run_race, run_rows), laps, times, last >= state.getCurrentWatermarkMs())
+            return
+        page = pd.concat(list(pages)).sort_values(arrival, kind="stable", ignore_index=True)
+        came = page[arrival].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        code = np.zeros(len(page), np.int64)
+        for c in race:
+            part = pd.factorize(page[c])[0]
+            code = pd.factorize(code * (part.max() + 2) + part + 1)[0]
+        first = np.unique(code, return_index=True)[1]
+        number = {name: i for i, name in enumerate(names)}
+        called = [number.setdefault(name, len(number)) for name in zip(*(page[c].to_numpy()[first].tolist() for c in race), strict=True)]
+        names, called = list(number), np.array(called, np.int64)
+        version, last = (np.r_[x, np.zeros(len(names) - len(x), np.int64)] for x in (version, last))
+        version[called] += 1
+        np.maximum.at(last, called[code], came)
+        drivers, by = pd.factorize(pd.Series([*run_driver, *page[driver].tolist()], dtype=object))
+        old_race, old_driver = np.repeat(run_race, run_rows), np.repeat(drivers[: len(run_driver)], run_rows)
+        old_gap = race_gaps(old_race, old_driver, laps, times)[1] if len(laps) else times
+        # Known rows, then those of the page: of rows of one lap the last counts.
+        all_race = np.r_[old_race, called[code]]
+        all_driver = np.r_[old_driver, drivers[len(run_driver) :]]
+        all_lap = np.r_[laps, page[lap].fillna(NO_LAP).to_numpy().astype(np.int64)]
+        order = np.lexsort((all_lap, all_driver, all_race))
+        r, d, n = all_race[order], all_driver[order], all_lap[order]
+        new = (np.diff(r, prepend=-1) != 0) | (np.diff(d, prepend=-2) != 0) | (np.diff(n, prepend=NO_LAP + 1) != 0)
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(order)] - 1
+        oldest = order[starts]
+        r, d, n, t = r[starts], d[starts], n[starts], np.r_[times, page[time].to_numpy().astype(np.float64)][order[ends]]
+        sent = np.full(len(starts), np.nan)
+        known = oldest < len(laps)
+        sent[known] = old_gap[oldest[known]]
+        race_time, gap = race_gaps(r, d, n, t)
+        opens = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(d, prepend=-2) != 0))
+        by = np.append(np.array(by, dtype=object), None)  # a driver of -1 is null
+        live = last >= state.getCurrentWatermarkMs()
+        live[called] = True
+        keep(state, names, version, last, (by[d[opens]].tolist(), r[opens], np.diff(opens, append=len(r))), n, t, live)
+        moved = np.flatnonzero(~(sent == gap))
+        out = pd.DataFrame({c: np.array(x, dtype=object)[r[moved]] for c, x in zip(race, zip(*names, strict=True), strict=True)})
+        out[driver], out[lap] = by[d[moved]], pd.Series(n[moved])
+        if (n[moved] == NO_LAP).any():
+            out[lap] = out[lap].where(out[lap] != NO_LAP)
+        out["race_time"], out["gap_to_leader"], out["version"] = race_time[moved], gap[moved], version[r[moved]]
+        yield out[[f.name for f in sent_as.fields]]
 
-    state_schema = (
-        "drivers array<string>, laps array<int>, times array<double>, sent array<double>, version long, last long"
-    )
     timed = stream.filter(F.col(time).isNotNull()).withWatermark(arrival, delay)
-    return timed.groupBy(*race).applyInPandasWithState(
-        update, schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout
+    group = F.pmod(F.xxhash64(*race), F.lit(KEY_GROUPS)).cast("int").alias("__group")
+    dealt = timed.select(group, *(F.col(c).cast("string").alias(c) for c in race), driver, lap, time, arrival)
+    sent = dealt.groupBy("__group").applyInPandasWithState(
+        update, sent_as, state_schema, "update", GroupStateTimeout.EventTimeTimeout
     )
+    return sent.withColumns({c: F.col(c).cast(stream.schema[c].dataType) for c in race})
 
 
 def latest_gaps(sent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest version of every row of a `live_gaps` sink."""
-    keys = list(keys)
+    # A column each: unlike those of a struct, their aggregates are hashed and no rows are sorted.
     values = [c for c in ("race_time", "gap_to_leader") if c in sent.columns]
-    newest = sent.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("__v"))
-    return newest.select(*keys, "__v.*")
+    return sent.groupBy(*keys).agg(*[F.max_by(c, "version").alias(c) for c in values])

@@ -233,3 +233,27 @@ def test_an_idle_key_gives_up_its_state_and_goes_on_from_its_arrival(spark, tmp_
     finally:
         query.stop()
     assert sent() == [(1, START), (2, START), (3, START + 20), (4, START + 500), (5, START + 510)]
+
+
+def test_races_share_a_few_states_and_null_races_and_laps_keep_their_gaps(spark, rows, tmp_path):
+    rng = random.Random(4)
+    laps = [(y, d, n, round(rng.uniform(70, 90), 3), rng.randrange(9000)) for y in range(150) for d in "abc" for n in (1, 2, 3)]
+    laps += [(None, d, n, 80.0 + n, rng.randrange(9000)) for d in "ab" for n in (1, 2)] + [(2**62 + 1, "a", 1, 81.0, 5), (2**62 + 2, "a", 1, 82.0, 6)]
+    df = spark.createDataFrame(laps, "year long, driver_code string, lap_number int, lap_time_seconds double, turn int")
+    df = df.withColumn("published_at", F.timestamp_micros(F.lit(START) + F.col("turn") * 1000))
+    late = df.filter("year = 3 AND lap_number = 3 AND driver_code = 'a'").withColumns({"lap_number": F.lit(None).cast("int"), "turn": F.lit(9500)})
+    stream = st.replay(df.unionByName(late), str(tmp_path / "in"), 400, order=("turn",))
+    query = st.microbatch(sf.live_gaps(stream, ["year"]), str(tmp_path / "out"), str(tmp_path / "state"), seconds=None, mode="update")
+    assert st.drain(query, 120)
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= sf.KEY_GROUPS
+    sink, key = spark.read.parquet(str(tmp_path / "out")), ["year", "driver_code", "lap_number"]
+    assert sink.schema["year"].dataType.simpleString() == "bigint" and sink.filter("lap_number IS NULL").count() == 1
+    latest = sf.latest_gaps(sink.filter("lap_number IS NOT NULL"), key)
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+    total = {}
+    for y, d, n, t, _ in sorted(laps, key=lambda r: (str(r[0]), r[1], r[2])):
+        total[y, d, n] = total.get((y, d, n - 1), 0) + t
+    wanted = sorted(((y, d, n), round(t - min(total[y, e, n] for e in "abc" if (y, e, n) in total), 6) + 0.0) for (y, d, n), t in total.items() if y is not None)
+    got = {(r.year, r.driver_code, r.lap_number): round(r.gap_to_leader, 6) + 0.0 for r in latest.collect()}
+    assert sorted((k, v) for k, v in got.items() if k[0] is not None) == wanted
+    assert {k[1:]: v for k, v in got.items() if k[0] is None} == {("a", 1): 0.0, ("b", 1): 0.0, ("a", 2): 0.0, ("b", 2): 0.0}
