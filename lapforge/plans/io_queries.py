@@ -450,12 +450,14 @@ def _(spark, d):
 @query("R07_redelivered_late", LIVE_SQL)
 def _(spark, d):
     """Laps sent again days later, beyond any watermark, and in another batch than the first time."""
-    first = live(spark, d).withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
-    again = first.withColumn("published_at", F.lit("2024-01-09").cast("timestamp"))
-    stream = st.replay(first.unionByName(again), scratch(spark, "replay"), SLICE, order=("published_at", "lap_number", "driver_code"))
+    days = F.array(*(F.lit(day).cast("timestamp") for day in ("2024-01-01", "2024-01-09")))
+    twice = live(spark, d).withColumn("published_at", F.explode(days))
+    stream = st.replay(twice, scratch(spark, "replay"), SLICE, order=("published_at", "lap_number", "driver_code"))
     path, state = scratch(spark, "live"), scratch(spark, "state")
     keys = ["year", "round", "driver_code", "lap_number"]
-    st.drain(st.microbatch(stream, path, state, seconds=None, once=keys, event=["year", "round"]), None)
+    with few_state_partitions(spark):
+        query = st.microbatch(stream, path, state, seconds=None, once=keys, event=["year", "round"])
+    st.drain(query, None)
     return spark.read.parquet(path).select(*LIVE)
 
 

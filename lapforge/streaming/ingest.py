@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lapforge import schemas
 from lapforge.operators.marts import load_check
+from lapforge.session import few_listing_tasks
 
 
 def read_lap_stream(spark: SparkSession, fmt: str, **options: str) -> DataFrame:
@@ -98,6 +99,7 @@ def append_live(batch: DataFrame, path: str, batch_id: int, run: str) -> None:
 
 FEW_EVENTS = 64  # events up to which a batch gets a folder for each
 MANY = "many"
+RANGED = (T.IntegralType, T.StringType, T.DateType)  # types of keys that are looked for between two ends
 LAYOUT = [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("scope", T.StringType())]
 
 
@@ -108,7 +110,8 @@ def append_once(
 
     A batch of few events, as live ones are, has a folder for each; one of more events has one
     folder, so files go with batches and not with batches times events. Only the folders of the
-    batch's own events and those of many events are read, and of these only the keys.
+    batch's own events and those of many events are read, and of these only the keys that lie between
+    the least and the greatest of the batch: files and stretches of files beyond them are passed over.
     No state is kept between batches. Rows of equal `keys` inside the batch count once; a repeated
     batch does not see its own earlier attempt.
     """
@@ -116,12 +119,19 @@ def append_once(
     name = F.hex(F.xxhash64(*event))
     fresh = batch.dropDuplicates(keys).persist()
     try:
-        scopes = [row["scope"] for row in fresh.select(name.alias("scope")).distinct().collect()]
+        ranged = [c for c in keys if isinstance(batch.schema[c].dataType, RANGED)]
+        ends = [end(c).alias(f"__{end.__name__}_{c}") for c in ranged for end in (F.min, F.max)]
+        found = fresh.agg(F.collect_set(name).alias("__scopes"), *ends).first()
+        scopes = found["__scopes"]
         fresh_rows = fresh
-        sink = _sink(spark, path, T.StructType([*batch.schema.fields, *LAYOUT]))
+        with few_listing_tasks(spark):
+            sink = _sink(spark, path, T.StructType([*batch.schema.fields, *LAYOUT]))
         if scopes and sink is not None:
             own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
             held = sink.filter(F.col("scope").isin([*scopes, MANY]) & ~own)
+            for c in ranged:
+                # A null key equals none: without other keys in the batch, nothing of the sink does.
+                held = held.filter(F.col(c).between(F.lit(found[f"__min_{c}"]), F.lit(found[f"__max_{c}"])))
             same = [fresh[c] == held[c] for c in keys] + [fresh[c].eqNullSafe(held[c]) for c in event if c not in keys]
             fresh_rows = fresh.join(held, reduce(and_, same), "left_anti")
         folder = f"{path}/run={run}/batch_id={batch_id}"

@@ -257,3 +257,17 @@ def test_races_share_a_few_states_and_null_races_and_laps_keep_their_gaps(spark,
     got = {(r.year, r.driver_code, r.lap_number): round(r.gap_to_leader, 6) + 0.0 for r in latest.collect()}
     assert sorted((k, v) for k, v in got.items() if k[0] is not None) == wanted
     assert {k[1:]: v for k, v in got.items() if k[0] is None} == {("a", 1): 0.0, ("b", 1): 0.0, ("a", 2): 0.0, ("b", 2): 0.0}
+
+
+def test_files_of_the_sink_beyond_the_keys_of_a_batch_are_not_read(spark, tmp_path):
+    path, keys, event = tmp_path / "sink", ["round", "lap_number"], ["round"]
+    laps = lambda lap: spark.range(100).selectExpr("CAST(id AS INT) AS round", f"{lap} AS lap_number").coalesce(1)
+    st.append_once(laps(1), str(path), 0, "r", keys, event)
+    st.append_once(laps(5), str(path), 1, "r", keys, event)
+    for part in (path / "run=r" / "batch_id=0").rglob("part-*.parquet"):
+        # Spoil the rows, not the footer: whoever reads them fails.
+        part.write_bytes(part.read_bytes()[:4] + bytes(60) + part.read_bytes()[64:])
+        (part.parent / f".{part.name}.crc").unlink()
+    st.append_once(laps(5).union(laps(6)), str(path), 2, "r", keys, event)
+    held = spark.read.parquet(str(path)).filter("batch_id > 0")
+    assert held.count() == 200 and held.select(*keys).distinct().count() == 200
